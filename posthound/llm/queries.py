@@ -6,19 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from posthound.llm import neardup
+from posthound.llm import hilbert, neardup, replytrees, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replytrees.query(_table(spark, sf_dir, "conversations"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op5_minhash_near_dedup": op5_minhash_near_dedup,
-}
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.assign_shards(_table(spark, sf_dir, "documents"), shards=24)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_reply_trees, op5_minhash_near_dedup, op9_url_rules, op10_hilbert_shards)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_reply_trees": replytrees.ORACLE_SQL}
