@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from posthound.llm import hilbert, neardup, replytrees, urlrules
+from posthound.llm import hilbert, importance, neardup, packing, replytrees, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.accepted(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
@@ -29,6 +37,6 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.assign_shards(_table(spark, sf_dir, "documents"), shards=24)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_reply_trees, op5_minhash_near_dedup, op9_url_rules, op10_hilbert_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_reply_trees, op5_minhash_near_dedup, op7_mixture_packing, op8_importance_resampling, op9_url_rules, op10_hilbert_shards)}
 
 ORACLE_SQL: dict[str, str] = {"op4_reply_trees": replytrees.ORACLE_SQL}
