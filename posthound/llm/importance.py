@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from posthound.llm import bytesops as bo
 from posthound.llm.hilbert import ranked
@@ -83,7 +84,8 @@ def log_ratios(table: list, prior: float, dead: float, sigmas: float) -> np.ndar
         raw[b], target[b] = r, t
     expected = raw * (target[TOTAL] / max(1.0, raw[TOTAL]))
     out = np.log((target + prior) / (expected + prior))
-    tells = (np.abs(out) >= dead) & (np.abs(target - expected) > sigmas * np.sqrt(expected + 1))
+    deviance = 2 * (np.where(target > 0, target * np.log(np.maximum(target, 1e-9) / np.maximum(expected, 1e-9)), 0) - (target - expected))
+    tells = (np.abs(out) >= dead) & (deviance > sigmas * sigmas)
     return np.where(tells, np.rint(out * UNIT), 0).astype(np.int64)[:TOTAL]
 
 
@@ -97,8 +99,8 @@ def weigh(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str, tempe
     cast = docs.sparkSession.sparkContext.broadcast(ratios)
     rest = docs.columns
     at = rest.index(text_col)
-    schema = docs.schema.add("log_weight", "double").add("_noise", "double")
-    seeded = docs.withColumn("_noise", F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 52)).cast("double"))
+    schema = T.StructType(list(docs.schema.fields)).add("log_weight", "double").add("_noise", "double")
+    seeded = docs.withColumn("_noise", F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")), F.lit(1 << 52)).cast("double"))
 
     def run(batches):
         table = cast.value
@@ -114,7 +116,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str, tempe
     return out.withColumn("_key", F.col("log_weight") + temperature * gumbel).drop("_noise")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 40_000, prior: float = 4.0, dead: float = 0.7, sigmas: float = 6.0, temperature: float = 0.02) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 40_000, prior: float = 4.0, dead: float = 1.0, sigmas: float = 4.5, temperature: float = 0.02) -> Model:
     """Count, calibrate and find the last place that Gumbel top-k fills."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
@@ -136,14 +138,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(ratios, (last["_key"], last["id"], last["_text"]) if last else None, kept, order)
 
 
-def best_cut(seen: list[tuple[float, int, int]]) -> float:
-    """The weight, from low to high, from which on rows are accepted, by the largest sum of both kinds' shares put right."""
+def best_cut(seen: list[tuple[float, int, int]], loss: float = 2.0) -> float:
+    """The weight from which on rows are accepted: the largest share of rejected rows caught less `loss` times that of accepted rows lost."""
     yes, no = max(1, sum(r[1] for r in seen)), max(1, sum(r[2] for r in seen))
     best, cut, lost, caught = 0.0, float("-inf"), 0, 0
     for w, y, n in seen:
         lost, caught = lost + y, caught + n
-        if caught / no - lost / yes > best:
-            best, cut = caught / no - lost / yes, w + 1 / 16
+        if caught / no - loss * lost / yes > best:
+            best, cut = caught / no - loss * lost / yes, w + 1 / 16
     return cut
 
 

@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from posthound.llm import crosspolytope, hilbert, importance, langid, neardup, packing, replytrees, urlrules
+from posthound.llm import crosspolytope, hilbert, importance, langid, neardup, packing, replytrees, secretcrf, templates, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretcrf.secrets(_table(spark, sf_dir, "documents"))
+
+
 def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspolytope.nearest(_table(spark, sf_dir, "embeddings"), queries="id % 50 = 0", k=5)
 
 
+def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replytrees.query(_table(spark, sf_dir, "conversations"))
 
@@ -45,6 +53,6 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.assign_shards(_table(spark, sf_dir, "documents"), shards=24)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_cross_polytope, op4_reply_trees, op5_minhash_near_dedup, op6_language_centroids, op7_mixture_packing, op8_importance_resampling, op9_url_rules, op10_hilbert_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_crf, op2_cross_polytope, op3_template_decontamination, op4_reply_trees, op5_minhash_near_dedup, op6_language_centroids, op7_mixture_packing, op8_importance_resampling, op9_url_rules, op10_hilbert_shards)}
 
 ORACLE_SQL: dict[str, str] = {"op4_reply_trees": replytrees.ORACLE_SQL}
