@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from posthound.functions import text, urls
+from posthound.operators import dml
+from posthound.plans import reports, scoring
+
+_MODULES = (reports, scoring, dml, text, urls)
+
+QUERIES: dict = {k: f for m in _MODULES for k, f in m.R.queries.items()}
+ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.R.sql.items()}
