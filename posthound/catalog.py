@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from posthound.functions import text, urls
-from posthound.operators import dml
+from posthound.operators import dml, files, lookalike, messages, reputation
 from posthound.plans import reports, scoring
 
-_MODULES = (reports, scoring, dml, text, urls)
+_MODULES = (reports, scoring, dml, text, urls, messages, lookalike, files, reputation)
 
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.R.queries.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.R.sql.items()}
