@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from posthound.functions import text, urls
-from posthound.operators import dml, files, lookalike, messages, reputation
+from posthound.operators import dml, documents, files, lookalike, messages, reputation
 from posthound.plans import alerts, reports, scoring
 from posthound.sources import mail
 from posthound.streaming import ingest
 
-_MODULES = (reports, scoring, dml, text, urls, messages, lookalike, files, reputation, mail, ingest, alerts)
+_MODULES = (reports, scoring, dml, text, urls, messages, lookalike, files, documents, reputation, mail, ingest, alerts)
 
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.R.queries.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.R.sql.items()}
