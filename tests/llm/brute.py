@@ -44,3 +44,47 @@ def near_duplicates(rows, percent=85, width=5):
         for x in prefix:
             index[x].append(s)
     return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def base_secrets(text):
+    text, out = text or "", []
+    rx = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    out += [(m.start(), m.end(), "assign") for m in rx.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out, key=lambda s: (s[0], ("assign", "access", "hex").index(s[2])))
+
+
+def contained(docs, items, share=0.8):
+    """(doc, item) where at least `share` of the item's five-word windows occur, punctuation and case aside."""
+    norm = lambda t: [w for w in (re.sub(r"^\W+|\W+$", "", x).lower() for x in words(t)) if w]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    bench = {i: grams(norm(t)) for i, t in items}
+    return {(d, i) for d, t in docs for own in [grams(norm(t))] for i, g in bench.items() if g and len(g & own) >= share * len(g)}
+
+
+def url_rule(url):
+    rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fits = [(h + p, v) for v, h, p in (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")) if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    rule, verdict = max(fits, key=lambda f: len(f[0]), default=(None, "allow"))
+    return host, path, rule, verdict
+
+
+def association_rules(baskets, bad, least, confidence):
+    """Token sets that occur in at least `least` bad baskets, of which at least `confidence` are bad."""
+    both, alone = Counter(), Counter()
+    from itertools import combinations
+
+    for b, x in zip(baskets, bad):
+        for n in range(1, len(b) + 1):
+            for c in combinations(sorted(b), n):
+                alone[c] += 1
+                both[c] += x
+    return [frozenset(c) for c, n in both.items() if n >= least and n >= confidence * alone[c]]
