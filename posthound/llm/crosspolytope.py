@@ -9,8 +9,8 @@ a hash of the id, and the queries that probe them go to every block, so no task
 
 Cases: vectors that are null, zero, or hold a null or non-finite component take no part, neither do rows with a null id or whose
 length differs from the most common one; ties go to the smaller id; rows that repeat an id are different candidates only if
-their vectors differ, and an id is returned once, with its best score; with fewer candidates all are found that share a
-bucket; an empty table gives an empty result; extra columns are ignored.
+their vectors differ, and an id is returned once, with its best score; a query whose buckets hold fewer than k
+others is compared with every row, in blocks; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -129,6 +129,21 @@ def _search(filed: DataFrame, dim: int, k: int, hold: int = 2048) -> DataFrame:
     return filed.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
+def _meet(filed: DataFrame, probing: DataFrame, dim: int, k: int, block: int, query_block: int) -> DataFrame:
+    """query_id, vec_id, score of the best rows at the addresses that queries probe, each pair once."""
+    loads = filed.groupBy("address").agg(F.count(F.lit(1)).alias("n"))
+    loads = loads.select("address", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    # Queries of a block are dealt out too; a block's rows go to each deal.
+    asks = probing.groupBy("address").agg(F.count(F.lit(1)).alias("n")).select("address", F.ceil(F.col("n") / query_block).cast("int").alias("deals"))
+    plan = written(loads.join(asks, "address"), "blocks")
+    deal = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    spread = filed.join(plan, "address").select("address", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("b"), F.explode(deal("deals")).alias("d"), F.lit(1).alias("kind"), "id", "vec")
+    probed = probing.join(plan, "address").select("address", F.explode(deal("blocks")).alias("b"), F.pmod(F.xxhash64("id"), F.col("deals")).cast("int").alias("d"), F.lit(0).alias("kind"), "id", "vec")
+    both = probed.unionByName(spread).select(F.xxhash64("address", "b", "d").alias("key"), "kind", "id", "vec")
+    best = _search(both.repartition("key").sortWithinPartitions("key", "kind"), dim, k)
+    return best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+
 def nearest(rows: DataFrame, queries: str = "id % 50 = 0", k: int = 5, tables: int = 8, probes: int = 10, rotations: int = 1, block: int = 8192, query_block: int = 4096, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that the condition `queries` (on `id`) selects."""
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).filter("id is not null and vec is not null and size(vec) > 0")
@@ -147,17 +162,13 @@ def nearest(rows: DataFrame, queries: str = "id % 50 = 0", k: int = 5, tables: i
     same = F.row_number().over(W.partitionBy(F.xxhash64("vec"), F.hash("vec")).orderBy("id"))
     base = written(rows.distinct().withColumn("_n", same).filter(F.col("_n") <= k + 1).select("id", "vec"), "base")
     asked = rows.filter(queries).distinct()
-    filed, probing = written(_filed(base, spin, 1), "filed"), _filed(asked, spin, probes)
-    loads = filed.groupBy("address").agg(F.count(F.lit(1)).alias("n"))
-    loads = loads.select("address", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    # Queries of a block are dealt out too; a block's rows go to each deal.
-    asks = probing.groupBy("address").agg(F.count(F.lit(1)).alias("n")).select("address", F.ceil(F.col("n") / query_block).cast("int").alias("deals"))
-    plan = written(loads.join(asks, "address"), "blocks")
-    deal = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    spread = filed.join(plan, "address").select("address", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("b"), F.explode(deal("deals")).alias("d"), F.lit(1).alias("kind"), "id", "vec")
-    probed = probing.join(plan, "address").select("address", F.explode(deal("blocks")).alias("b"), F.pmod(F.xxhash64("id"), F.col("deals")).cast("int").alias("d"), F.lit(0).alias("kind"), "id", "vec")
-    both = probed.unionByName(spread).select(F.xxhash64("address", "b", "d").alias("key"), "kind", "id", "vec")
-    found = _search(both.repartition("key").sortWithinPartitions("key", "kind"), sizes["dim"], k)
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = written(_meet(written(_filed(base, spin, 1), "filed"), _filed(asked, spin, probes), sizes["dim"], k, block, query_block), "found")
+    # Queries whose buckets hold fewer than k others meet every row, in blocks.
+    full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+    short = written(asked.join(full, asked["id"] == full["query_id"], "left_anti"), "short")
+    if not short.isEmpty():
+        whole = lambda d: d.select(F.lit(-1).cast("long").alias("address"), "id", "vec")
+        rest = found.join(full, "query_id", "left_semi")
+        found = rest.unionByName(_meet(whole(base), whole(short), sizes["dim"], k, block, query_block))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

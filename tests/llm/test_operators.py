@@ -146,6 +146,12 @@ def test_copies_ties_and_bad_vectors(spark):
     assert [(r.query_id, r.vec_id) for r in two] == [(0, 1)]
 
 
+def test_few_candidates_are_all_found(spark):
+    x = np.random.default_rng(3).normal(size=(4, 64))
+    got = crosspolytope.nearest(vectors(spark, x, [0, 50, 51, 52])).collect()
+    assert sorted((r.query_id, r.vec_id) for r in got) == [(0, 50), (0, 51), (0, 52), (50, 0), (50, 51), (50, 52)]
+
+
 def test_large_buckets_are_dealt_out(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 16)) * 0.05 + np.eye(16)[0]
