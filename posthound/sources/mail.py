@@ -30,7 +30,9 @@ from posthound.plans.registry import Registry
 from posthound.sources import adapters as src
 
 R = Registry()
-ARTIFACT = "struct<id:string,parent:string,filename:string,depth:int,size:bigint,sha256:string,md5:string,encrypted:boolean,listing_only:boolean,note:string,head:binary>"
+#: Bytes of an attachment that travel on to the scanners.
+MAX_SCANNED = 8 << 20
+ARTIFACT = "struct<id:string,parent:string,filename:string,depth:int,size:bigint,sha256:string,md5:string,encrypted:boolean,listing_only:boolean,note:string,data:binary>"
 PARSED = f"message_id string, subject string, from_addr string, from_display string, reply_to string, recipients array<string>, return_path string, headers array<struct<name:string,value:string>>, body_text string, body_html string, artifacts array<{ARTIFACT}>, errors array<string>"
 
 
@@ -176,7 +178,7 @@ def expand(name: str, data: bytes, parent: str | None, depth: int, passwords: li
     while own in budget.seen:
         own, k = f"{parent + '/' if parent else ''}{label}~{k}", k + 1
     budget.seen.add(own)
-    row = {"id": own, "parent": parent, "filename": name, "depth": depth, "size": len(data), "sha256": hashlib.sha256(data).hexdigest(), "md5": hashlib.md5(data).hexdigest(), "encrypted": False, "listing_only": False, "note": "", "head": data[:512]}
+    row = {"id": own, "parent": parent, "filename": name, "depth": depth, "size": len(data), "sha256": hashlib.sha256(data).hexdigest(), "md5": hashlib.md5(data).hexdigest(), "encrypted": False, "listing_only": False, "note": "", "data": data[:MAX_SCANNED]}
     yield row
     if depth >= budget.depth:
         return
@@ -188,7 +190,7 @@ def expand(name: str, data: bytes, parent: str | None, depth: int, passwords: li
             if content is not None and budget.take(len(content)):
                 yield from expand(inner, content, own, depth + 1, passwords, budget)
             else:
-                yield {"id": f"{own}/{inner}", "parent": own, "filename": inner, "depth": depth + 1, "size": 0, "sha256": "", "md5": "", "encrypted": locked, "listing_only": True, "note": note or "limit: count", "head": b""}
+                yield {"id": f"{own}/{inner}", "parent": own, "filename": inner, "depth": depth + 1, "size": 0, "sha256": "", "md5": "", "encrypted": locked, "listing_only": True, "note": note or "limit: count", "data": b""}
     except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, lzma.LZMAError, ValueError, RuntimeError) as e:
         row["note"] = "; ".join(filter(None, [row["note"], f"broken: {type(e).__name__}"]))
 
@@ -254,7 +256,7 @@ def parse(messages: DataFrame, key: str = "remote_id", raw: str = "raw") -> Data
 def artifacts(parsed: DataFrame, key: str = "remote_id") -> DataFrame:
     """One row per attachment at any depth, with its detected type; position is depth-first order."""
     rows = parsed.select(key, F.posexplode("artifacts").alias("position", "a")).select(key, "position", "a.*")
-    return rows.withColumn("detected_type", magic_type(F.col("head"))).drop("head")
+    return rows.withColumn("detected_type", magic_type(F.col("data")))
 
 
 def header_only(messages: DataFrame, most: int, raw: str = "raw") -> DataFrame:

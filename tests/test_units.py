@@ -127,3 +127,14 @@ def test_entry_works_without_llm(tmp_path):
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(k.startswith('op') or k == 'pipeline' for k in e.queries()))"], cwd=tmp_path, capture_output=True, text=True)
     assert said.returncode == 0, said.stderr
     assert said.stdout.split()[-1] == "False"
+
+
+def test_messages_to_verdicts(spark):
+    from posthound.plans.analysis import analyse
+
+    rows = spark.createDataFrame([(int(k), bytearray(raw)) for k, raw in mail._samples()], "id long, raw binary")
+    findings, parts, verdict = analyse(rows, ("corp.example",))
+    rules = {r.rule for r in findings.filter("analysis_id = 1").collect()}
+    assert {"filetype.executable_in_archive", "content.password_protected_lure", "pe.malformed"} <= rules
+    level = {r.analysis_id: r.level for r in verdict.collect()}
+    assert level[1] == "malicious" and level[3] == "clean" and len(level) == 4
