@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 #: Polynomial base of the word hash, odd so that it is invertible modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 _POW = np.array([pow(BASE, i + 1, 2**64) for i in range(1024)], dtype=np.uint64)

@@ -53,8 +53,14 @@ def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     shape = bo.mix(shape.astype(np.uint64) + np.uint64(77))
     prev = lambda x: np.where(joined, np.concatenate([[np.uint64(0)], x[:-1]]), np.uint64(1))
     grams = (h, bo.mix(prev(h) * np.uint64(3) + h), bo.mix(prev(shape) * np.uint64(3) + shape))
-    held = np.unique(np.concatenate([doc * TOTAL + (g % np.uint64(BUCKETS)).astype(np.int64) + k * BUCKETS for k, g in enumerate(grams)]))
-    return held % TOTAL, held // TOTAL
+    # 32-bit keys sort much faster, and nearly every chunk has few enough texts for them.
+    kind = np.uint32 if len(offs) * TOTAL < 1 << 32 else np.int64
+    base = (doc * TOTAL).astype(kind)
+    held = np.concatenate([base + (g % np.uint64(BUCKETS)).astype(kind) + kind(k * BUCKETS) for k, g in enumerate(grams)])
+    held.sort()
+    held = held[np.concatenate([[True], held[1:] != held[:-1]])]
+    text, bucket = np.divmod(held, kind(TOTAL))
+    return bucket.astype(np.int64), text.astype(np.int64)
 
 
 def counts(docs: DataFrame, good: np.ndarray) -> DataFrame:
