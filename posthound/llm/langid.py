@@ -99,8 +99,10 @@ def fit(train: DataFrame, per_language: int = 300, clusters: int = 4, tail: floa
     if not df[DIM]:
         return None
     idf = (np.log((1 + df[DIM]) / (1 + df[:DIM])) + 0.05).astype(np.float32)
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = train.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("doc_id").distinct()
+    # First within sixteen parts of each language, so that no task sees a whole language.
+    first = lambda rows, *keys: rows.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy("h", "doc_id"))).filter(F.col("n") <= per_language)
+    ids = train.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod(F.col("h"), F.lit(16)))
+    chosen = first(first(ids, "lang", "part"), "lang").select("doc_id").distinct()
     # At most per_language ids a language.
     sample = train.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi").dropDuplicates(["doc_id", "lang"])
 
