@@ -49,10 +49,9 @@ def mark() -> int:
     return len(_written)
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables written since mark(); only for callers whose results no longer need them."""
-    jvm = spark._jvm
-    for path in _written[since:]:
-        p = jvm.org.apache.hadoop.fs.Path(path)
+def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Delete the tables written between two marks; only for callers whose results no longer need them."""
+    for path in _written[since:until]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    del _written[since:]
+    del _written[since:until]
