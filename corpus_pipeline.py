@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from posthound.llm import importance, neardup, packing, secretcrf, templates
-from posthound.session import written
+from posthound.session import mark, release, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written to the shared folder before the next reads them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        since = mark()
         docs = written(stage(spark, docs, sf_dir), name)
+        release(spark, since, mark() - 1)  # what the stage itself wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
