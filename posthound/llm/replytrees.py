@@ -1,7 +1,7 @@
 """Reply trees to training conversations, in DataFrame operations only.
 
-Messages point at their parents. Iterative self-joins double each message's known chain of ancestors until every chain reaches
-its root; chains that end in a leaf are the root-to-leaf paths. Paths are ranked in their tree by score, and each chosen path
+Messages point at their parents. Iterative self-joins double the jumps from messages to their ancestors until every jump passes
+its root; from the leaves, the same jumps then enumerate the root-to-leaf paths. Paths are ranked in their tree by score, and each chosen path
 becomes one conversation in a template:
 
     ### <role>: <text></turn>\\n
@@ -10,8 +10,8 @@ The template's own strings inside a text or role are escaped: a backslash double
 `\\l/turn>`, and `:` in a role `\\c`. parse_turns() reads every turn back exactly.
 
 Cases: a null text, role or score counts as empty or 0; a parent that is absent makes its message a root; messages on a cycle
-have no root and so lie on no path; rows that repeat a node id are separate messages, each with the same descendants; a null tree id is one
-tree of its own; an empty table gives an empty result; clashing extra columns are ignored.
+have no root and so lie on no path; rows that repeat a node id are separate messages, with the same
+descendants; a null tree id is one tree of its own; an empty table gives an empty result; clashing extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,26 +67,28 @@ def parse_turns(formatted: Column) -> Column:
     )
 
 
-def paths(messages: DataFrame, most_doublings: int = 40) -> DataFrame:
-    """tree, leaf, path (node ids from the root on) of messages(tree, node, parent)."""
+def paths(messages: DataFrame) -> DataFrame:
+    """tree, leaf, back, node: every message of every root-to-leaf path, `back` steps above its leaf, of messages(tree, node, parent)."""
     nodes = messages.select("tree", "node", "parent").distinct()
+    on = lambda a, b: F.col("tree").eqNullSafe(F.col("kt")) & (F.col(a) == F.col(b))
     known = nodes.select(F.col("tree").alias("kt"), F.col("node").alias("kn")).distinct()
-    up = nodes.join(known, F.col("tree").eqNullSafe(F.col("kt")) & (F.col("parent") == F.col("kn")), "left").select("tree", "node", F.col("kn").alias("above"), F.array("node").alias("path"))
-    leaves = nodes.select("tree", "node").join(
-        nodes.select(F.col("tree").alias("kt"), F.col("parent").alias("kn")).filter("kn is not null").distinct(), F.col("tree").eqNullSafe(F.col("kt")) & (F.col("node") == F.col("kn")), "left_anti"
-    )
-    up = written(up, "chains")
-    for _ in range(most_doublings):
-        if up.filter("above is not null").isEmpty():
-            break
-        top = up.select(F.col("tree").alias("kt"), F.col("node").alias("kn"), F.col("above").alias("higher"), F.col("path").alias("head"))
-        grown = up.join(top, F.col("tree").eqNullSafe(F.col("kt")) & (F.col("above") == F.col("kn")), "left")
-        # A chain that meets itself lies on a cycle and never ends.
-        grown = grown.filter(F.col("kn").isNull() | ~F.arrays_overlap("head", "path"))
-        up = written(grown.select("tree", "node", F.col("higher").alias("above"), F.when(F.col("kn").isNull(), F.col("path")).otherwise(F.concat("head", "path")).alias("path")), "chains")
-    else:
-        raise RuntimeError("chains did not end")
-    return up.join(leaves.select(F.col("tree").alias("kt"), F.col("node").alias("kn")).distinct(), F.col("tree").eqNullSafe(F.col("kt")) & (F.col("node") == F.col("kn")), "left_semi").select("tree", F.col("node").alias("leaf"), "path")
+    up = written(nodes.join(known, on("parent", "kn")).select("tree", "node", F.col("parent").alias("above")), "above")
+    # jumps[k]: each message's ancestor 2**k steps up, where it has one.
+    total, jumps = nodes.count(), []
+    while not up.isEmpty() and 1 << len(jumps) <= 2 * total:
+        jumps.append(up)
+        top = up.select(F.col("tree").alias("kt"), F.col("node").alias("kn"), F.col("above").alias("higher"))
+        up = written(up.join(top, on("above", "kn")).select("tree", "node", F.col("higher").alias("above")), "above")
+    parents = nodes.select(F.col("tree").alias("kt"), F.col("parent").alias("kn")).filter("kn is not null").distinct()
+    leaves = nodes.select("tree", "node").distinct().join(parents, on("node", "kn"), "left_anti")
+    # What still has an ancestor farther up than there are messages hangs from a cycle.
+    leaves = leaves.join(up.select(F.col("tree").alias("kt"), F.col("node").alias("kn")).distinct(), on("node", "kn"), "left_anti")
+    steps = written(leaves.select("tree", F.col("node").alias("leaf"), F.lit(0).cast("long").alias("back"), "node"), "steps")
+    for k, jump in enumerate(jumps):
+        top = jump.select(F.col("tree").alias("kt"), F.col("node").alias("kn"), "above")
+        higher = steps.join(top, on("node", "kn")).select("tree", "leaf", (F.col("back") + (1 << k)).alias("back"), F.col("above").alias("node"))
+        steps = steps.unionByName(written(higher, "steps"))
+    return steps
 
 
 def conversations(messages: DataFrame, per_tree: int | None = 1, trained: str = "assistant") -> DataFrame:
@@ -96,7 +98,7 @@ def conversations(messages: DataFrame, per_tree: int | None = 1, trained: str =
     formatted of the texts whose role is `trained`.
     """
     messages = messages.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    steps = paths(messages).select("tree", "leaf", F.posexplode("path").alias("pos", "node"))
+    steps = paths(messages).withColumn("pos", -F.col("back"))
     scored = steps.join(messages.select(F.col("tree").alias("mt"), F.col("node").alias("mn"), "score"), F.col("tree").eqNullSafe(F.col("mt")) & (F.col("node") == F.col("mn")))
     ranked = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("score")).withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
     chosen = ranked if per_tree is None else ranked.filter(F.col("rank") <= per_tree)
