@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from posthound.functions import text, urls
+from posthound.functions import hosts, text, urls
 from posthound.operators import dml, documents, files, lookalike, messages, reputation, scripts
 from posthound.plans import alerts, analysis, reports, scoring
 from posthound.sources import mail
 from posthound.streaming import ingest
 
-_MODULES = (reports, scoring, dml, text, urls, messages, lookalike, files, documents, scripts, reputation, mail, ingest, alerts, analysis)
+_MODULES = (reports, scoring, dml, text, hosts, urls, messages, lookalike, files, documents, scripts, reputation, mail, ingest, alerts, analysis)
 
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.R.queries.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.R.sql.items()}

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posthound.functions.text import defang
+from posthound.operators.dml import clip
 from posthound.plans.registry import Registry
 from posthound.plans.reports import _q
+from posthound.plans.scoring import _PLAIN, _VERDICT, score_verdict
 from posthound.sources import adapters as src
 
 R = Registry()
@@ -54,6 +56,31 @@ def cef(rows: DataFrame, vendor: str = "posthound") -> Column:
     return F.concat(F.lit(f"CEF:0|{vendor}|mail|1|"), head(F.col("level")), F.lit("|"), head(F.col("subject")), F.lit("|"), severity, F.lit("|suser="), value(F.col("from_addr")), F.lit(" cn1="), F.col("score").cast("string"))
 
 
+#: What a reader should do about each threat of a profile.
+ADVICE = (("malware", "Isolate the attachments and scan the receiving hosts."), ("phishing", "Do not follow the links; reset passwords that were typed in."), ("spoofing", "Confirm the sender by another way."))
+
+
+def recommendations(flags: dict[str, Column]) -> Column:
+    return F.filter(F.array(*[F.when(flags[k], F.lit(text)) for k, text in ADVICE]), lambda x: x.isNotNull())
+
+
+def summary(top_rule: Column, families: Column, most: int = 480) -> Column:
+    """One sentence on a verdict: its strongest reason and the families it names."""
+    text = F.concat(F.lit("Strongest sign: "), F.coalesce(top_rule, F.lit("none")), F.when(F.coalesce(families, F.lit("")) != "", F.concat(F.lit("; names "), F.regexp_replace(families, ",", ", "))).otherwise(F.lit("")), F.lit("."))
+    return clip(text, most)
+
+
+def chat_payload(service: str, title: Column, text: Column) -> Column:
+    """The message body that a chat service's webhook takes."""
+    if service == "slack":
+        return F.to_json(F.struct(F.concat(F.lit("*"), slack_text(title), F.lit("*\n"), slack_text(text)).alias("text")))
+    if service == "discord":
+        return F.to_json(F.struct(clip(F.concat(F.lit("**"), title, F.lit("**\n"), text), 2000).alias("content")))
+    if service == "teams":
+        return F.to_json(F.struct(F.lit("MessageCard").alias("@type"), title.alias("title"), text.alias("text")))
+    return F.to_json(F.struct(F.concat(title, F.lit("\n"), text).alias("text")))
+
+
 M, A, AR, FI = src.MAILS_SQL, src.ANALYSES_SQL, src.ARTIFACTS_SQL, src.FINDINGS_SQL
 
 
@@ -91,3 +118,31 @@ def duration_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounds = (0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
     one = src.analyses(spark, sf_dir).agg(*[F.count_if(F.col("duration_ms") <= b * 1000).alias(str(i)) for i, b in enumerate(bounds)])
     return one.select(F.explode(F.array(*[F.struct(F.lit(b).alias("le"), F.col(str(i)).alias("n")) for i, b in enumerate(bounds)])).alias("x")).select("x.le", "x.n")
+
+
+@R.add(
+    _q(
+        [M, FI, _PLAIN, _VERDICT],
+        "SELECT analysis_id, 'Strongest sign: ' || top_rule || CASE WHEN families <> '' THEN '; names ' || replace(families, ',', ', ') ELSE '' END || '.' AS summary FROM verdict WHERE top_rule <> ''",
+    )
+)
+def verdict_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_verdict(spark, sf_dir).filter("top_rule <> ''").select("analysis_id", summary(F.col("top_rule"), F.col("families")).alias("summary"))
+
+
+@R.add(
+    _q(
+        [FI],
+        """SELECT analysis_id, CAST(malware AS INTEGER) + CAST(phishing AS INTEGER) + CAST(spoofing AS INTEGER) AS n FROM
+ (SELECT analysis_id, bool_or(category = 'malware') AS malware, bool_or(category = 'phishing') AS phishing, bool_or(category = 'spoofing') AS spoofing FROM findings GROUP BY analysis_id)""",
+    )
+)
+def alert_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = profile(src.findings(spark, sf_dir))
+    return flags.select("analysis_id", F.size(recommendations({k: F.col(k) for k, _ in ADVICE})).alias("n"))
+
+
+@R.add()
+def chat_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = src.analyses(spark, sf_dir).filter("level = 'malicious'")
+    return rows.select("id", *[chat_payload(s, F.col("level"), defang(F.col("subject"))).alias(s) for s in ("slack", "discord", "teams", "plain")])
