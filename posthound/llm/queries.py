@@ -55,4 +55,4 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_crf, op2_cross_polytope, op3_template_decontamination, op4_reply_trees, op5_minhash_near_dedup, op6_language_centroids, op7_mixture_packing, op8_importance_resampling, op9_url_rules, op10_hilbert_shards)}
 
-ORACLE_SQL: dict[str, str] = {"op4_reply_trees": replytrees.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_reply_trees": replytrees.ORACLE_SQL, "op5_minhash_near_dedup": neardup.ORACLE_SQL}
