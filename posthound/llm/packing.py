@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from posthound.llm import bytesops as bo
+from posthound.llm.common import sized
 from posthound.session import written
 
 WINDOW, QUANTUM = 1024, 256
@@ -215,5 +216,6 @@ def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = Non
             take = pa.array(doc)
             yield pa.RecordBatch.from_arrays([ids.take(take), pa.array(first), pa.array(length), pa.array(crc), pa.array(n[doc]), pa.array(seq), pa.array(offset), batch.column(1).take(take)], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source_queue"])
 
-    placed = table.join(base, ["queue", "part"]).select("id", "queue", "n", (F.col("base") + F.col("at")).alias("start"), "ids")
+    # One row per part and queue; few enough, they are broadcast and the ids stay where they are.
+    placed = table.join(sized(written(base, "bases")), ["queue", "part"]).select("id", "queue", "n", (F.col("base") + F.col("at")).alias("start"), "ids")
     return placed.mapInArrow(run, f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source_queue string")
