@@ -2,8 +2,13 @@
 
 Documents are sets of word shingles. Each independent tree branches the documents by the values of a few selected minwise
 tokens (about 1/threshold tokens a node, chosen by the node's own path), so that a similar pair keeps meeting while others part.
-Nodes of at most `leaf` documents are compared exhaustively on their signatures; larger nodes branch again, and their
-documents are also held against a few leaders, so that a huge group of near copies is linked without all its pairs.
+Nodes of at most `leaf` documents are compared exhaustively on their signatures; larger nodes branch again.
+
+Links are found in two passes, so that a huge group of near copies is linked without all its pairs. The first confirms few
+candidates of each node: pairs with the node's centre, with each document's nearest, and with a few leaders of large nodes. The
+second takes the pairs that the first left out, except where confirmed links already connect both documents: all of them in
+every leaf. A pair is left out for good only if
+its signatures are too unlike, or if it could not change a component.
 Every candidate is confirmed on the full shingle sets. Documents with equal sets are one class from the start.
 
 Cases: a null or empty text, or one of white space only, has no shingle and links with nothing; fewer words than a shingle
@@ -99,11 +104,17 @@ def profiles(docs: DataFrame, width: int, trees: int, threshold: float) -> DataF
     return docs.mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, sig binary, keys array<long>")
 
 
-def _pairs_in(ids: np.ndarray, sig: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates inside one small node: every pair in groups of six or fewer; in larger ones each document's with the centre and
-    with its nearest, and up to sixteen of each document that is not like the centre."""
-    m = len(ids)
-    agree = np.concatenate([(sig[i : i + 32, None, :] == sig[None, :, :]).sum(2, dtype=np.int16) for i in range(0, m, 32)])
+def _agreement(sig: np.ndarray) -> np.ndarray:
+    """Equal places of each two signatures."""
+    return np.concatenate([(sig[i : i + 32, None, :] == sig[None, :, :]).sum(2, dtype=np.int16) for i in range(0, len(sig), 32)])
+
+
+def _pairs_in(ids: np.ndarray, sig: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Candidates inside one small node for the first pass, and whether others are left for the second: every pair in groups of six
+    or fewer; in larger ones each document's with the centre and with its nearest, and up to sixteen of each document that is not
+    like the centre."""
+    m, left = len(ids), False
+    agree = _agreement(sig)
     agree[np.arange(m), np.arange(m)] = 0
     near = agree >= least
     if m > 6 and near.any():
@@ -113,45 +124,78 @@ def _pairs_in(ids: np.ndarray, sig: np.ndarray, least: int) -> tuple[np.ndarray,
         keep[np.arange(m), agree.argmax(1)] = True
         far = np.flatnonzero(~near[centre])
         keep[far] |= agree[far] >= np.sort(agree[far], 1)[:, -min(m, 16), None]
-        keep &= near
-        near = keep | keep.T
-    i, j = np.nonzero(np.triu(near | near.T, 1))
-    return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        keep = (keep | keep.T) & near
+        left = bool((near & ~keep).any())
+        near = keep
+    i, j = np.nonzero(np.triu(near, 1))
+    return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), left
+
+
+def _runs(batches, take):
+    """take(columns of one or more whole nodes, bounds of the nodes) over batches in key order; one node at a time is held back."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, COORDS) if pa.types.is_binary(c.type) else c.to_numpy() for c in batch.columns]
+        if rest is not None:
+            cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+        last = int(np.searchsorted(cols[0], cols[0][-1]))
+        if last:
+            yield from take([c[:last] for c in cols], _bounds(cols[0][:last]))
+        rest = [c[last:] for c in cols]
+    if rest is not None:
+        yield from take(rest, _bounds(rest[0]))
 
 
-def _leaf_pairs(nodes: DataFrame, least: int) -> DataFrame:
-    """Exhaustive comparison of small nodes; a task streams its nodes in key order and holds one at a time."""
+def _bounds(key: np.ndarray):
+    cut = np.flatnonzero(np.diff(key)) + 1
+    return list(zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(key)]]).tolist(), strict=True))
 
-    def run(batches):
-        rest = None
-        def flush(key, ids, sig):
-            out_a, out_b = [], []
-            cut = np.flatnonzero(np.diff(key)) + 1
-            for s, e in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]]), strict=True):
-                if e - s > 1:
-                    a, b = _pairs_in(ids[s:e], sig[s:e], least)
-                    out_a.append(a), out_b.append(b)
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-            if len(a):
-                u = np.unique(np.stack([a, b], 1), axis=0)
-                a, b = u[:, 0], u[:, 1]
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, COORDS)
-            if rest is not None:
-                key, ids, sig = (np.concatenate(x) for x in zip(rest, (key, ids, sig), strict=True))
-            last = int(np.searchsorted(key, key[-1]))
-            if last:
-                yield flush(key[:last], ids[:last], sig[:last])
-            rest = key[last:], ids[last:], sig[last:]
-        if rest is not None:
-            yield flush(*rest)
+def _unique_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    u = np.unique(np.stack([np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)], 1), axis=0)
+    return u[:, 0], u[:, 1]
 
-    return nodes.repartition("key").sortWithinPartitions("key").select("key", "id", "sig").mapInArrow(run, "a long, b long")
+
+def _leaf_pairs(nodes: DataFrame, least: int) -> DataFrame:
+    """The first pass over small nodes: candidates (a, b), and `open`, the keys of nodes with pairs left for the second pass."""
+
+    def take(cols, bounds):
+        key, ids, sig = cols
+        out_a, out_b, opened = [], [], []
+        for s, e in bounds:
+            if e - s > 1:
+                a, b, left = _pairs_in(ids[s:e], sig[s:e], least)
+                out_a.append(a), out_b.append(b)
+                if left:
+                    opened.append(int(key[s]))
+        a, b = _unique_pairs(out_a, out_b)
+        none = [None] * len(opened)
+        yield pa.RecordBatch.from_arrays([pa.array([*a.tolist(), *none], pa.int64()), pa.array([*b.tolist(), *none], pa.int64()), pa.array([None] * len(a) + opened, pa.int64())], names=["a", "b", "open"])
+
+    return nodes.repartition("key").sortWithinPartitions("key").select("key", "id", "sig").mapInArrow(lambda batches: _runs(batches, take), "a long, b long, open long")
+
+
+def _cross_pairs(nodes: DataFrame, least: int) -> DataFrame:
+    """The second pass over nodes(key, id, sig, label, block): every pair (a, b) of two labels; where a node has two blocks, of both."""
+
+    def take(cols, bounds):
+        _, ids, sig, label, block = cols
+        for s, e in bounds:
+            d, g, t, k = ids[s:e], sig[s:e], label[s:e], block[s:e]
+            two = bool((k != k[0]).any())
+            for i in range(0, e - s, 32):
+                ok = (g[i : i + 32, None, :] == g[None, i:, :]).sum(2, dtype=np.int16) >= least
+                ok &= t[i : i + 32, None] != t[None, i:]
+                if two:
+                    ok &= k[i : i + 32, None] != k[None, i:]
+                x, y = np.nonzero(ok)
+                if len(x):
+                    a, b = _unique_pairs([np.minimum(d[i + x], d[i + y])], [np.maximum(d[i + x], d[i + y])])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return nodes.repartition("key").sortWithinPartitions("key").select("key", "id", "sig", "label", "block").mapInArrow(lambda batches: _runs(batches, take), "a long, b long")
 
 
 #: Documents that every member of a large node is held against: the node's smallest by so many hashes.
@@ -188,24 +232,44 @@ def _branch(nodes: DataFrame, threshold: float) -> DataFrame:
     return nodes.select(child(one), "id", "sig").unionByName(nodes.filter(second).select(child(two), "id", "sig"))
 
 
-def candidates(reps: DataFrame, threshold: float, leaf: int, depth: int) -> DataFrame:
-    """Distinct candidate pairs (a < b) of reps(id, sig, keys)."""
-    least = int(COORDS * threshold - 4.8 * (COORDS * threshold * (1 - threshold)) ** 0.5)
-    nodes, found = reps.select(F.explode("keys").alias("key"), "id", "sig"), None
+def _least(threshold: float) -> int:
+    return int(COORDS * threshold - 4.8 * (COORDS * threshold * (1 - threshold)) ** 0.5)
+
+
+def candidates(reps: DataFrame, threshold: float, leaf: int, depth: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The first pass over reps(id, sig, keys): its distinct candidates (a < b); what it leaves for the second: leaves, and the
+    nodes that are still large at the last level, if there are any (key, id, sig)."""
+    least = _least(threshold)
+    nodes, found, levels, large_left = reps.select(F.explode("keys").alias("key"), "id", "sig"), None, [], None
     for level in range(depth):
         large = written(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > leaf), "nodes")
         pairs = _leaf_pairs(nodes.join(large, "key", "left_anti"), least)
         found = pairs if found is None else found.unionByName(pairs)
+        levels.append(nodes)
         if large.isEmpty():
             break
         big = written(nodes.join(large, "key", "left_semi"), "branch")
-        found = found.unionByName(_star_pairs(big, least))
+        found = found.unionByName(_star_pairs(big, least), allowMissingColumns=True)
         nodes = _branch(big, threshold)
     else:
-        # Nodes that are still large hold near copies of one text: their leaders link them, and blocks of them are compared besides.
+        # Nodes that are still large hold near copies of one text: their leaders and blocks of them link most; the second pass takes the rest.
+        large_left = big
         block = F.pmod(F.xxhash64("id"), F.ceil(2 * F.col("n") / leaf).cast("long"))
         found = found.unionByName(_leaf_pairs(big.join(large, "key").select(F.xxhash64("key", block).alias("key"), "id", "sig"), least))
-    return found.filter("a < b").distinct()
+    found = written(found.filter("a < b or open is not null").distinct(), "pairs")
+    opened = sized(written(found.filter("open is not null").select(F.col("open").alias("key")), "open"))
+    left = levels[0].join(opened, "key", "left_semi")
+    for nodes in levels[1:]:
+        left = left.unionByName(nodes.join(opened, "key", "left_semi"))
+    return found.filter("a < b").select("a", "b"), left, large_left
+
+
+def left_pairs(left: DataFrame, large_left: DataFrame | None, labels: DataFrame, threshold: float, leaf: int) -> DataFrame:
+    """The second pass: distinct candidates (a < b) of what the first left, of documents that labels(node, label) do not connect."""
+    held = sized(labels.select(F.col("node").alias("id"), "label"))
+    labelled = lambda nodes: nodes.join(held, "id", "left").select("key", "id", "sig", F.coalesce("label", "id").alias("label"))
+    nodes = labelled(left).withColumn("block", F.lit(0).cast("long"))
+    return _cross_pairs(nodes, _least(threshold)).filter("a < b").distinct()
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -219,6 +283,20 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, items array<long>")
 
 
+def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = written(shingle_sets(docs.join(sized(ids), "id", "left_semi"), width), "sets")
+    return (
+        pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("two")), "b")
+        .join(sets.select(F.col("id").alias("a"), F.col("items").alias("one")), "a")
+        .select("a", "b", F.size(F.array_intersect("one", "two")).cast("long").alias("common"), (F.size("one") + F.size("two")).cast("long").alias("both"))
+        .filter(100 * F.col("common") >= percent * (F.col("both") - F.col("common")))
+        .select("a", "b")
+        .distinct()
+    )
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, trees: int = 10, leaf: int = 1024, depth: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: components of the documents linked with 100 * intersection >= percent * union.
 
@@ -231,18 +309,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(some.groupBy("d1", "d2").agg(F.min("id").alias("rep")), "classes")
     # One row of each class carries its signature: rows of a class have the same, so any of its smallest id will do.
     reps = some.filter("id is not null").join(classes.withColumnRenamed("rep", "id"), ["d1", "d2", "id"], "left_semi").select("id", "sig", "keys")
-    pairs = written(candidates(reps, percent / 100, leaf, depth), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = written(shingle_sets(docs.join(sized(ids), "id", "left_semi"), width), "sets")
-    links = (
-        pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("two")), "b")
-        .join(sets.select(F.col("id").alias("a"), F.col("items").alias("one")), "a")
-        .select("a", "b", F.size(F.array_intersect("one", "two")).cast("long").alias("common"), (F.size("one") + F.size("two")).cast("long").alias("both"))
-        .filter(100 * F.col("common") >= percent * (F.col("both") - F.col("common")))
-        .select("a", "b")
-        .distinct()
-    )
-    labels = components(links)
+    first, left, large_left = candidates(reps, percent / 100, leaf, depth)
+    links = written(_confirmed(docs, first, width, percent), "links")
+    labels = written(components(links), "labels")
+    rest = written(left_pairs(left, large_left, labels, percent / 100, leaf), "pairs")
+    if not rest.isEmpty():
+        more = written(_confirmed(docs, rest, width, percent), "links")
+        if not more.isEmpty():
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("label", "rep").alias("component_id"))
     return profile.join(named, ["d1", "d2"], "left").select(
         F.col("id").alias(id_col),

@@ -246,6 +246,20 @@ def test_near_duplicates_match_brute_force(spark, leaf):
     assert got == want
 
 
+def two_clusters():
+    """Two tight clusters of near copies at 0.75 of each other, joined by one pair at 0.83."""
+    core, one, two = ([f"{p}{i}" for i in range(n)] for p, n in (("c", 170), ("a", 28), ("b", 28)))
+    rows = [[*core, *one[: 26], f"x{i}", f"y{i}"] for i in range(12)] + [[*core, *two[: 26], f"u{i}", f"v{i}"] for i in range(5)]
+    rows += [core + one[:23] + two[:5], core + two[:23] + one[:5]]
+    return [(i, " ".join(r)) for i, r in enumerate(rows)]
+
+
+def test_near_duplicates_joined_by_one_pair_of_a_leaf(spark):
+    rows = two_clusters()
+    assert set(c for _, c in brute.near_duplicates(rows, 80, 1).values()) == {0}
+    assert {r.component_id for r in neardup.near_duplicates(docs_of(spark, rows), width=1).collect()} == {0}
+
+
 def test_near_duplicates_match_sql(spark):
     compare(queries.op5_minhash_near_dedup(spark, "/root/testdata/sf0.01"), neardup.ORACLE_SQL, connect("/root/testdata/sf0.01"))
 
