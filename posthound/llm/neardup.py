@@ -7,7 +7,7 @@ Nodes of at most `leaf` documents are compared exhaustively on their signatures;
 Links are found in two passes, so that a huge group of near copies is linked without all its pairs. The first confirms few
 candidates of each node: pairs with the node's centre, with each document's nearest, and with a few leaders of large nodes. The
 second takes the pairs that the first left out, except where confirmed links already connect both documents: all of them in
-every leaf. A pair is left out for good only if
+every leaf, and all pairs of blocks of the nodes that are still large at the last level. A pair is left out for good only if
 its signatures are too unlike, or if it could not change a component.
 Every candidate is confirmed on the full shingle sets. Documents with equal sets are one class from the start.
 
@@ -264,11 +264,30 @@ def candidates(reps: DataFrame, threshold: float, leaf: int, depth: int) -> tupl
     return found.filter("a < b").select("a", "b"), left, large_left
 
 
+def _grid(nodes: DataFrame, leaf: int) -> DataFrame:
+    """Large nodes(key, id, sig, label) as nodes of two blocks each (or of one with itself): every two documents of different
+    labels meet. A label of more than half a leaf has blocks of its own, which never meet each other; the others share blocks."""
+    half = max(1, leaf // 2)
+    c = F.col
+    sizes = nodes.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    own = sizes.filter(c("c") > half).select("key", "label", F.ceil(c("c") / half).cast("long").alias("own"))
+    shared = sizes.groupBy("key").agg(F.ceil(F.sum(F.when(c("c") <= half, c("c")).otherwise(0)) / half).cast("long").alias("shared"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    dealt = nodes.join(shared, "key").join(own, ["key", "label"], "left")
+    alone = c("own").isNotNull()
+    at = F.when(alone, F.xxhash64("label", F.pmod(F.xxhash64("id"), c("own")))).otherwise(F.pmod(F.xxhash64("label"), F.greatest("shared", F.lit(1))))
+    dealt = written(dealt.select("key", "id", "sig", "label", at.alias("block"), F.when(alone, c("label")).alias("whole")), "dealt")
+    blocks = dealt.select("key", "block", "whole").distinct().select("key", c("block").alias("other"), c("whole").alias("other_whole"))
+    cell = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key")
+    return dealt.join(blocks, "key").filter("whole is null or other_whole is null or whole != other_whole").select(cell, "id", "sig", "label", "block")
+
+
 def left_pairs(left: DataFrame, large_left: DataFrame | None, labels: DataFrame, threshold: float, leaf: int) -> DataFrame:
     """The second pass: distinct candidates (a < b) of what the first left, of documents that labels(node, label) do not connect."""
     held = sized(labels.select(F.col("node").alias("id"), "label"))
     labelled = lambda nodes: nodes.join(held, "id", "left").select("key", "id", "sig", F.coalesce("label", "id").alias("label"))
     nodes = labelled(left).withColumn("block", F.lit(0).cast("long"))
+    if large_left is not None:
+        nodes = nodes.unionByName(_grid(labelled(large_left), leaf))
     return _cross_pairs(nodes, _least(threshold)).filter("a < b").distinct()
 
 

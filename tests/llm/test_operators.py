@@ -260,6 +260,13 @@ def test_near_duplicates_joined_by_one_pair_of_a_leaf(spark):
     assert {r.component_id for r in neardup.near_duplicates(docs_of(spark, rows), width=1).collect()} == {0}
 
 
+@pytest.mark.parametrize("leaf", [8, 2])
+def test_near_duplicates_joined_by_one_pair_of_a_node_that_stays_large(spark, leaf):
+    rows = two_clusters()
+    assert {r.component_id for r in neardup.near_duplicates(docs_of(spark, rows), width=1, leaf=leaf, depth=1).collect()} == {0}
+    assert {r.component_id for r in neardup.near_duplicates(docs_of(spark, rows[:-1]), width=1, leaf=leaf, depth=1).collect()} == {0, 12}
+
+
 def test_near_duplicates_match_sql(spark):
     compare(queries.op5_minhash_near_dedup(spark, "/root/testdata/sf0.01"), neardup.ORACLE_SQL, connect("/root/testdata/sf0.01"))
 
