@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from posthound.llm import bytesops as bo
 from posthound.llm.common import sized, without
@@ -74,6 +75,11 @@ def _set_chunks(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, n
         yield a, b, *_uniques(*bo.shingles(bo.span_hashes(low, starts, ends), doc, b - a, width))
 
 
+def _digest(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums that stand for each set; the sets start at `at` and are not empty."""
+    return np.add.reduceat(h, at), np.add.reduceat(bo.mix(h ^ np.uint64(0x5851F42D4C957F2D)), at)
+
+
 def profiles(docs: DataFrame, width: int, trees: int, threshold: float) -> DataFrame:
     """id, n_shingles, digest (d1, d2) of the set, 64 signature bytes, and the keys of the first level's nodes."""
 
@@ -86,7 +92,7 @@ def profiles(docs: DataFrame, width: int, trees: int, threshold: float) -> DataF
                 sig8, keys = np.zeros((b - a, COORDS), np.uint8), [[] for _ in range(b - a)]
                 if len(full):
                     at = offs[:-1][full]
-                    d1[full], d2[full] = np.add.reduceat(h, at), np.add.reduceat(bo.mix(h ^ np.uint64(0x5851F42D4C957F2D)), at)
+                    d1[full], d2[full] = _digest(h, at)
                     sig = _signature(h, np.append(at, offs[-1]))
                     sig8[full] = (bo.mix(sig.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
                     for tree in range(trees):
@@ -322,6 +328,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     trees: independent repetitions; a pair at the threshold misses one first-level tree with chance 1 - percent/100 at most.
     leaf: nodes up to this size are compared exhaustively; larger ones branch up to `depth` more times.
     """
+    return _decided(docs, id_col, text_col, width, percent, trees, leaf, depth).drop("d1", "d2").withColumnRenamed("id", id_col)
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str = "text", width: int = 5, percent: int = 80, trees: int = 10, leaf: int = 1024, depth: int = 4) -> DataFrame:
+    """near_duplicates as id, d1, d2 (digest of the row's set), n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     profile = written(profiles(docs, width, trees, percent / 100), "profile")
     some = profile.filter("n_shingles > 0")
@@ -338,22 +349,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("label", "rep").alias("component_id"))
     return profile.join(named, ["d1", "d2"], "left").select(
-        F.col("id").alias(id_col),
+        "id",
+        "d1",
+        "d2",
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
         F.when(F.col("n_shingles") > 0, F.col("id").eqNullSafe(F.col("component_id"))).otherwise(F.lit(True)).alias("kept"),
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without all but one document of each component; rows that repeat a kept doc_id with equal columns stay once."""
-    found = written(near_duplicates(docs, id_col, **how).select(F.col(id_col).alias("id"), "kept"), "kept")
-    out = without(docs, found.filter(~F.col("kept")).select("id"), id_col)
-    again = written(found.filter("kept").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "again")
-    if again.isEmpty():
-        return out
-    repeated = out.join(sized(again.withColumnRenamed("id", "_again")), F.col(id_col).eqNullSafe(F.col("_again")), "left_semi")
-    return without(out, again, id_col).unionByName(repeated.dropDuplicates())
+def _digested(docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """docs with _d1 and _d2, the digest of each row's set as in profiles (zeros for no shingle)."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            d1, d2 = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
+            texts = pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], names=["id", "text"])
+            for a, b, h, offs in _set_chunks(texts, width):
+                full = np.flatnonzero(np.diff(offs) > 0)
+                if len(full):
+                    d1[a + full], d2[a + full] = _digest(h, offs[:-1][full])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], names=[*batch.schema.names, "_d1", "_d2"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_d1", T.LongType()), T.StructField("_d2", T.LongType())]))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, **how) -> DataFrame:
+    """docs without all but one document of each component; rows that repeat a kept doc_id with equal columns stay once.
+
+    Rows whose doc_id is null or occurs more than once are decided one by one, by doc_id and set.
+    """
+    found = written(_decided(docs, id_col, text_col, width, **how).select("id", "d1", "d2", "kept"), "kept")
+    several = written(found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").select("id"), "several")
+    gone = found.filter(~F.col("kept"))
+    if several.isEmpty():
+        return without(docs, gone.select("id"), id_col)
+    odd = sized(several.withColumnRenamed("id", "_several"))
+    by_row = _digested(docs.join(odd, F.col(id_col).eqNullSafe(F.col("_several")), "left_semi"), text_col, width)
+    lost = gone.join(odd, F.col("id").eqNullSafe(F.col("_several")), "left_semi").select(F.col("id").alias("_gone"), F.col("d1").alias("_g1"), F.col("d2").alias("_g2")).distinct()
+    stay = by_row.join(lost, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col("_d1") == F.col("_g1")) & (F.col("_d2") == F.col("_g2")), "left_anti")
+    return without(docs, gone.select("id").unionByName(several), id_col).unionByName(stay.drop("_d1", "_d2").dropDuplicates())
 
 
 #: Every pair that shares a shingle, counted; components by a recursive walk.

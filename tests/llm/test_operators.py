@@ -282,6 +282,13 @@ def test_near_duplicates_on_odd_rows(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 1
 
 
+def test_rows_of_null_and_repeated_ids_are_dropped_one_by_one(spark):
+    x, y, z = (" ".join(f"{p}{i}" for i in range(9)) for p in "xyz")
+    rows = [(5, x), (9, x), (9, y), (None, x), (None, z), (None, "short")]
+    got = neardup.drop_near_duplicates(docs_of(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(5, x), (9, y), (None, z), (None, "short")], key=str)
+
+
 # --- 6 language ------------------------------------------------------------------------------------------------------------------
 
 
