@@ -1,4 +1,8 @@
-"""Script layers and HTML rules: text behind encodings is unfolded within bounds, then matched like any other text."""
+"""Script layers and HTML rules: text behind encodings is unfolded within bounds, then matched like any other text.
+
+Texts and layers are read whole. Bounds: 40 layers a text, three encodings deep, and 64 MiB out of one compressed blob, beyond
+which it is read no further.
+"""
 
 from __future__ import annotations
 
@@ -17,14 +21,16 @@ from posthound.plans.registry import Registry
 from posthound.sources.mail import html_facts
 
 R = Registry()
-MAX_LAYERS, MAX_DEPTH, MAX_CHARS = 40, 3, 200_000
+MAX_LAYERS, MAX_DEPTH, MAX_INFLATED = 40, 3, 64 * 1024 * 1024
+#: Characters of layers that a task gathers before it hands them on.
+BATCH_CHARS = 4_000_000
 
 
 def _readable(raw: bytes) -> str | None:
     for data in (raw, None):
         if data is None:
             try:
-                data = zlib.decompressobj(47).decompress(raw, MAX_CHARS)
+                data = zlib.decompressobj(47).decompress(raw, MAX_INFLATED)
             except zlib.error:
                 return None
         text = data.decode("utf-16le" if data[1:2] == b"\0" else "utf-8", "replace")
@@ -63,15 +69,15 @@ def unfold(text: str) -> Iterator[str]:
 
 def layers(text: str | None) -> list[str]:
     """The text and what its encodings hide, breadth first, without repeats."""
-    out = [(text or "")[:MAX_CHARS]]
+    out = [text or ""]
     level = out[:]
     for _ in range(MAX_DEPTH):
         below = []
         for t in level:
             for u in unfold(t):
                 if u not in out and len(out) < MAX_LAYERS:
-                    out.append(u[:MAX_CHARS])
-                    below.append(u[:MAX_CHARS])
+                    out.append(u)
+                    below.append(u)
         level = below
     return out
 
@@ -81,7 +87,13 @@ def with_layers(rows: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "layers": ["\n".join(layers(t)) for t in pdf[text]]})
+            held, size, first = [], 0, 0
+            for i, t in enumerate(pdf[text]):
+                held.append("\n".join(layers(t)))
+                size += len(held[-1])
+                if size > BATCH_CHARS or i + 1 == len(pdf):
+                    yield pd.DataFrame({key: pdf[key].iloc[first : i + 1].to_numpy(), "layers": held})
+                    held, size, first = [], 0, i + 1
 
     return rows.select(key, text).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, layers string")
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from posthound.functions import text, urls
-from posthound.operators import files, lookalike, messages
+from posthound.operators import files, lookalike, messages, scripts
 from posthound.plans.reports import ResultFilter, page
 from posthound.plans.scoring import ScoreConfig, verdicts
 from posthound.sources import mail
@@ -138,3 +138,9 @@ def test_messages_to_verdicts(spark):
     assert {"filetype.executable_in_archive", "content.password_protected_lure", "pe.malformed"} <= rules
     level = {r.analysis_id: r.level for r in verdict.collect()}
     assert level[1] == "malicious" and level[3] == "clean" and len(level) == 4
+
+
+def test_script_layers_behind_long_padding(spark):
+    pad = "lorem ipsum " * 20_000
+    rows = spark.createDataFrame([(1, pad + scripts.SCRIPTS[0][1]), (2, pad)], "id int, text string")
+    assert {(r.id, r.rule) for r in scripts.script_findings(rows, "id", "text").collect()} == {(1, "script.obfuscation"), (1, "script.shadow_delete")}
