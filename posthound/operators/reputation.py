@@ -42,6 +42,14 @@ def hash_findings(artifacts: DataFrame, known: DataFrame, counts: DataFrame) ->
     return hit.unionByName(rest.select("analysis_id", "sha256", rule.alias("rule"), score.alias("score")))
 
 
+def url_findings(pages: DataFrame, bad: DataFrame) -> DataFrame:
+    """page_id, url, score of the pages whose URL is in bad(url, online), fragments aside; one that any row has online counts more."""
+    plain = F.regexp_replace("url", "#.*$", "")
+    known = bad.groupBy(F.xxhash64(plain).alias("h"), plain.alias("plain")).agg(F.max("online").alias("online"))
+    asked = pages.select("page_id", "url", plain.alias("plain"), F.xxhash64(plain).alias("h"))
+    return asked.join(known, ["h", "plain"]).select("page_id", "url", F.when(F.col("online"), 85).otherwise(75).alias("score"))
+
+
 def classify_signature(name: Column) -> Column:
     """struct(class, severity, score) of a scanner's signature name."""
     low = F.lower(name)
@@ -92,7 +100,7 @@ def signature_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN 85 ELSE 75 END AS score FROM pages WHERE page_id % 25 = 0")
 def url_reputation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages against a table of bad URLs by hash of the URL without its fragment; the sample table holds every 25th page."""
-    pages = src.table(spark, sf_dir, "pages").withColumn("plain", F.regexp_replace("url", "#.*$", ""))
-    bad = pages.filter("page_id % 25 = 0").groupBy(F.xxhash64("page_id", "plain").alias("h")).agg(F.max(F.col("page_id") % 2 == 0).alias("online"))
-    return pages.withColumn("h", F.xxhash64("page_id", "plain")).join(bad, "h").select("page_id", "url", F.when(F.col("online"), 85).otherwise(75).alias("score"))
+    """Pages against a table of bad URLs; the sample table holds the URLs of every 25th page."""
+    pages = src.table(spark, sf_dir, "pages")
+    bad = pages.filter("page_id % 25 = 0").select("url", (F.col("page_id") % 2 == 0).alias("online"))
+    return url_findings(pages, bad)

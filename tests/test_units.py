@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from posthound.functions import text, urls
-from posthound.operators import files, lookalike, messages, scripts
+from posthound.operators import files, lookalike, messages, reputation, scripts
 from posthound.plans.reports import ResultFilter, page
 from posthound.plans.scoring import ScoreConfig, verdicts
 from posthound.sources import mail
@@ -144,3 +144,9 @@ def test_script_layers_behind_long_padding(spark):
     pad = "lorem ipsum " * 20_000
     rows = spark.createDataFrame([(1, pad + scripts.SCRIPTS[0][1]), (2, pad)], "id int, text string")
     assert {(r.id, r.rule) for r in scripts.script_findings(rows, "id", "text").collect()} == {(1, "script.obfuscation"), (1, "script.shadow_delete")}
+
+
+def test_bad_urls_are_found_under_any_page(spark):
+    pages = spark.createDataFrame([(1, "https://a.example/x#top"), (2, "https://a.example/x"), (3, "https://b.example/"), (4, "https://c.example/")], "page_id long, url string")
+    bad = spark.createDataFrame([("https://a.example/x", True), ("https://c.example/#f", False)], "url string, online boolean")
+    assert {(r.page_id, r.score) for r in reputation.url_findings(pages, bad).collect()} == {(1, 85), (2, 85), (4, 75)}
