@@ -8,7 +8,9 @@ alignment of an item in a document the placeholders' values must map one to one
 
 A bitmap of fixed size, set by all items' windows, drops most document windows before the join.
 
-Cases: null or empty texts and texts without letters or digits have no window; texts of fewer than five tokens are one window; a window
+Cases: null or empty texts and texts without letters or digits have no window; texts of fewer than five tokens are one window, and documents
+have windows of each such length that items have; a shorter window inside a document with fewer literals than placeholders, and less than
+two, counts only where its values are the item's own; a capitalised first word of an item counts as a literal and as a name; a window
 with fewer literal tokens than placeholders counts only where its literals are at least two, or it is the whole text; repeated rows of
 one id count once; null ids match nothing; empty tables give an empty result; extra columns are ignored.
 Case folding covers ASCII and Latin-1.
@@ -49,12 +51,12 @@ def fold(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def tokens(buf: np.ndarray, offs: np.ndarray):
-    """(canonical hash, value hash or 0 for literals, text number) of each token."""
+def tokens(buf: np.ndarray, offs: np.ndarray, capitals: bool = False):
+    """(canonical hash, value hash or 0 for literals, text number) of each token; on demand, whether it is capitalised."""
     starts, ends, doc = bo.words(buf, offs)
     if not len(starts):
         z = np.zeros(0, np.uint64)
-        return z, z, np.zeros(0, np.int64)
+        return (z, z, np.zeros(0, np.int64), np.zeros(0, bool)) if capitals else (z, z, np.zeros(0, np.int64))
     pos = np.arange(len(buf))
     solid = _ALNUM[buf]
     a = np.minimum.reduceat(np.where(solid, pos, len(buf)), starts)
@@ -78,18 +80,60 @@ def tokens(buf: np.ndarray, offs: np.ndarray):
     after = np.concatenate([[False], number[:-1] & (doc[1:] == doc[:-1])])
     unit = after & ~number & np.isin(h, _UNIT_HASHES)
     kind = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, np.uint64(0))))
-    return np.where(kind > 0, kind, h), np.where(kind > 0, bo.mix(h ^ kind), np.uint64(0)), doc
+    out = np.where(kind > 0, kind, h), np.where(kind > 0, bo.mix(h ^ kind), np.uint64(0)), doc
+    return (*out, capital) if capitals else out
 
 
-def _windows(rows: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
-    """id, pos, window, slots (value hashes of its placeholders), n (windows of the whole text that count)."""
+def _exact(w: np.ndarray, value: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of windows together with their placeholders' values."""
+    out = w ^ np.uint64(0x6A09E667F3BCC909)
+    for k in range(size):
+        out = bo.mix(out ^ value[at + k])
+    return out
+
+
+def _short(h: np.ndarray, value: np.ndarray, doc: np.ndarray, n_docs: int, width: int, whole: bool):
+    """(owner, pos, first token, window) of the windows of `width` < WIDTH tokens inside longer texts, or of whole texts so long.
+    Windows that are mostly placeholders stand for their own values only."""
+    count = np.bincount(doc, minlength=n_docs)
+    first = np.concatenate([[0], np.cumsum(count)])[:-1]
+    w, upto = bo.shingles(h, doc, n_docs, width)
+    owner = np.repeat(np.arange(n_docs), np.diff(upto))
+    pos = np.arange(len(w)) - upto[:-1][owner]
+    keep = np.flatnonzero(count[owner] == width if whole else count[owner] > width)
+    owner, pos, w = owner[keep], pos[keep], w[keep]
+    at = first[owner] + pos
+    literal = np.concatenate([[0], np.cumsum(value == 0)])
+    plain = literal[at + width] - literal[at]
+    weak = (plain < 2) & (2 * plain < width)
+    w[weak] = _exact(w[weak], value, at[weak], width)
+    if whole:
+        owner, pos, at, w = owner[weak], pos[weak], at[weak], w[weak]
+    return owner, pos, at, w
+
+
+def _as_names(h: np.ndarray, value: np.ndarray, doc: np.ndarray, capital: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens with each text's capitalised first word as a name, and the numbers of the texts that have one."""
+    lead = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+    lead = lead[capital[lead] & (value[lead] == 0)]
+    named, values = h.copy(), value.copy()
+    named[lead], values[lead] = _NAME, bo.mix(h[lead] ^ _NAME)
+    return named, values, doc[lead]
+
+
+def _windows(rows: DataFrame, bitmap: np.ndarray | None, widths: tuple[int, ...] = ()) -> DataFrame:
+    """id, pos, window, slots (value hashes of its placeholders), n (windows of the whole text that count).
+
+    Without a bitmap the rows are items: their first windows come a second time with a capitalised first word as a name. widths:
+    lengths below WIDTH of which documents have windows too.
+    """
     cast = rows.sparkSession.sparkContext.broadcast(bitmap) if bitmap is not None else None
 
     def run(batches):
         held = cast.value if cast is not None else None
         for batch in batches:
             for a, b, buf, offs in bo.chunks(batch.column(1)):
-                h, value, doc = tokens(buf, offs)
+                h, value, doc, capital = tokens(buf, offs, True)
                 w, upto = bo.shingles(h, doc, b - a, WIDTH)
                 owner = np.repeat(np.arange(b - a), np.diff(upto))
                 count = np.bincount(doc, minlength=b - a)
@@ -100,11 +144,35 @@ def _windows(rows: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
                 plain = literal[at + size] - literal[at]
                 ok = (plain >= 2) | (count[owner] < WIDTH)
                 n = np.bincount(owner[ok], minlength=b - a)
+                values = value
+                if held is None:
+                    # Variants read from a second copy of the tokens, which follows the first.
+                    named, own, some = _as_names(h, value, doc, capital)
+                    again = (pos == 0) & np.isin(owner, some)
+                    other, _ = bo.shingles(named, doc, b - a, WIDTH)
+                    more = [(owner[again], pos[again], at[again] + len(h), size[again], other[again])]
+                    literal = np.concatenate([[0], np.cumsum(own == 0)])
+                    plain = literal[(at + size)[again]] - literal[at[again]]
+                    good = (plain >= 2) | (count[owner[again]] < WIDTH)
+                    more = [tuple(x[good] for x in more[0])]
+                    for k in range(1, WIDTH):
+                        for t, v, shift in ((h, value, 0), (named, own, len(h))):
+                            o, p, i, x = _short(t, v, doc, b - a, k, True)
+                            more.append((o, p, i + shift, np.full(len(o), k), x))
+                    values = np.concatenate([value, own])
+                else:
+                    more = []
+                    for k in widths:
+                        o, p, i, x = _short(h, value, doc, b - a, k, False)
+                        more.append((o, p, i, np.full(len(o), k), x))
+                if more:
+                    owner, pos, at, size, w = (np.concatenate([x, *y]) for x, y in zip((owner, pos, at, size, w), zip(*more, strict=True), strict=True))
+                    ok = np.concatenate([ok, np.ones(len(w) - len(ok), bool)])
                 if held is not None:
                     bit = (w >> np.uint64(64 - BITS)).astype(np.int64)
                     ok &= (held[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0
                 keep = np.flatnonzero(ok)
-                slots = [value[at[i] : at[i] + size[i]] for i in keep]
+                slots = [values[at[i] : at[i] + size[i]] for i in keep]
                 slots = [s[s > 0].view(np.int64) for s in slots]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -113,28 +181,33 @@ def _windows(rows: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
                         pa.array(w[keep].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in slots])]).astype(np.int32)), pa.array(np.concatenate(slots) if slots else np.zeros(0, np.int64), pa.int64())),
                         pa.array(n[owner[keep]]),
+                        pa.array(size[keep].astype(np.int64)),
+                        pa.array(at[keep] >= len(h)),
                     ],
-                    names=["id", "pos", "window", "slots", "n"],
+                    names=["id", "pos", "window", "slots", "n", "width", "named"],
                 )
 
-    return rows.mapInArrow(run, "id long, pos long, window long, slots array<long>, n long")
+    return rows.mapInArrow(run, "id long, pos long, window long, slots array<long>, n long, width long, named boolean")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, coverage, windows: the items of benchmark(item_id, text) that documents hold."""
     named = lambda rows, c, t: rows.filter(F.col(c).isNotNull()).select(F.col(c).cast("long").alias("id"), F.col(t).cast("string").alias("text"))
-    items = written(_windows(named(benchmark, "item_id", "text"), None), "items").select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "window", F.col("slots").alias("item_slots"), "n")
+    items = written(_windows(named(benchmark, "item_id", "text"), None), "items").select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "window", F.col("slots").alias("item_slots"), "n", "width", "named")
     bit = F.shiftrightunsigned("window", 64 - BITS)
     # At most 2 ** (BITS - 6) rows, whatever the benchmark's size.
     words = items.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(window, {64 - BITS}) & 63 as int))")).alias("mask")).collect()
     bitmap = np.zeros(1 << (BITS - 6), np.uint64)
     for r in words:
         bitmap[r["at"]] = np.uint64(r["mask"] & 0xFFFFFFFFFFFFFFFF)
-    seen = _windows(named(docs, id_col, text_col), bitmap).select("id", "pos", "window", "slots")
+    widths = tuple(sorted(r["width"] for r in items.filter(F.col("width") < WIDTH).select("width").distinct().collect()))
+    seen = _windows(named(docs, id_col, text_col), bitmap, widths).select("id", "pos", "window", "slots")
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
     lines = (
         seen.join(items, "window")
-        .groupBy("id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
+        # An alignment counts with its first word as a name or without that window: a name that fits badly takes no other window away.
+        .withColumn("as_name", F.explode(F.when(F.col("named"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))))
+        .groupBy("id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "as_name")
         .agg(F.max("n").alias("n"), F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("map"))
     )
     one_to_one = (F.size(F.array_distinct(F.col("map.i"))) == F.size("map")) & (F.size(F.array_distinct(F.col("map.d"))) == F.size("map"))

@@ -183,6 +183,13 @@ def test_templates_catch_new_parameters_only_if_consistent(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
 
 
+def test_short_items_are_found_inside_texts(spark):
+    items = spark.createDataFrame([(1, "Name prime numbers"), (2, "Who wrote the famous play Hamlet?"), (3, "Who is Einstein?"), (4, "Anna buys 5 red apples")], "item_id long, text string")
+    docs = [(1, "they were told to name prime numbers on that day"), (2, 'the host then asked "Who wrote the famous play Hamlet?" and waited'), (3, "the host, Who is Einstein? and others asked"), (4, "they say Maria buys 7 red apples there"), (5, "the host, Who is Newton? and others asked"), (6, "nothing of this kind is found in here at all"), (7, "name prime numbers")]
+    got = {(r.doc_id, r.item_id) for r in templates.contaminated(docs_of(spark, docs), items).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (7, 1)}
+
+
 def test_templates_match_brute_force(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r.doc_id, r.item_id) for r in templates.contaminated(docs, bench).collect()}
