@@ -306,7 +306,7 @@ def scan(buf: np.ndarray, offs: np.ndarray, field: Field) -> dict[int, tuple[str
         for s, e in extra.get(i, ()):
             a = len(own[: s - offs[i]].decode("utf-8", "replace"))
             b = a + len(own[s - offs[i] : e - offs[i]].decode("utf-8", "replace"))
-            if not any(x < b and a < y for x, y, _ in spans):
+            if not any(x <= a and b <= y for x, y, _ in spans):
                 spans.append((a, b, "crf"))
         if spans:
             out[i] = text, sorted(spans, key=lambda x: (x[0], KINDS.index(x[2])))

@@ -113,6 +113,13 @@ def test_redaction_keeps_rows_and_columns(spark, odd, empty):
     assert secretcrf.redact(empty).count() == 0 and secretcrf.secrets(empty).count() == 0 and secretcrf.secrets(odd).count() == odd.count()
 
 
+def test_field_spans_that_reach_beyond_a_base_span_stay(spark):
+    docs = docs_of(spark, [(1, "the deploy key 3f9a7c2e1b8d4f6a0c5e9d72QX7ZK9PLM4TR8VW2 works")])
+    got = secretcrf.secrets(docs).first()
+    assert (got.spans, got.n_hex, got.n_crf) == ("hex:15:39,crf:15:55", 1, 1)
+    assert secretcrf.redact(docs).first().text == "the deploy key [SECRET] works"
+
+
 # --- 2 nearest neighbours --------------------------------------------------------------------------------------------------------
 
 
