@@ -8,7 +8,7 @@ over the windows in order is needed. Windows are runs of quanta; a queue that ru
 Only the last quantum of a queue can be short, so at most one window a queue is padded.
 
 Cases: a null or empty text is the end id alone; a null source is a queue of its own; repeated rows are packed each; with more
-than `most_queues` sources they share hashed queues; an empty table gives an empty result; extra columns are ignored.
+than `most_queues` sources, those with a weight and the largest keep queues of their own and only the small rest share hashed queues; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -171,9 +171,18 @@ def _pieces(schedule: Schedule, queue: np.ndarray, start: np.ndarray, n: np.ndar
     return doc[at], a[at] - start[doc[at]], length, window[at], offset[at]
 
 
-def _queue(source: Column, n_sources: int, most: int) -> Column:
-    named = F.when(source.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), source))
-    return named if n_sources <= most else F.concat(F.lit("hash="), F.pmod(F.xxhash64(named), F.lit(most)).cast("string"))
+def _named(source: Column) -> Column:
+    return F.when(source.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), source))
+
+
+def _queue(docs: DataFrame, source: Column, text: Column, weighted: list[str], most: int) -> Column:
+    """The queue of each row: its source's; beyond `most` sources only the weighted and the largest by bytes, half of all queues, have one."""
+    named = _named(source)
+    if docs.select(source.alias("s")).distinct().limit(most + 1).count() <= most:
+        return named
+    sizes = docs.groupBy(named.alias("q")).agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).alias("m"))
+    own = sorted({*weighted, *(r["q"] for r in sizes.orderBy(F.desc("m"), "q").limit(max(1, most // 2)).collect())})
+    return F.when(named.isin(own), named).otherwise(F.concat(F.lit("hash="), F.pmod(F.xxhash64(named), F.lit(max(1, most - len(own)))).cast("string")))
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None, weights: dict[str | None, float] | None = None, window: int = WINDOW, quantum: int = QUANTUM, end_id: int = 0, most_queues: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -187,16 +196,17 @@ def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = Non
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     if window % quantum:
         raise ValueError("a window holds whole quanta")
-    n_sources = docs.select(source_col).distinct().limit(most_queues + 1).count()
-    queued = docs.select(F.col(id_col).cast("long").alias("id"), _queue(F.col(source_col).cast("string"), n_sources, most_queues).alias("queue"), F.col(text_col).cast("string").alias("text"))
+    shares = {("null" if k is None else f"={k}"): v for k, v in (weights or {}).items()}
+    text = F.col(text_col).cast("string")
+    queue = _queue(docs, F.col(source_col).cast("string"), text, list(shares), most_queues)
+    queued = docs.select(F.col(id_col).cast("long").alias("id"), queue.alias("queue"), text.alias("text"))
     table = written(token_table(queued, vocabulary, ranks, public_tokenizers.PATTERN, end_id), "tokens")
     parts = table.groupBy("queue", "part").agg(F.sum("n").alias("m"))
     base = parts.select("queue", "part", (F.sum("m").over(W.partitionBy("queue").orderBy("part")) - F.col("m")).alias("base"))
-    # One row per queue: at most most_queues.
+    # One row per queue: at most most_queues, or one more than the weighted sources if those are more.
     sums = {r["queue"]: r["m"] for r in table.groupBy("queue").agg(F.sum("n").alias("m")).collect()}
     names = sorted(sums)
     totals = np.array([sums[q] for q in names], dtype=np.int64)
-    shares = {("null" if k is None else f"={k}"): v for k, v in (weights or {}).items()}
     wanted = np.array([shares.get(q, 0.0) for q in names]) if shares else totals.astype(float)
     wanted = np.where(wanted > 0, wanted, max(1e-9, float(wanted.sum()) * 1e-6)) / max(1e-9, float(wanted.sum()))
     schedule = Schedule(totals, wanted, window, quantum)

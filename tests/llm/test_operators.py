@@ -375,6 +375,17 @@ def test_packing_by_given_shares(spark):
     assert abs(head["=s0"] / head.sum() - 0.5) < 0.05
 
 
+def test_large_and_weighted_sources_keep_their_queues_among_many(spark):
+    rng = random.Random(11)
+    rows = [(i, words(rng, 300), "en", "big" if i % 2 else "other", 0) for i in range(40)] + [(100 + i, "few words", "en", f"host{i}", 0) for i in range(30)]
+    got = packing.pack(spark.createDataFrame(rows, DOC), weights={"big": 3.0, "other": 1.0, "host7": 1.0}, most_queues=8)
+    queues = {r.doc_id: r.source_queue for r in got.collect()}
+    assert {queues[1], queues[0], queues[107]} == {"=big", "=other", "=host7"}
+    assert len(set(queues.values())) <= 8 and len(queues) == len(rows)
+    early = {r.source_queue: r.n for r in got.filter("sequence_id < 8").groupBy("source_queue").agg(F.sum("length").alias("n")).collect()}
+    assert early["=big"] > 2 * early["=other"]
+
+
 def test_segments_equal_the_tokenizer_on_random_text():
     import pyarrow as pa
     import public_tokenizers as P
