@@ -3,8 +3,9 @@
 Two generative models, of target text and of raw text, give each hashed n-gram (words, word pairs and pairs of word shapes) the
 chance that a document holds it. A document's log importance weight is the sum of its n-grams' log ratios; a ratio counts as
 none if it is within `dead` of 1 or within `sigmas` of chance, so that the weight tells what the target lacks or favours and
-not how long the text is. The cut that best parts accepted from rejected labelled rows fixes how many documents to draw, and
-Gumbel top-k draws them by weight.
+not how long the text is. Gumbel top-k then draws k documents without replacement with chances in proportion to their weights:
+standard Gumbel noise is added to each log weight, at temperature 1, and the k largest sums are drawn. k is a given share of the
+documents or, by default, as many as weigh at least the cut that best parts accepted from rejected labelled rows.
 
 The target model and the cut are fitted on at most `sample` labelled rows (smallest hashes of their ids); the raw model
 counts every document.
@@ -122,8 +123,8 @@ def weigh(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str, tempe
     return out.withColumn("_key", F.col("log_weight") + temperature * gumbel).drop("_noise")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 40_000, prior: float = 4.0, dead: float = 1.0, sigmas: float = 4.5, temperature: float = 0.02) -> Model:
-    """Count, calibrate and find the last place that Gumbel top-k fills."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 40_000, prior: float = 0.5, dead: float = 1.0, sigmas: float = 4.5, temperature: float = 1.0, share: float | None = None) -> Model:
+    """Count, calibrate and find the last place that Gumbel top-k fills. share: part of the documents to draw; None: by the labels."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
     # Bounded by `sample` rows.
@@ -135,10 +136,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # One row per bucket.
     ratios = log_ratios(counts(plain, good).collect(), prior, dead, sigmas)
     thin = written(weigh(plain, ratios, "id", "text", temperature).select("id", "log_weight", "_key", F.xxhash64("text").alias("_text")), "weights")
-    marks = docs.sparkSession.createDataFrame([(r["id"], r["good"]) for r in rows], "id long, good boolean")
-    seen = thin.join(F.broadcast(marks), "id").groupBy((F.rint(F.col("log_weight") * 8) / 8).alias("w")).agg(F.sum(F.col("good").cast("long")).alias("yes"), F.sum((~F.col("good")).cast("long")).alias("no")).orderBy("w").collect()
-    cut = best_cut([(r["w"], r["yes"], r["no"]) for r in seen])
-    kept = thin.filter(F.col("log_weight") >= cut).count()
+    if share is None:
+        marks = docs.sparkSession.createDataFrame([(r["id"], r["good"]) for r in rows], "id long, good boolean")
+        # One row per eighth of a nat in which labelled documents lie.
+        seen = thin.join(F.broadcast(marks), "id").groupBy((F.rint(F.col("log_weight") * 8) / 8).alias("w")).agg(F.sum(F.col("good").cast("long")).alias("yes"), F.sum((~F.col("good")).cast("long")).alias("no")).orderBy("w").collect()
+        kept = thin.filter(F.col("log_weight") >= best_cut([(r["w"], r["yes"], r["no"]) for r in seen])).count()
+    else:
+        kept = round(share * thin.count())
     order = ranked(thin.withColumn("_down", -F.col("_key")), ["_down", "id", "_text"])
     last = order.filter(F.col("rank") == kept - 1).select("_key", "id", "_text").first()
     return Model(ratios, (last["_key"], last["id"], last["_text"]) if last else None, kept, order)
@@ -155,7 +159,7 @@ def best_cut(seen: list[tuple[float, int, int]], loss: float = 2.0) -> float:
     return cut
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", temperature: float = 0.02, **how) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", temperature: float = 1.0, **how) -> DataFrame:
     """The rows of docs that Gumbel top-k draws, with all their columns."""
     model = fit(docs, labels, id_col, text_col, temperature=temperature, **how)
     if model.weights is None:
