@@ -7,9 +7,11 @@ Nodes of at most `leaf` documents are compared exhaustively on their signatures;
 Links are found in two passes, so that a huge group of near copies is linked without all its pairs. The first confirms few
 candidates of each node: pairs with the node's centre, with each document's nearest, and with a few leaders of large nodes. The
 second takes the pairs that the first left out, except where confirmed links already connect both documents: all of them in
-every leaf, and all pairs of blocks of the nodes that are still large at the last level. A pair is left out for good only if
-its signatures are too unlike, or if it could not change a component.
-Every candidate is confirmed on the full shingle sets. Documents with equal sets are one class from the start.
+every leaf, and all pairs of blocks of the nodes that are still large at the last level. It sends the full sets of the documents
+in such pairs to their node once, where one product of the node's incidence matrix compares all of them, and returns a spanning
+forest of the links, so that no table of pairs grows with the square of a node. A pair is left out for good only if its signatures
+are too unlike, or if it could not change a component.
+Every link is confirmed on the full shingle sets. Documents with equal sets are one class from the start.
 
 Cases: a null or empty text, or one of white space only, has no shingle and links with nothing; fewer words than a shingle
 count as one shingle; rows that share a doc_id are one node; rows whose doc_id is null form nodes only through equal sets and
@@ -137,13 +139,26 @@ def _pairs_in(ids: np.ndarray, sig: np.ndarray, least: int) -> tuple[np.ndarray,
     return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), left
 
 
+def _column(c: pa.Array) -> np.ndarray:
+    """Numbers as they are, signatures as rows of a matrix, lists as an array of arrays."""
+    if pa.types.is_binary(c.type):
+        return np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, COORDS)
+    if not pa.types.is_list(c.type):
+        return c.to_numpy()
+    flat, cut = c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()
+    out = np.empty(len(c), object)
+    for i in range(len(c)):
+        out[i] = flat[cut[i] : cut[i + 1]]
+    return out
+
+
 def _runs(batches, take):
     """take(columns of one or more whole nodes, bounds of the nodes) over batches in key order; one node at a time is held back."""
     rest = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, COORDS) if pa.types.is_binary(c.type) else c.to_numpy() for c in batch.columns]
+        cols = [_column(c) for c in batch.columns]
         if rest is not None:
             cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
         last = int(np.searchsorted(cols[0], cols[0][-1]))
@@ -183,25 +198,88 @@ def _leaf_pairs(nodes: DataFrame, least: int) -> DataFrame:
     return nodes.repartition("key").sortWithinPartitions("key").select("key", "id", "sig").mapInArrow(lambda batches: _runs(batches, take), "a long, b long, open long")
 
 
-def _cross_pairs(nodes: DataFrame, least: int) -> DataFrame:
-    """The second pass over nodes(key, id, sig, label, block): every pair (a, b) of two labels; where a node has two blocks, of both."""
+def _open_members(nodes: DataFrame, least: int) -> DataFrame:
+    """The second pass over nodes(key, id, sig, label, block): the members (key, id, label, block) that are alike, by their signatures,
+    to one of another label; where a node has two blocks, to one of the other block."""
 
     def take(cols, bounds):
-        _, ids, sig, label, block = cols
+        key, ids, sig, label, block = cols
+        keep = np.zeros(len(ids), bool)
         for s, e in bounds:
-            d, g, t, k = ids[s:e], sig[s:e], label[s:e], block[s:e]
+            g, t, k = sig[s:e], label[s:e], block[s:e]
+            if (t == t[0]).all():
+                continue
             two = bool((k != k[0]).any())
             for i in range(0, e - s, 32):
                 ok = (g[i : i + 32, None, :] == g[None, i:, :]).sum(2, dtype=np.int16) >= least
                 ok &= t[i : i + 32, None] != t[None, i:]
                 if two:
                     ok &= k[i : i + 32, None] != k[None, i:]
-                x, y = np.nonzero(ok)
-                if len(x):
-                    a, b = _unique_pairs([np.minimum(d[i + x], d[i + y])], [np.maximum(d[i + x], d[i + y])])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                keep[s + i : s + i + len(ok)] |= ok.any(1)
+                keep[s + i : e] |= ok.any(0)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, ids, label, block)], names=["key", "id", "label", "block"])
+
+    return nodes.repartition("key").sortWithinPartitions("key").select("key", "id", "sig", "label", "block").mapInArrow(lambda batches: _runs(batches, take), "key long, id long, label long, block long")
+
+
+#: Columns of the incidence matrix that a node is compared by at a time.
+PANEL = 4096
+
+
+def _common(items: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each two sets, by the product of their incidence matrix, a panel of columns at a time."""
+    size = np.array([len(x) for x in items])
+    _, column, times = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    # What only one set holds is in no intersection.
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    row, column = np.repeat(np.arange(len(items)), size)[shared[column]], place[column[shared[column]]]
+    out = np.zeros((len(items), len(items)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for first in range(0, int(shared.sum()), PANEL):
+        a, b = np.searchsorted(column, (first, first + PANEL))
+        panel = np.zeros((len(items), PANEL), np.float32)
+        panel[row[a:b], column[a:b] - first] = 1
+        out += panel @ panel.T  # whole numbers below 2 ** 24, so exact
+    return out.astype(np.int64)
+
+
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the graph whose adjacency matrix is `near`."""
+    out, todo = [], near.any(1)
+    while todo.any():
+        front = np.array([int(np.argmax(todo))])
+        todo[front] = False
+        while len(front):
+            meets = near[front][:, todo]
+            new, hit = np.flatnonzero(todo), meets.any(0)
+            found = new[hit]
+            out.append((front[meets.argmax(0)[hit]], found))
+            todo[found] = False
+            front = found
+    return np.concatenate([x for x, _ in out] or [np.zeros(0, np.int64)]), np.concatenate([y for _, y in out] or [np.zeros(0, np.int64)])
+
+
+def _exact_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among members(key, id, label, block, items) of each node: a spanning forest of its confirmed pairs of two labels."""
+
+    def take(cols, bounds):
+        _, ids, label, block, items = cols
+        for s, e in bounds:
+            if e - s < 2:
+                continue
+            t, k, n = label[s:e], block[s:e], np.array([len(x) for x in items[s:e]])
+            common = _common(list(items[s:e]))
+            near = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (t[:, None] != t[None, :])
+            if (k != k[0]).any():
+                near &= k[:, None] != k[None, :]
+            a, b = (ids[s:e][x] for x in _forest(near))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return nodes.repartition("key").sortWithinPartitions("key").select("key", "id", "sig", "label", "block").mapInArrow(lambda batches: _runs(batches, take), "a long, b long")
+    return members.repartition("key").sortWithinPartitions("key").select("key", "id", "label", "block", "items").mapInArrow(lambda batches: _runs(batches, take), "a long, b long")
 
 
 #: Documents that every member of a large node is held against: the node's smallest by so many hashes.
@@ -287,14 +365,16 @@ def _grid(nodes: DataFrame, leaf: int) -> DataFrame:
     return dealt.join(blocks, "key").filter("whole is null or other_whole is null or whole != other_whole").select(cell, "id", "sig", "label", "block")
 
 
-def left_pairs(left: DataFrame, large_left: DataFrame | None, labels: DataFrame, threshold: float, leaf: int) -> DataFrame:
-    """The second pass: distinct candidates (a < b) of what the first left, of documents that labels(node, label) do not connect."""
+def left_links(docs: DataFrame, left: DataFrame, large_left: DataFrame | None, labels: DataFrame, width: int, percent: int, leaf: int, unique: bool) -> DataFrame:
+    """The second pass: confirmed links (a, b) among what the first left, between documents that labels(node, label) do not connect."""
     held = sized(labels.select(F.col("node").alias("id"), "label"))
     labelled = lambda nodes: nodes.join(held, "id", "left").select("key", "id", "sig", F.coalesce("label", "id").alias("label"))
     nodes = labelled(left).withColumn("block", F.lit(0).cast("long"))
     if large_left is not None:
         nodes = nodes.unionByName(_grid(labelled(large_left), leaf))
-    return _cross_pairs(nodes, _least(threshold)).filter("a < b").distinct()
+    members = written(_open_members(nodes, _least(percent / 100)), "members")
+    sets = _sets_of(docs, written(members.select("id").distinct(), "paired"), width, unique)
+    return _exact_links(members.join(sets, "id"), percent).distinct()
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -308,10 +388,15 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, items array<long>")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _sets_of(docs: DataFrame, ids: DataFrame, width: int, unique: bool) -> DataFrame:
+    """The full sets of the documents in ids(id), a row each; where ids repeat, one for each different set of an id."""
+    sets = shingle_sets(docs.join(sized(ids), "id", "left_semi"), width)
+    return written(sets if unique else sets.distinct(), "sets")
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int, unique: bool) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = written(shingle_sets(docs.join(sized(ids), "id", "left_semi"), width), "sets")
+    sets = _sets_of(docs, written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "paired"), width, unique)
     return (
         pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("two")), "b")
         .join(sets.select(F.col("id").alias("a"), F.col("items").alias("one")), "a")
@@ -336,17 +421,16 @@ def _decided(docs: DataFrame, id_col: str, text_col: str = "text", width: int =
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     profile = written(profiles(docs, width, trees, percent / 100), "profile")
     some = profile.filter("n_shingles > 0")
+    unique = profile.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
     classes = written(some.groupBy("d1", "d2").agg(F.min("id").alias("rep")), "classes")
     # One row of each class carries its signature: rows of a class have the same, so any of its smallest id will do.
     reps = some.filter("id is not null").join(classes.withColumnRenamed("rep", "id"), ["d1", "d2", "id"], "left_semi").select("id", "sig", "keys")
     first, left, large_left = candidates(reps, percent / 100, leaf, depth)
-    links = written(_confirmed(docs, first, width, percent), "links")
+    links = written(_confirmed(docs, first, width, percent, unique), "links")
     labels = written(components(links), "labels")
-    rest = written(left_pairs(left, large_left, labels, percent / 100, leaf), "pairs")
-    if not rest.isEmpty():
-        more = written(_confirmed(docs, rest, width, percent), "links")
-        if not more.isEmpty():
-            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+    more = written(left_links(docs, left, large_left, labels, width, percent, leaf, unique), "links")
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("label", "rep").alias("component_id"))
     return profile.join(named, ["d1", "d2"], "left").select(
         "id",

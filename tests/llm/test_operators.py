@@ -281,6 +281,55 @@ def test_near_duplicates_joined_by_one_pair_of_a_node_that_stays_large(spark, le
     assert {r.component_id for r in neardup.near_duplicates(docs_of(spark, rows[:-1]), width=1, leaf=leaf, depth=1).collect()} == {0, 12}
 
 
+def bridges(n=60):
+    """n times two families of five, joined by one pair at 0.86 whose ends are not the families' centres; all other cross pairs are lower."""
+    rows = []
+    for c in range(n):
+        core, one, two = ([f"{p}{c}_{i}" for i in range(k)] for p, k in (("c", 160), ("a", 40), ("b", 40)))
+        for p, family in (("x", one), ("y", two)):
+            rows += [[*core, *family[:36], *(f"{p}{c}_{k}_{j}" for j in range(4))] for k in range(4)]
+        rows += [core + one[:28] + two[:12], core + two[:28] + one[:12]]
+    return [(i, " ".join(r)) for i, r in enumerate(rows)]
+
+
+def test_near_duplicates_joined_by_bridges(spark):
+    rows = bridges()
+    want = brute.near_duplicates(rows, 85, 1)
+    assert {c for _, c in want.values()} == set(range(0, 600, 10))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs_of(spark, rows), width=1, percent=85).collect()}
+    assert got == want
+
+
+def test_near_duplicates_of_one_large_group(spark):
+    """Copies of one text at 0.3 to 1 of each other, some in other components."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(1500):
+        own = base[:]
+        for k in rng.sample(range(150), rng.randrange(0, 12)):
+            own[k] = f"n{rng.randrange(40) if k % 2 else rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    want = {i: c for i, (_, c) in brute.near_duplicates(rows, 85).items()}
+    assert 100 < len(set(want.values())) < 1400
+    for how in ({}, {"leaf": 64, "depth": 2}):
+        assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(spark, rows), percent=85, **how).collect()} == want
+
+
+def test_spanning_forest_and_intersections_of_a_node():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 6000, rng.integers(1, 5000))) for _ in range(40)]
+    assert neardup._common(sets).tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    near = rng.random((60, 60)) < 0.02
+    near = (near | near.T) & ~np.eye(60, dtype=bool)
+    a, b = neardup._forest(near)
+    assert near[a, b].all()
+    reach = lambda m: np.linalg.matrix_power((m | np.eye(60, dtype=bool)).astype(float), 60) > 0
+    own = np.zeros_like(near)
+    own[a, b] = own[b, a] = True
+    assert (reach(near) == reach(own)).all() and len(a) < 60
+
+
 def test_near_duplicates_match_sql(spark):
     compare(queries.op5_minhash_near_dedup(spark, "/root/testdata/sf0.01"), neardup.ORACLE_SQL, connect("/root/testdata/sf0.01"))
 
