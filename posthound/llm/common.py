@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 #: Ids that an explicit broadcast may hold (about 16 bytes each); beyond it the same join shuffles.
 BROADCAST_IDS = 1_000_000
 
+#: Bytes of an Arrow batch: what a task holds of its input at a time, in the executor and in its Python worker, or one longer row.
+BATCH_BYTES = "4m"
+
+
+def text_batches(rows: DataFrame) -> DataFrame:
+    """rows; their session hands batches of at most BATCH_BYTES to Python from now on."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return rows
+
 
 def sized(ids: DataFrame) -> DataFrame:
     """ids, marked for broadcast if they are few; ids should be cheap to count (a written table)."""

@@ -2,32 +2,37 @@
 
 Every source is a queue of its documents' tokens, cut into quanta. A queue's deficit grows with its target share, and the
 queue whose deficit comes due first is served one quantum next; what it is owed beyond that carries on to the following windows.
-The c-th quantum of a queue with weight w comes due at time (c + 1/2) / w, so the place of every quantum in the whole order is
-a sum of closed forms over the queues: each partition starts with the exact deficits of all windows before it, and no pass
-over the windows in order is needed. Windows are runs of quanta; a queue that runs dry leaves its share to the others.
-Only the last quantum of a queue can be short, so at most one window a queue is padded.
-
-Cases: a null or empty text is the end id alone; a null source is a queue of its own; repeated rows are packed each; with more
-than `most_queues` sources, those with a weight and the largest keep queues of their own and only the small rest share hashed queues; an empty table gives an empty result; extra columns are ignored.
+The c-th quantum of a queue with weight w comes due at time (c + 1/2) / w (ties: by the queue's name), so deficits carry over all
+windows and partitions and no pass over the windows in order is needed. Up to `broadcast_queues` queues, the place of a quantum
+in the whole order is a sum of closed forms over the queues, which every task holds; beyond them, quanta are rows that are sorted
+by due time and joined. Both ways give the same rows. Windows are runs of quanta; a queue that runs dry leaves its share to the
+others. Only the last quantum of a queue can be short, so at most one window a queue is padded.
+
+Cases: a null or empty text is the end id alone; a null source is a queue of its own; repeated rows are packed each; a source that
+`weights` leaves out, or gives 0, gets a share of a millionth; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import array
+import functools
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from posthound.llm import bytesops as bo
-from posthound.llm.common import sized
+from posthound.llm.common import sized, text_batches
+from posthound.llm.hilbert import ranked
 from posthound.session import written
 
 WINDOW, QUANTUM = 1024, 256
-CACHED_SEGMENTS = 400_000
+#: Pieces whose ids a task remembers, about 200 bytes each.
+CACHED_SEGMENTS = 100_000
 _HEAD = np.zeros(256, dtype=bool)
 _HEAD[[0xE1, 0xE2, 0xE3]] = True
 
@@ -39,18 +44,23 @@ class Segmenter:
     each distinct piece is encoded once. Texts with strings of special tokens go through the tokenizer itself.
     """
 
-    def __init__(self, vocabulary: str, ranks: str, pattern: str) -> None:
+    def __init__(self, vocabulary: str, ranks: str, pattern: str, special: list[bytes]) -> None:
         import base64
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(vocabulary)
-        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.vocabulary, self.special = vocabulary, special
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
+
+    @functools.cached_property
+    def whole(self):
+        """The tokenizer, loaded for the first text with a special string."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.vocabulary)
 
     def encode(self, buf: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts, each closed by end_id."""
@@ -76,10 +86,10 @@ class Segmenter:
             piece = raw[s:e]
             ids = self.known.get(piece)
             if ids is None:
-                ids = self.known[piece] = np.array(self.bpe.encode_ordinary(piece.decode("utf-8", "replace")), dtype=np.uint32)
+                ids = self.known[piece] = array.array("I", self.bpe.encode_ordinary(piece.decode("utf-8", "replace"))).tobytes()
             got.append(ids)
-        lens = np.array([len(x) for x in got], dtype=np.int64)
-        flat = np.concatenate(got) if got else np.zeros(0, np.uint32)
+        lens = np.array([len(x) // 4 for x in got], dtype=np.int64)
+        flat = np.frombuffer(b"".join(got), np.uint32)
         heads = np.concatenate([[0], np.cumsum(lens)])[:-1] if len(lens) else lens
         per = lens[inverse]
         upto = np.concatenate([[0], np.cumsum(per)])
@@ -97,16 +107,22 @@ class Segmenter:
 
 
 def token_table(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, end_id: int) -> DataFrame:
-    """id, queue, part, at (tokens of the queue before it in its part), n, ids (little-endian unsigned 16 bits)."""
+    """id, queue, part, at (tokens of the queue before it in its part), n, ids (little-endian unsigned, of 16 bits if the vocabulary
+    fits them, else of 32), of docs(id, queue, text)."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(vocabulary)
+    special = [t.content.encode() for t in whole.get_added_tokens_decoder().values()]
+    kind = id_type(max(whole.get_vocab_size(True) - 1, end_id))
 
     def run(batches):
-        segmenter = Segmenter(vocabulary, ranks, pattern)
+        segmenter = Segmenter(vocabulary, ranks, pattern, special)
         part, done = TaskContext.get().partitionId(), {}
         for batch in batches:
             queues = batch.column(1).to_pylist()
             for a, b, buf, offs in bo.chunks(batch.column(2)):
                 ids, toks = segmenter.encode(buf, offs, end_id)
-                small = ids.astype("<u2")
+                small = ids.astype(kind)
                 n = np.diff(toks)
                 at = np.empty(b - a, np.int64)
                 for i in range(b - a):
@@ -116,7 +132,11 @@ def token_table(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, end_
                 blob = pa.array([small[s:e].tobytes() for s, e in zip(toks[:-1], toks[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(at), pa.array(n), blob], names=["id", "queue", "part", "at", "n", "ids"])
 
-    return docs.select("id", "queue", "text").mapInArrow(run, "id long, queue string, part int, at long, n long, ids binary")
+    return text_batches(docs.select("id", "queue", "text")).mapInArrow(run, "id long, queue string, part int, at long, n long, ids binary")
+
+
+def id_type(largest: int) -> str:
+    return "<u2" if largest < 1 << 16 else "<u4"
 
 
 class Schedule:
@@ -152,40 +172,34 @@ class Schedule:
         return (rank - first) * self.quantum - gaps
 
 
-def _pieces(schedule: Schedule, queue: np.ndarray, start: np.ndarray, n: np.ndarray):
-    """Pieces of documents at [start, start + n) of their queues: (document, first token, length, window, offset)."""
-    q = schedule.quantum
-    lo, hi = start // q, (start + n - 1) // q
+def _cut(start: np.ndarray, n: np.ndarray, quantum: int):
+    """The pieces of documents at [start, start + n) of their queues, one per quantum: (document, quantum, first token, length, place in the quantum)."""
+    lo, hi = start // quantum, (start + n - 1) // quantum
     count = hi - lo + 1
     doc = np.repeat(np.arange(len(n)), count)
     c = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - lo, count)
-    rank = schedule.rank(queue[doc], c)
-    a, b = np.maximum(c * q, start[doc]), np.minimum((c + 1) * q, (start + n)[doc])
-    offset = schedule.offset(rank) + a - c * q
-    window = rank // schedule.slots
-    # Neighbouring quanta of one document in one window are one piece.
-    new = np.ones(len(c), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (window[1:] != window[:-1]) | (rank[1:] != rank[:-1] + 1)
-    at = np.flatnonzero(new)
-    length = np.add.reduceat(b - a, at) if len(at) else b - a
-    return doc[at], a[at] - start[doc[at]], length, window[at], offset[at]
+    a, b = np.maximum(c * quantum, start[doc]), np.minimum((c + 1) * quantum, (start + n)[doc])
+    return doc, c, a - start[doc], b - a, a - c * quantum
 
 
-def _named(source: Column) -> Column:
-    return F.when(source.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), source))
+def _share(wanted: float | np.ndarray, total: float):
+    """Part of the tokens that a queue should have; one without a weight gets a millionth."""
+    return np.where(wanted > 0, wanted, max(1e-9, total * 1e-6)) / max(1e-9, total)
 
 
-def _queue(docs: DataFrame, source: Column, text: Column, weighted: list[str], most: int) -> Column:
-    """The queue of each row: its source's; beyond `most` sources only the weighted and the largest by bytes, half of all queues, have one."""
-    named = _named(source)
-    if docs.select(source.alias("s")).distinct().limit(most + 1).count() <= most:
-        return named
-    sizes = docs.groupBy(named.alias("q")).agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).alias("m"))
-    own = sorted({*weighted, *(r["q"] for r in sizes.orderBy(F.desc("m"), "q").limit(max(1, most // 2)).collect())})
-    return F.when(named.isin(own), named).otherwise(F.concat(F.lit("hash="), F.pmod(F.xxhash64(named), F.lit(max(1, most - len(own)))).cast("string")))
+def order_of_quanta(queues: DataFrame, window: int, quantum: int) -> DataFrame:
+    """queue, c, sequence_id, before: the window of every quantum of queues(queue, m, share) and the tokens before it there."""
+    c, slots = F.col, window // quantum
+    step = 1 << 16
+    runs = queues.withColumn("n", F.ceil(c("m") / quantum).cast("long")).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((c("n") - 1) / step).cast("long"))))
+    quanta = runs.repartition("queue", "run").withColumn("c", F.explode(F.sequence(c("run") * step, F.least(c("n"), (c("run") + 1) * step) - 1)))
+    sized_ = quanta.select("queue", "c", ((c("c") + 0.5) / c("share")).alias("due"), F.least(F.lit(quantum).cast("long"), c("m") - c("c") * quantum).alias("size"))
+    placed = ranked(sized_, ["due", "queue", "c"]).withColumn("sequence_id", F.floor(c("rank") / slots).cast("long"))
+    before = F.sum("size").over(W.partitionBy("sequence_id").orderBy("rank")) - c("size")
+    return placed.select("queue", "c", "sequence_id", before.alias("before"))
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None, weights: dict[str | None, float] | None = None, window: int = WINDOW, quantum: int = QUANTUM, end_id: int = 0, most_queues: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None, weights: dict[str | None, float] | None = None, window: int = WINDOW, quantum: int = QUANTUM, end_id: int = 0, broadcast_queues: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source_queue: one row per piece.
 
     weights: target share per source; default: each source's share of all tokens. window: a multiple of quantum.
@@ -196,36 +210,48 @@ def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = Non
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     if window % quantum:
         raise ValueError("a window holds whole quanta")
-    shares = {("null" if k is None else f"={k}"): v for k, v in (weights or {}).items()}
-    text = F.col(text_col).cast("string")
-    queue = _queue(docs, F.col(source_col).cast("string"), text, list(shares), most_queues)
-    queued = docs.select(F.col(id_col).cast("long").alias("id"), queue.alias("queue"), text.alias("text"))
+    shares = {("null" if k is None else f"={k}"): float(v) for k, v in (weights or {}).items()}
+    source = F.col(source_col).cast("string")
+    queue = F.when(source.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), source))
+    queued = docs.select(F.col(id_col).cast("long").alias("id"), queue.alias("queue"), F.col(text_col).cast("string").alias("text"))
     table = written(token_table(queued, vocabulary, ranks, public_tokenizers.PATTERN, end_id), "tokens")
     parts = table.groupBy("queue", "part").agg(F.sum("n").alias("m"))
-    base = parts.select("queue", "part", (F.sum("m").over(W.partitionBy("queue").orderBy("part")) - F.col("m")).alias("base"))
-    # One row per queue: at most most_queues, or one more than the weighted sources if those are more.
-    sums = {r["queue"]: r["m"] for r in table.groupBy("queue").agg(F.sum("n").alias("m")).collect()}
-    names = sorted(sums)
-    totals = np.array([sums[q] for q in names], dtype=np.int64)
-    wanted = np.array([shares.get(q, 0.0) for q in names]) if shares else totals.astype(float)
-    wanted = np.where(wanted > 0, wanted, max(1e-9, float(wanted.sum()) * 1e-6)) / max(1e-9, float(wanted.sum()))
-    schedule = Schedule(totals, wanted, window, quantum)
-    index = {q: i for i, q in enumerate(names)}
+    # One row per part and queue; few enough, they are broadcast and the ids stay where they are.
+    base = written(parts.select("queue", "part", "m", (F.sum("m").over(W.partitionBy("queue").orderBy("part")) - F.col("m")).alias("base")), "bases")
+    placed = table.join(sized(base.drop("m")), ["queue", "part"]).select("id", "queue", "n", (F.col("base") + F.col("at")).alias("start"), "ids")
+    sums = written(base.groupBy("queue").agg(F.sum("m").alias("m")), "queues")
+    few = sums.limit(broadcast_queues + 1).collect()
+    schedule, index = None, {}
+    if len(few) <= broadcast_queues:
+        held = {r["queue"]: r["m"] for r in few}
+        index = {q: i for i, q in enumerate(sorted(held))}
+        totals = np.array([held[q] for q in index], dtype=np.int64)
+        wanted = np.array([shares.get(q, 0.0) for q in index]) if shares else totals.astype(float)
+        schedule = Schedule(totals, _share(wanted, float(wanted.sum())), window, quantum)
+    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", *(("sequence_id", "offset") if schedule else ("_c", "_in")), "source_queue"]
 
     def run(batches):
         for batch in batches:
-            ids, queues, n, blobs = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_numpy(), batch.column(4)
-            start = batch.column(3).to_numpy()
-            queue = np.array([index[q] for q in queues], dtype=np.int64)
-            doc, first, length, seq, offset = _pieces(schedule, queue, start, n)
+            blobs, n, start = batch.column(4), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            doc, c, first, length, inside = _cut(start, n, quantum)
             crc, held, own = np.empty(len(doc), np.int64), -1, b""
             for k, (d, s, m) in enumerate(zip(doc.tolist(), first.tolist(), length.tolist(), strict=True)):
                 if d != held:
-                    held, own = d, np.frombuffer(blobs[d].as_py(), "<u2").astype("<u4")
+                    held, blob = d, blobs[d].as_py()
+                    own = np.frombuffer(blob, f"<u{len(blob) // int(n[d])}").astype("<u4")
                 crc[k] = zlib.crc32(own[s : s + m])
+            if schedule:
+                rank = schedule.rank(np.array([index[q] for q in batch.column(1).to_pylist()], dtype=np.int64)[doc], c)
+                c, inside = rank // schedule.slots, schedule.offset(rank) + inside
             take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([ids.take(take), pa.array(first), pa.array(length), pa.array(crc), pa.array(n[doc]), pa.array(seq), pa.array(offset), batch.column(1).take(take)], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source_queue"])
-
-    # One row per part and queue; few enough, they are broadcast and the ids stay where they are.
-    placed = table.join(sized(written(base, "bases")), ["queue", "part"]).select("id", "queue", "n", (F.col("base") + F.col("at")).alias("start"), "ids")
-    return placed.mapInArrow(run, f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source_queue string")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(first), pa.array(length), pa.array(crc), pa.array(n[doc]), pa.array(c), pa.array(inside), batch.column(1).take(take)], names=names)
+
+    pieces = placed.mapInArrow(run, ", ".join(f"`{x}` long" for x in names[:-1]) + ", source_queue string")
+    if schedule:
+        return pieces
+    given = sums.sparkSession.createDataFrame(list(shares.items()), "queue string, wanted double")
+    wanted = sums.join(sized(given), "queue", "left").select("queue", "m", F.coalesce("wanted", F.lit(0.0)).alias("w")) if shares else sums.select("queue", "m", F.col("m").cast("double").alias("w"))
+    total = float(wanted.agg(F.sum("w")).first()[0])
+    share = F.when(F.col("w") > 0, F.col("w")).otherwise(F.lit(max(1e-9, total * 1e-6))) / F.lit(max(1e-9, total))
+    order = order_of_quanta(wanted.select("queue", "m", share.alias("share")), window, quantum)
+    return pieces.join(order.withColumnsRenamed({"queue": "source_queue", "c": "_c"}), ["source_queue", "_c"]).withColumn("offset", F.col("before") + F.col("_in")).select(*names[:5], "sequence_id", "offset", "source_queue")

@@ -88,3 +88,23 @@ def association_rules(baskets, bad, least, confidence):
                 alone[c] += 1
                 both[c] += x
     return [frozenset(c) for c, n in both.items() if n >= least and n >= confidence * alone[c]]
+
+
+def round_robin(totals, weights, window, quantum):
+    """Tokens of each queue in each window, serving the queue that is due first one quantum at a time."""
+    total = sum(weights.get(q, 0) for q in totals)
+    share = {q: (weights.get(q, 0) or max(1e-9, total * 1e-6)) / total for q in totals}
+    served, left, windows, places = Counter(), dict(totals), [], window // quantum
+    while left:
+        if not windows or places == 0:
+            windows.append(Counter())
+            places = window // quantum
+        q = min(left, key=lambda q: ((served[q] + 0.5) / share[q], q))
+        take = min(quantum, left[q])
+        windows[-1][q] += take
+        served[q] += 1
+        places -= 1
+        left[q] -= take
+        if not left[q]:
+            del left[q]
+    return windows

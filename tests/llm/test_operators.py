@@ -424,15 +424,27 @@ def test_packing_by_given_shares(spark):
     assert abs(head["=s0"] / head.sum() - 0.5) < 0.05
 
 
-def test_large_and_weighted_sources_keep_their_queues_among_many(spark):
+def test_packing_matches_a_plain_round_robin_either_way(spark):
+    """Windows by a loop that serves the queue whose deficit comes due first, quantum by quantum."""
     rng = random.Random(11)
-    rows = [(i, words(rng, 300), "en", "big" if i % 2 else "other", 0) for i in range(40)] + [(100 + i, "few words", "en", f"host{i}", 0) for i in range(30)]
-    got = packing.pack(spark.createDataFrame(rows, DOC), weights={"big": 3.0, "other": 1.0, "host7": 1.0}, most_queues=8)
-    queues = {r.doc_id: r.source_queue for r in got.collect()}
-    assert {queues[1], queues[0], queues[107]} == {"=big", "=other", "=host7"}
-    assert len(set(queues.values())) <= 8 and len(queues) == len(rows)
-    early = {r.source_queue: r.n for r in got.filter("sequence_id < 8").groupBy("source_queue").agg(F.sum("length").alias("n")).collect()}
-    assert early["=big"] > 2 * early["=other"]
+    rows = [(i, words(rng, rng.randrange(1, 500)), "en", "big" if i % 2 else "other", 0) for i in range(40)] + [(100 + i, words(rng, 9 * (i % 3)), "en", f"host{i}" if i else None, 0) for i in range(30)]
+    docs = spark.createDataFrame(rows, DOC).repartition(3)
+    for weights in (None, {"big": 3.0, "other": 1.0, "host7": 1.0, None: 0.5}):
+        closed = check_packing(spark, docs, weights=weights)
+        joined = check_packing(spark, docs, weights=weights, broadcast_queues=4)
+        key = ["doc_id", "start"]
+        a, b = closed.sort_values(key).reset_index(drop=True), joined.sort_values(key).reset_index(drop=True)
+        assert (a[list(b.columns)] == b).all().all()
+        totals = a.groupby("source_queue").length.sum().to_dict()
+        want = brute.round_robin(totals, {"null" if k is None else f"={k}": v for k, v in weights.items()} if weights else totals, 1024, 256)
+        got = {w: [tuple(x) for x in g.groupby("source_queue").length.sum().items()] for w, g in a.groupby("sequence_id")}
+        assert got == {w: sorted(m.items()) for w, m in enumerate(want)}
+    with pytest.raises(ValueError):
+        packing.pack(docs, quantum=1000)
+
+
+def test_ids_beyond_sixteen_bits_keep_their_width():
+    assert packing.id_type(65_535) == "<u2" and packing.id_type(65_536) == "<u4"
 
 
 def test_segments_equal_the_tokenizer_on_random_text():
@@ -442,7 +454,7 @@ def test_segments_equal_the_tokenizer_on_random_text():
 
     rng = random.Random(8)
     texts = ["".join(rng.choice(["a", "B", " ", "  ", "\n", "'s", "é", "\u00a0", "1", "!", "\u2009", "中", "\U0001f600", "the ", " of"]) for _ in range(rng.randrange(60))) for _ in range(400)]
-    seg = packing.Segmenter(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    seg = packing.Segmenter(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, [])
     buf, offs = bytesops.buffers(pa.array(texts))
     ids, toks = seg.encode(buf, offs, 0)
     whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
