@@ -8,14 +8,17 @@ are, parts the chain, so that decoding runs over the short stretches in between;
 The field is trained once per process by maximum likelihood on `TRAIN_TEXTS` texts made by a seeded rule (invented words in which
 invented secrets and look-alikes such as addresses, numbers and file names are set), never on the corpus.
 
-Cases: null and empty texts have no span; a secret at a text's start or end counts; repeated rows are scanned alike; empty tables
+Cases: null and empty texts have no span; equal scores go to the tag that comes first in begin, inside, outside; a text of any length is
+scanned whole in time linear in it and its spans; a secret at a text's start or end counts; repeated rows are scanned alike; empty tables
 give empty results; extra columns pass through redact(). Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posthound.llm import bytesops as bo
+from posthound.llm.common import text_batches
 
 KINDS = ("assign", "access", "hex", "crf")
 #: Base patterns and the shortest match (of group 2 for assignments); the flags fold ASCII letters only.
@@ -191,15 +195,17 @@ class Field:
 
     def viterbi(self, e: np.ndarray, left: bool, right: bool) -> np.ndarray:
         """Best tags of a stretch; left, right: an outside token stands there."""
-        best, back = e[0] + (self.transition[2] if left else 0), np.zeros(e.shape, np.int64)
-        for t in range(1, len(e)):
-            to = best[:, None] + self.transition
-            back[t], best = to.argmax(0), to.max(0) + e[t]
-        tags = np.empty(len(e), np.int64)
-        tags[-1] = (best + (self.transition[:, 2] if right else 0)).argmax()
-        for t in range(len(e) - 1, 0, -1):
-            tags[t - 1] = back[t, tags[t]]
-        return tags
+        step, states = self.transition.astype(float).tolist(), range(3)
+        best = [x + (step[2][k] if left else 0) for k, x in enumerate(e[0].tolist())]
+        back = []
+        for own in e[1:].tolist():
+            came = [max(states, key=lambda i: best[i] + step[i][k]) for k in states]  # noqa: B023
+            back.append(came)
+            best = [best[i] + step[i][k] + own[k] for k, i in enumerate(came)]
+        tags = [max(states, key=lambda i: best[i] + (step[i][2] if right else 0))]
+        for came in reversed(back):
+            tags.append(came[tags[-1]])
+        return np.array(tags[::-1])
 
     def spans(self, buf: np.ndarray, offs: np.ndarray):
         """(text number, first byte, end byte) of the secrets tagged."""
@@ -277,8 +283,9 @@ def trained() -> Field:
     return Field(w.astype(np.float32), tr.astype(np.float32))
 
 
-def scan(buf: np.ndarray, offs: np.ndarray, field: Field) -> dict[int, tuple[str, list[tuple[int, int, str]]]]:
-    """{text number: (text, all spans)} of the texts in the buffer that hold any; spans by start, then kind as in KINDS."""
+def scan(buf: np.ndarray, offs: np.ndarray, field: Field) -> dict[int, tuple[str, list[tuple[int, int, str]], int]]:
+    """{text number: (text, all spans, how many the field tagged)} of the texts in the buffer that hold any; spans by start, then kind
+    as in KINDS. Spans of the field that lie wholly inside a base span are not listed again."""
     raw, low = buf.tobytes(), bo.LOWER[buf].tobytes()
     hit: set[int] = set()
 
@@ -298,21 +305,24 @@ def scan(buf: np.ndarray, offs: np.ndarray, field: Field) -> dict[int, tuple[str
     extra: dict[int, list] = {}
     for d, s, e in field.spans(buf, offs):
         extra.setdefault(d, []).append((s, e))
+    # Code points before each byte.
+    chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)]) if extra else None
     out = {}
     for i in sorted(hit | set(extra)):
-        own = raw[offs[i] : offs[i + 1]]
-        text = own.decode("utf-8", "replace")
+        text = raw[offs[i] : offs[i + 1]].decode("utf-8", "replace")
         spans = base_spans(text) if i in hit else []
-        for s, e in extra.get(i, ()):
-            a = len(own[: s - offs[i]].decode("utf-8", "replace"))
-            b = a + len(own[s - offs[i] : e - offs[i]].decode("utf-8", "replace"))
-            if not any(x <= a and b <= y for x, y, _ in spans):
-                spans.append((a, b, "crf"))
-        if spans:
-            out[i] = text, sorted(spans, key=lambda x: (x[0], KINDS.index(x[2])))
+        found = [(int(chars[s] - chars[offs[i]]), int(chars[e] - chars[offs[i]]), "crf") for s, e in extra.get(i, ())]
+        if spans or found:
+            out[i] = text, sorted([*spans, *_beyond(found, spans)], key=lambda x: (x[0], KINDS.index(x[2]))), len(found)
     return out
 
 
+def _beyond(found: list, spans: list) -> list:
+    """Those of found that are not wholly inside one of spans (sorted by start)."""
+    starts, reach = [s[0] for s in spans], list(itertools.accumulate((s[1] for s in spans), max))
+    return [f for f in found if not (k := bisect.bisect_right(starts, f[0])) or reach[k - 1] < f[1]]
+
+
 def _said(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
@@ -321,21 +331,21 @@ _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf: one row per row of docs."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf (spans of the field), n_tagged (with those inside base spans): a row per row."""
     field = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches):
         for batch in batches:
             for a, b, buf, offs in bo.chunks(batch.column(1)):
-                n, digest, said = np.zeros((4, b - a), np.int64), [_NOTHING] * (b - a), [""] * (b - a)
-                for i, (_, spans) in scan(buf, offs, field.value).items():
+                n, digest, said = np.zeros((5, b - a), np.int64), [_NOTHING] * (b - a), [""] * (b - a)
+                for i, (_, spans, n[4, i]) in scan(buf, offs, field.value).items():
                     for k, kind in enumerate(KINDS):
                         n[k, i] = sum(s[2] == kind for s in spans)
                     digest[i] = hashlib.sha256(_said(s for s in spans if s[2] != "crf").encode()).hexdigest()
                     said[i] = _said(spans)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(n[k]) for k in range(3)), pa.array(digest), pa.array(said), pa.array(n[3])], names=[id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(n[k]) for k in range(3)), pa.array(digest), pa.array(said), pa.array(n[3]), pa.array(n[4])], names=[id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf", "n_tagged"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"{id_col} long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
+    return text_batches(docs).select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"{id_col} long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long, n_tagged long")
 
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", count_col: str | None = "n_chars") -> DataFrame:
@@ -349,7 +359,7 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", coun
             columns = list(batch.columns)
             texts, sizes = {}, {}
             for a, _, buf, offs in bo.chunks(columns[at]):
-                for i, (text, spans) in scan(buf, offs, field.value).items():
+                for i, (text, spans, _) in scan(buf, offs, field.value).items():
                     out, done = [], 0
                     for s, e, _ in spans:
                         if s >= done:
@@ -368,4 +378,4 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", coun
                     columns[own] = pa.array(counts, columns[own].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)
