@@ -3,15 +3,17 @@
 Words lose their outer punctuation and case; numbers, units after numbers and names (capitalised within a sentence) become
 typed placeholders. Windows of five such tokens are joined by hash between documents and benchmark items. Along each
 alignment of an item in a document the placeholders' values must map one to one (5 apples and 5 pears may become 7 and 7, not
-7 and 9); windows of alignments that fail do not count. A document is contaminated by an item if at least
+7 and 9); windows of alignments that fail do not count, nor do those of further alignments (after words put in or left out) whose
+values contradict the longer ones. A document is contaminated by an item if at least
 `coverage` of the item's windows are found.
 
 A bitmap of fixed size, set by all items' windows, drops most document windows before the join.
 
 Cases: null or empty texts and texts without letters or digits have no window; texts of fewer than five tokens are one window, and documents
 have windows of each such length that items have; a shorter window inside a document with fewer literals than placeholders, and less than
-two, counts only where its values are the item's own; a capitalised first word of an item counts as a literal and as a name; a window
-with fewer literal tokens than placeholders counts only where its literals are at least two, or it is the whole text; repeated rows of
+two, counts only where its values are the item's own; a capitalised first word of an item counts as a literal and as a name; a
+five-token window of fewer than two literals counts only in items most of whose windows are so, and only with the item's own values;
+repeated rows of
 one id count once; null ids match nothing; empty tables give an empty result; extra columns are ignored.
 Case folding covers ASCII and Latin-1.
 """
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posthound.llm import bytesops as bo
-from posthound.llm.common import without
+from posthound.llm.common import text_batches, without
 from posthound.session import written
 
 WIDTH = 5
@@ -143,8 +145,12 @@ def _windows(rows: DataFrame, bitmap: np.ndarray | None, widths: tuple[int, ...]
                 literal = np.concatenate([[0], np.cumsum(value == 0)])
                 plain = literal[at + size] - literal[at]
                 ok = (plain >= 2) | (count[owner] < WIDTH)
+                values, weak = value, ~ok
+                w[weak] = _exact(w[weak], value, at[weak], WIDTH)
+                # Items of hardly any literals are told by their values too; in documents, the bitmap leaves only such items' windows.
+                poor = 2 * np.bincount(owner[ok], minlength=b - a) < np.bincount(owner, minlength=b - a)
+                ok |= poor[owner] if held is None else True
                 n = np.bincount(owner[ok], minlength=b - a)
-                values = value
                 if held is None:
                     # Variants read from a second copy of the tokens, which follows the first.
                     named, own, some = _as_names(h, value, doc, capital)
@@ -154,6 +160,8 @@ def _windows(rows: DataFrame, bitmap: np.ndarray | None, widths: tuple[int, ...]
                     literal = np.concatenate([[0], np.cumsum(own == 0)])
                     plain = literal[(at + size)[again]] - literal[at[again]]
                     good = (plain >= 2) | (count[owner[again]] < WIDTH)
+                    more[0][4][~good] = _exact(more[0][4][~good], own, at[again][~good], WIDTH)
+                    good |= poor[owner[again]]
                     more = [tuple(x[good] for x in more[0])]
                     for k in range(1, WIDTH):
                         for t, v, shift in ((h, value, 0), (named, own, len(h))):
@@ -187,7 +195,7 @@ def _windows(rows: DataFrame, bitmap: np.ndarray | None, widths: tuple[int, ...]
                     names=["id", "pos", "window", "slots", "n", "width", "named"],
                 )
 
-    return rows.mapInArrow(run, "id long, pos long, window long, slots array<long>, n long, width long, named boolean")
+    return text_batches(rows).mapInArrow(run, "id long, pos long, window long, slots array<long>, n long, width long, named boolean")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,7 +219,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, i
         .agg(F.max("n").alias("n"), F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("map"))
     )
     one_to_one = (F.size(F.array_distinct(F.col("map.i"))) == F.size("map")) & (F.size(F.array_distinct(F.col("map.d"))) == F.size("map"))
-    found = lines.filter(one_to_one).groupBy("id", "item_id").agg(F.max("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("windows"))
+    # The alignment of most windows leads; others add theirs where their slots agree with all before.
+    aligned = lines.filter(one_to_one).groupBy("id", "item_id").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct(F.size("at").alias("k"), F.array_sort("at").alias("at"), F.array_sort("map").alias("map"))), False).alias("lines"))
+
+    def joined(acc, line):
+        both = F.array_distinct(F.concat(acc["map"], line["map"]))
+        fits = (F.size(F.array_distinct(both["i"])) == F.size(both)) & (F.size(F.array_distinct(both["d"])) == F.size(both))
+        return F.when(fits, F.struct(F.array_union(acc["at"], line["at"]).alias("at"), both.alias("map"))).otherwise(acc)
+
+    first, rest = F.col("lines")[0], F.slice("lines", 2, F.size("lines"))
+    windows = F.aggregate(rest, F.struct(first["at"].alias("at"), first["map"].alias("map")), joined, lambda acc: F.size(acc["at"]).cast("long"))
+    found = aligned.select("id", "item_id", "n", windows.alias("windows"))
     return found.filter(F.col("windows") >= coverage * F.col("n")).select(F.col("id").alias("doc_id"), "item_id", (F.col("windows") / F.col("n")).alias("coverage"), "windows")
 
 

@@ -108,3 +108,37 @@ def round_robin(totals, weights, window, quantum):
         if not left[q]:
             del left[q]
     return windows
+
+
+def templates(docs, items, share=0.8):
+    """(doc, item) by typed placeholders, windows of five and one-to-one slots, for texts of five tokens or more without punctuation
+    whose first word is small."""
+    kind = lambda w, before: "#" if w[0].isdigit() else "unit" if w == "km" and before[:1].isdigit() else "name" if w[0].isupper() else None
+
+    def windows(text):
+        w = text.split()
+        t = [(kind(x, w[i - 1] if i else "") or x.lower(), x.lower() if kind(x, w[i - 1] if i else "") else None) for i, x in enumerate(w)]
+        return [(tuple(c for c, _ in t[i : i + 5]), [v for _, v in t[i : i + 5]]) for i in range(len(t) - 4)]
+
+    one_to_one = lambda m: len({a for a, _ in m}) == len(m) == len({b for _, b in m})
+    strong = lambda w: sum(v is None for v in w[1]) >= 2
+    out = set()
+    seen = [(d, windows(t)) for d, t in docs]
+    for item, text in items:
+        every = windows(text)
+        poor = 2 * sum(map(strong, every)) < len(every)
+        need = [(i, w) for i, w in enumerate(every) if poor or strong(w)]
+        for d, have in seen:
+            lines = defaultdict(lambda: ([], set()))
+            for p, h in enumerate(have):
+                for i, w in need:
+                    if h[0] == w[0] and (strong(w) or h[1] == w[1]):
+                        lines[p - i][0].append(i)
+                        lines[p - i][1].update((x, y) for x, y in zip(w[1], h[1]) if x)
+            held, slots = set(), set()
+            for at, own in sorted((x for x in lines.values() if one_to_one(x[1])), key=lambda x: (len(x[0]), x[0]), reverse=True):
+                if one_to_one(slots | own):
+                    held, slots = held | set(at), slots | own
+            if need and len(held) >= share * len(need):
+                out.add((d, item))
+    return out

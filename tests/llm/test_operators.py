@@ -105,6 +105,33 @@ def test_short_stretches_decode_as_the_whole_chain():
         assert got == inside
 
 
+def test_viterbi_finds_the_best_of_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(17)
+    for n in (1, 2, 3, 6):
+        for left, right in itertools.product((False, True), repeat=2):
+            field = secretcrf.Field(np.zeros((1, 3)), rng.normal(size=(3, 3)))
+            e, t = rng.normal(size=(n, 3)), field.transition
+            worth = lambda p: sum(e[i, k] for i, k in enumerate(p)) + sum(t[a, b] for a, b in zip(p, p[1:])) + (t[2, p[0]] if left else 0) + (t[p[-1], 2] if right else 0)  # noqa: E731, B023
+            assert tuple(field.viterbi(e, left, right)) == max(itertools.product(range(3), repeat=n), key=worth)
+
+
+def test_scan_of_many_secrets_is_linear_and_right():
+    import time
+
+    field = secretcrf.trained()
+    one = "é password is Xk29fLq0PzRt77aB and key = 0123456789abcdef01234567 ; "
+    took = []
+    for n in (500, 8000):
+        raw = np.frombuffer((one * n).encode(), np.uint8)
+        start = time.perf_counter()
+        (text, spans, tagged) = secretcrf.scan(raw, np.array([0, len(raw)]), field)[0]
+        took.append(time.perf_counter() - start)
+        assert len(spans) >= 2 * n and tagged >= n and sum(text[a:b] == "Xk29fLq0PzRt77aB" for a, b, k in spans if k == "crf") >= 0.99 * n
+    assert took[1] < 60 * took[0]
+
+
 def test_redaction_keeps_rows_and_columns(spark, odd, empty):
     out = secretcrf.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
@@ -203,6 +230,30 @@ def test_templates_match_brute_force(spark):
     assert got == brute.contained([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
 
 
+def test_items_of_numbers_and_names_are_found_by_their_values(spark):
+    items = spark.createDataFrame([(1, "Compute 12 34 56 78 90 11 13"), (2, "2024 2025 2026 2027 2028 2029")], "item_id long, text string")
+    docs = [(1, "they said: Compute 12 34 56 78 90 11 13 and left"), (2, "they said: Compute 12 34 56 78 90 11 14 and 15 left"), (3, "in 2024 2025 2026 2027 2028 2029 they"), (4, "in 2014 2015 2016 2017 2018 2019 they"), (5, "compute 92 94 96 98 90 91 93")]
+    assert {(r.doc_id, r.item_id) for r in templates.contaminated(docs_of(spark, docs), items).collect()} == {(1, 1), (3, 2)}
+
+
+def test_templates_and_slots_match_brute_force(spark):
+    """Short vocabularies, so that alignments, broken slots and part matches abound."""
+    rng = random.Random(21)
+    word = lambda: rng.choice(["ab", "cd", "ef", "gh", "3", "4", "5", "km", "Ann", "Bob", "Eve", "of", "in"])
+    items = [(i, "so " + " ".join(word() for _ in range(rng.randrange(6, 14)))) for i in range(25)]
+    docs = []
+    for i in range(300):
+        own = rng.choice(items)[1].split()
+        swap = {x: rng.choice(["3", "4", "5", "7"]) for x in "345"} | {x: rng.choice(["Ann", "Bob", "Eve", "Zoe"]) for x in ("Ann", "Bob", "Eve")}
+        own = [swap.get(w, w) if rng.random() < 0.95 else word() for w in own]
+        if i % 3 == 0:
+            own.insert(rng.randrange(3, len(own)), "then")
+        docs.append((i, " ".join(["it", *own, "end"] + [word() for _ in range(rng.randrange(9))])))
+    want = brute.templates(docs, items)
+    got = {(r.doc_id, r.item_id) for r in templates.contaminated(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and 30 < len(want) < 600
+
+
 def test_templates_on_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, "a b c d e f g a b c")], "item_id long, text string")
     assert {r.doc_id for r in templates.contaminated(odd, bench).collect()} == {7}
