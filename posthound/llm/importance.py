@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from posthound.llm import bytesops as bo
+from posthound.llm.common import text_batches
 from posthound.llm.hilbert import ranked
 from posthound.session import written
 
@@ -81,7 +82,7 @@ def counts(docs: DataFrame, good: np.ndarray) -> DataFrame:
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
-    return docs.mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return text_batches(docs).mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def log_ratios(table: list, prior: float, dead: float, sigmas: float) -> np.ndarray:
@@ -118,7 +119,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str, tempe
                 sums[a:b] = np.bincount(doc, weights=table[f], minlength=b - a)  # whole numbers, so exact
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sums / UNIT), batch.columns[-1]], names=[*rest, "log_weight", "_noise"])
 
-    out = seeded.mapInArrow(run, schema)
+    out = text_batches(seeded).mapInArrow(run, schema)
     gumbel = -F.log(-F.log((F.col("_noise") + 0.5) / float(1 << 52)))
     return out.withColumn("_key", F.col("log_weight") + temperature * gumbel).drop("_noise")
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from posthound.llm import bytesops as bo
+from posthound.llm.common import text_batches
 
 DIM = 4096
 #: Bytes that are part of words: ASCII letters and all of multi-byte characters; the rest reads as a space.
@@ -69,7 +70,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIM + 1, dtype=np.int32)), pa.array(df)], names=["bucket", "df"])
 
     out = np.zeros(DIM + 1, np.int64)
-    for r in docs.select("text").mapInArrow(run, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect():
+    for r in text_batches(docs.select("text")).mapInArrow(run, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect():
         out[r["bucket"]] = r["df"]
     return out
 
@@ -138,7 +139,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
             score = np.where(letter, np.clip(score, 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.where(letter, names[best], "und"), pa.string()), pa.array(score), pa.array(letter & (score < m.least[best]))], names=[*keep, "lang_pred", "score", "rejected"])
 
-    return rows.mapInArrow(run, schema)
+    return text_batches(rows).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from posthound.llm import bytesops as bo
-from posthound.llm.common import sized, without
+from posthound.llm.common import sized, text_batches, without
 from posthound.llm.components import components
 from posthound.session import written
 
@@ -109,7 +109,7 @@ def profiles(docs: DataFrame, width: int, trees: int, threshold: float) -> DataF
                     names=["id", "n_shingles", "d1", "d2", "sig", "keys"],
                 )
 
-    return docs.mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, sig binary, keys array<long>")
+    return text_batches(docs).mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, sig binary, keys array<long>")
 
 
 def _agreement(sig: np.ndarray) -> np.ndarray:
@@ -385,7 +385,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
             for a, b, h, offs in _set_chunks(batch, width):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(h.view(np.int64)))], names=["id", "items"])
 
-    return docs.mapInArrow(run, "id long, items array<long>")
+    return text_batches(docs).mapInArrow(run, "id long, items array<long>")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, width: int, unique: bool) -> DataFrame:
@@ -456,7 +456,7 @@ def _digested(docs: DataFrame, text_col: str, width: int) -> DataFrame:
                     d1[a + full], d2[a + full] = _digest(h, offs[:-1][full])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], names=[*batch.schema.names, "_d1", "_d2"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_d1", T.LongType()), T.StructField("_d2", T.LongType())]))
+    return text_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_d1", T.LongType()), T.StructField("_d2", T.LongType())]))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, **how) -> DataFrame:
