@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,9 +25,11 @@ def build_session(app: str = "posthound", cores: int | str = "*", shuffle_partit
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only where all run on this machine, a folder of our own stands in for it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='posthound-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
