@@ -9,7 +9,8 @@ becomes one conversation in a template:
 The template's own strings inside a text or role are escaped: a backslash doubles, `###` becomes `\\h\\h\\h`, `</turn>` becomes
 `\\l/turn>`, and `:` in a role `\\c`. parse_turns() reads every turn back exactly.
 
-Cases: a null text, role or score counts as empty or 0; a parent that is absent makes its message a root; messages on a cycle
+Cases: a null text, role or score counts as empty or 0; a message without a node id lies on no path; rows of a null turn come first;
+a parent that is absent makes its message a root; messages on a cycle
 have no root and so lie on no path; rows that repeat a node id are separate messages, with the same
 descendants; a null tree id is one tree of its own; an empty table gives an empty result; clashing extra columns are ignored.
 """
@@ -55,16 +56,22 @@ def parse_turns(formatted: Column) -> Column:
         return F.struct(_unescape(part.substr(F.lit(5), cut - F.lit(5))).alias("role"), _unescape(raw).alias("text"), (cut + 1).cast("long").alias("head"), F.length(raw).cast("long").alias("chars"))
 
     found = F.transform(parts, turn)
-    kind = "array<struct<role:string,text:string,start:bigint,end:bigint>>"
-    return F.aggregate(
-        found,
-        F.struct(F.array().cast(kind).alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda acc, t: F.struct(
-            F.concat(acc["out"], F.array(F.struct(t["role"].alias("role"), t["text"].alias("text"), (acc["at"] + t["head"]).alias("start"), (acc["at"] + t["head"] + t["chars"]).alias("end")))).cast(kind).alias("out"),
-            (acc["at"] + t["head"] + t["chars"] + len(TURN_END)).alias("at"),
-        ),
-        lambda acc: acc["out"],
-    )
+    bounds = F.arrays_zip(found.alias("turn"), starts(F.transform(parts, lambda p: (F.length(p) + len(TURN_END)).cast("long"))).alias("at"))
+    head = lambda x: x["at"] + x["turn"]["head"]
+    return F.transform(bounds, lambda x: F.struct(x["turn"]["role"].alias("role"), x["turn"]["text"].alias("text"), head(x).alias("start"), (head(x) + x["turn"]["chars"]).alias("end")))
+
+
+def starts(sizes: Column, block: int = 256) -> Column:
+    """Sums of all sizes before each place: within blocks of `block` places, on top of the blocks' own sums, so that long
+    conversations take neither a copy of the list per turn nor a sum from the first turn for each."""
+    zero = F.lit(0).cast("long")
+    total = lambda x: F.aggregate(x, zero, lambda a, v: a + v)
+    ahead = lambda x: F.transform(x, lambda _, i: total(F.slice(x, 1, i)))
+    count = F.ceil(F.size(sizes) / block).cast("int")
+    blocks = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda b: F.slice(sizes, (b - 1) * block + 1, block))
+    # Up to block ** 2 turns, the blocks' sums are short lists themselves.
+    before = ahead(F.transform(blocks, total))
+    return F.flatten(F.zip_with(blocks, before, lambda own, first: F.transform(ahead(own), lambda v: v + first)))
 
 
 def paths(messages: DataFrame) -> DataFrame:
@@ -140,7 +147,8 @@ def digests(rows: DataFrame) -> DataFrame:
 
 def query(rows: DataFrame) -> DataFrame:
     """All conversations and conversation -7, whose texts are made of control strings."""
-    extra = rows.sparkSession.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], "conv_id long, turn long, role string, text string")
+    turn = lambda k, role: F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(PLANTED).alias("text"))
+    extra = rows.sparkSession.range(1).select(F.explode(F.array(turn(0, "user"), turn(1, "assistant"))).alias("t")).select("t.*")
     return digests(rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra))
 
 
@@ -155,9 +163,9 @@ WITH rows AS (
   FROM rows
 )
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
   CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
