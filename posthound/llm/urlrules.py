@@ -4,6 +4,11 @@ FP-growth mines the URL token combinations of labelled pages; rules `tokens -> b
 A page is held against them through an inverted index: each rule is filed under its rarest token, and a page's tokens fetch
 the rules filed under them. Explicit host and path rules go first.
 
+Tokens that lie in the same labelled pages are one item of the mining, named after the one that sorts first: every rule over them
+says the same, and a URL family that shares many tokens does not double the itemsets with each. A page holds an item if it holds one
+of its tokens, so that the pages that rules fit stay the same. Itemsets still grow with the items of different pages that
+meet in `min_support` of them.
+
 Cases: a null url, or one without `://`, has empty host and path and no token, and is allowed; a label row without a page, or
 one whose quality and toxic are both null, trains nothing; repeated pages are judged alike, row by row; empty tables give no rule or no
 row; extra columns are ignored.
@@ -15,6 +20,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from posthound.llm.common import sized
 from posthound.session import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,19 +50,37 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(F.size(labels) > 0, F.array_distinct(F.concat(tagged, F.array(site)))).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float, min_rows: int, min_confidence: float) -> DataFrame:
-    """rule(key, tokens, confidence, support) from labelled(tokens, blocked); support: at least min_support and min_rows rows."""
+def merge_equal(labelled: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """labelled(tokens, blocked) over items, and items(token, name): tokens that occur in the same rows are one item.
+
+    Tokens that fewer than `least` blocked rows hold can be in no rule and go.
+    """
+    keyed = labelled.select(F.xxhash64(F.array_sort("tokens")).alias("id"), "tokens", "blocked")
+    rows = written(keyed.groupBy("id").agg(F.first("tokens").alias("tokens"), F.count_if("blocked").alias("bad")), "baskets")
+    # Two sums over the hashes of a token's rows stand for the set of rows.
+    marks = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in range(2)]
+    held = written(rows.select("id", "bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("bad").alias("bad"), *marks).filter(F.col("bad") >= least), "frequent")
+    names = held.groupBy("s0", "s1").agg(F.min("token").alias("name"))
+    items = written(held.join(names, ["s0", "s1"]).select("token", "name"), "items")
+    kept = rows.select("id", F.explode("tokens").alias("token")).join(sized(items), "token").groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("tokens"))
+    return keyed.select("id", "blocked").join(kept, "id", "left").select(F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), "blocked"), items
+
+
+def mine(labelled: DataFrame, min_support: float, min_rows: int, min_confidence: float) -> tuple[DataFrame, DataFrame]:
+    """rule(key, tokens, confidence, support) over items, and items(token, name), from labelled(tokens, blocked); support: at least
+    min_support and min_rows rows."""
     spark = labelled.sparkSession
     n = labelled.count()
-    none = spark.createDataFrame([], "key string, tokens array<string>, confidence double, support double")
     if not n:
-        return none
+        return spark.createDataFrame([], "key string, tokens array<string>, confidence double, support double"), spark.createDataFrame([], "token string, name string")
+    least = min(1.0, max(min_support, min_rows / n))
+    labelled, items = merge_equal(labelled, least * n)
     baskets = labelled.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCKED)))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / n)), minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     counts = labelled.select(F.explode("tokens").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     filed = rules.select("*", F.explode("tokens").alias("key")).join(counts, "key").groupBy("tokens").agg(F.min(F.struct("n", "key")).alias("m"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
-    return filed.select(F.col("m.key").alias("key"), "tokens", "confidence", "support")
+    return filed.select(F.col("m.key").alias("key"), "tokens", "confidence", "support"), items
 
 
 def explicit_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -70,19 +94,24 @@ def explicit_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, min_support: float = 0.002, min_rows: int = 10, min_confidence: float = 0.8) -> DataFrame:
-    """page_id, host, path, rule, verdict, mined (the best mined rule that fits, where no explicit one does).
+    """page_id, host, path, rule, verdict, mined (the best mined rule that fits, where no explicit one does). Null ids stay null.
 
     labels(doc_id, quality, toxic): a page is blocked in training if its row says quality 0 or toxic 1.
     """
     host, path = host_path(F.col("url"))
     pages = pages.select("page_id", "url").withColumns({"host": host, "path": path}).withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path")))
     bad = labels.filter("quality is not null or toxic is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(F.coalesce((F.col("quality") == 0), F.lit(False)) | F.coalesce((F.col("toxic") == 1), F.lit(False))).alias("blocked"))
-    mined = written(mine(pages.join(bad, "page_id").select("tokens", "blocked"), min_support, min_rows, min_confidence), "rules")
+    mined, items = mine(written(pages.join(bad, "page_id").select("tokens", "blocked"), "labelled"), min_support, min_rows, min_confidence)
+    mined = written(mined, "rules")
     name, verdict = explicit_rule(F.col("host"), F.col("path"), rules)
     pages = pages.withColumns({"rule": name, "said": verdict})
     open_urls = pages.filter("said is null and size(tokens) > 0").select(F.col("url").alias("u"), "tokens").distinct()
     hits = (
-        open_urls.select("u", "tokens", F.explode("tokens").alias("key"))
+        open_urls.select("u", F.explode("tokens").alias("token"))
+        .join(sized(items), "token")
+        .groupBy("u")
+        .agg(F.collect_set("name").alias("tokens"))
+        .select("u", "tokens", F.explode("tokens").alias("key"))
         .join(mined.select("key", F.col("tokens").alias("need"), "confidence"), "key")
         .filter(F.size(F.array_except("need", "tokens")) == 0)
         .groupBy("u")

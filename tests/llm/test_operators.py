@@ -170,6 +170,48 @@ def test_recall_and_exact_scores(spark):
     assert np.allclose(got.score, [u[a] @ u[b] for a, b in zip(got.query_id, got.vec_id)], atol=1e-12)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_embeddings(spark, sf):
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    pdf = rows.select("vec_id", "embedding").toPandas()
+    ids, u = pdf.vec_id.to_numpy(), np.array(pdf.embedding.tolist(), dtype=np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = set()
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = u @ u[q]
+        s[q] = -9
+        want |= {(int(ids[q]), int(ids[i])) for i in np.lexsort((ids, -s))[:5]}
+    got = {(r.query_id, r.vec_id) for r in queries.op2_cross_polytope(spark, f"/root/testdata/{sf}").collect()}
+    assert len(got) == len(want) and len(want & got) >= 0.9 * len(want)
+
+
+def test_more_rows_take_a_smaller_share(spark):
+    """The same neighbours among more rows: queries are scored against a smaller part of them."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(200, 32)).repeat(10, 0) + 0.4 * rng.normal(size=(2000, 32))
+    base = vectors(spark, x).selectExpr("vec_id as id", "cast(embedding as array<double>) as vec")
+    seen = {}
+    keep = crosspolytope.cheapest
+    try:
+        crosspolytope.cheapest = lambda places, axes, *rest: seen.update(places=places, axes=axes) or keep(places, axes, *rest)
+        crosspolytope.tuned(base, base.filter("id % 50 = 0"), 32, 5, 7, 0.95, 128)
+    finally:
+        crosspolytope.cheapest = keep
+    share = [t * p / 64**r for n in (10**4, 10**6, 10**8) for t, p, r in [crosspolytope.cheapest(seen["places"], seen["axes"], n, n // 50, 0.95)]]
+    assert share[2] < share[1] < 0.1 * share[0]
+
+
+def test_huge_and_tiny_vectors_and_parallel_ties(spark):
+    df = spark.createDataFrame([(0, [2.0**660] * 2), (1, [2.0**660, 0.0]), (2, [1.0, 1.0]), (3, [2.0**-660] * 2), (50, [5e-324, 0.0])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, round(r.score, 9)) for r in crosspolytope.nearest(df).collect()}
+    half = round(0.5**0.5, 9)
+    assert got == {(0, 1): (2, 1.0), (0, 2): (3, 1.0), (0, 3): (1, half), (0, 4): (50, half), (50, 1): (1, 1.0), (50, 2): (0, half), (50, 3): (2, half), (50, 4): (3, half)}
+    many = vectors(spark, [[float(i + 1)] + [0.0] * 7 for i in range(500)])
+    i, j, score = crosspolytope._best(np.array([0]), np.eye(8)[:1], np.eye(8)[:1], np.arange(500)[::-1], np.eye(8)[:1] * np.arange(1, 501)[:, None], 5)
+    assert np.arange(500)[::-1][j].tolist() == [1, 2, 3, 4, 5] and len(i) == 5
+    assert [r.vec_id for r in crosspolytope.nearest(many).filter("query_id = 50").orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
 def test_copies_ties_and_bad_vectors(spark):
     base = [1.0] + [0.0] * 7
     x = [base] * 20 + [[0.0] * 8, None, [float("nan")] + [0.0] * 7, [float("inf")] * 8, [1.0, 2.0]] + [[0.9, 0.1] + [0.0] * 6]
@@ -268,6 +310,25 @@ def test_reply_trees_match_sql(spark):
     compare(queries.op4_reply_trees(spark, SF), replytrees.ORACLE_SQL, connect(SF))
 
 
+def test_long_conversations_null_turns_and_repeats(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"t{t}" * (t % 5)) for t in range(1000)] + [(2, None, "user", "x"), (2, 1, "assistant", "y"), (2, 1, "assistant", "y"), (None, 0, "assistant", "z" * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("node", F.lit(7)).withColumn("score", F.lit("clash"))
+    got = {r.conv_id: r for r in replytrees.query(df).collect()}
+    by = lambda c: sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+    for c in (1, 2, None):
+        own = by(c)
+        assert got[c].n_turns == len(own) and got[c].turns_sha256 == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in own).encode()).hexdigest()
+        assert got[c].loss_sha256 == hashlib.sha256("".join(r[3] for r in own if r[2] == "assistant").encode()).hexdigest()
+    assert got[-7].loss_chars == len(replytrees.PLANTED)
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 9, 70])
+def test_starts_are_running_sums(spark, n):
+    sizes = [i % 7 + 1 for i in range(n)]
+    got = spark.createDataFrame([(sizes,)], "s array<bigint>").select(replytrees.starts(F.col("s"), 3).alias("x")).first().x
+    assert got == [sum(sizes[:i]) for i in range(n)]
+
+
 def test_branches_rank_and_cycles_drop(spark):
     rows = [("t", 1, None, "user", "hi", 1.0), ("t", 2, 1, "assistant", "a", 5.0), ("t", 3, 1, "assistant", "b", 9.0), ("t", 4, 3, "user", None, 1.0), ("u", 1, 2, "x", "c", 0.0), ("u", 2, 1, "x", "c", 0.0), ("u", 3, 2, "x", "leaf", 0.0), (None, 1, 9, "user", "n", None)]
     m = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
@@ -578,6 +639,22 @@ def test_mined_rules_match_brute_force(spark):
     assert rules and got == {i: "block" if any(r <= toks[i] for r in rules) else "allow" for i in range(400)}
 
 
+def test_families_of_many_shared_words_are_mined_fast_and_by_any_word(spark):
+    import time
+
+    family = [f"word{chr(97 + i)}" for i in range(24)]
+    urls = [f"http://spam.io/{'/'.join(family)}/{i}" for i in range(100)] + [f"http://fine.io/page/{i}" for i in range(300)] + ["http://other.io/wordc", "http://other.io/x" * 4000, None, "http://fine.io/page/1"]
+    pages = pages_of(spark, urls).withColumn("tokens", F.lit("clash")).withColumn("label", F.lit(1))
+    pages = pages.unionByName(pages.filter("page_id = 3")).unionByName(pages.filter("page_id = 3").withColumn("page_id", F.lit(None).cast("long")))
+    labels = spark.createDataFrame([(i, 0 if i < 100 else 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    start = time.perf_counter()
+    got = urlrules.judge(pages, labels).collect()
+    assert time.perf_counter() - start < 60
+    verdict = {r.page_id: r.verdict for r in got}
+    assert len(got) == len(urls) + 2 and all(verdict[i] == ("block" if i < 101 else "allow") for i in range(400) if i != 100) and verdict[400] == "block"
+    assert verdict[402] == "allow" and verdict[None] == "block"
+
+
 # --- 10 shards -------------------------------------------------------------------------------------------------------------------
 
 
