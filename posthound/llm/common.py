@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Ids that an explicit broadcast may hold (about 16 bytes each); beyond it the same join shuffles.
@@ -18,6 +20,11 @@ def text_batches(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once a row."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def sized(ids: DataFrame) -> DataFrame:
     """ids, marked for broadcast if they are few; ids should be cheap to count (a written table)."""
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from posthound.llm.common import bound
 from posthound.session import written
 
 
@@ -36,10 +37,6 @@ def hilbert_index(dims: list[Column], bits: int) -> Column:
     places = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(n)])
     zero = F.lit(0).cast("long")
 
-    def bound(value: Column, then) -> Column:
-        """then(value) with value computed once."""
-        return F.get(F.transform(F.array(value), then), F.lit(0))
-
     def gray(x: Column) -> Column:
         return F.transform(x, lambda _, k: F.aggregate(F.slice(x, 1, k + 1), zero, lambda a, v: a.bitwiseXOR(v)))
 

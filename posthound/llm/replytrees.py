@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from posthound.llm.common import bound
 from posthound.session import written
 
 TURN_END = "</turn>\n"
@@ -47,18 +48,17 @@ def format_turn(role: Column, text: Column) -> Column:
 
 def parse_turns(formatted: Column) -> Column:
     """array<struct<role, text, start, end>> of a formatted conversation; start and end: code points of the escaped text there."""
-    parts = F.split(formatted, TURN_END, -1)
-    parts = F.slice(parts, 1, F.size(parts) - 1)
-
     def turn(part: Column) -> Column:
         cut = F.instr(part, ": ")
         raw = part.substr(cut + F.lit(2), F.length(part))
-        return F.struct(_unescape(part.substr(F.lit(5), cut - F.lit(5))).alias("role"), _unescape(raw).alias("text"), (cut + 1).cast("long").alias("head"), F.length(raw).cast("long").alias("chars"))
+        return F.struct(_unescape(part.substr(F.lit(5), cut - F.lit(5))).alias("role"), _unescape(raw).alias("text"), (cut + 1).cast("long").alias("head"), F.length(raw).cast("long").alias("chars"), (F.length(part) + len(TURN_END)).cast("long").alias("whole"))
 
-    found = F.transform(parts, turn)
-    bounds = F.arrays_zip(found.alias("turn"), starts(F.transform(parts, lambda p: (F.length(p) + len(TURN_END)).cast("long"))).alias("at"))
-    head = lambda x: x["at"] + x["turn"]["head"]
-    return F.transform(bounds, lambda x: F.struct(x["turn"]["role"].alias("role"), x["turn"]["text"].alias("text"), head(x).alias("start"), (head(x) + x["turn"]["chars"]).alias("end")))
+    def placed(t: Column, at: Column) -> Column:
+        return F.struct(t["role"].alias("role"), t["text"].alias("text"), (at + t["head"]).alias("start"), (at + t["head"] + t["chars"]).alias("end"))
+
+    parts = F.split(formatted, TURN_END, -1)
+    turns = bound(parts, lambda p: F.transform(F.slice(p, 1, F.size(p) - 1), turn))
+    return bound(turns, lambda found: F.zip_with(found, starts(F.transform(found, lambda t: t["whole"])), placed))
 
 
 def starts(sizes: Column, block: int = 256) -> Column:
@@ -67,11 +67,10 @@ def starts(sizes: Column, block: int = 256) -> Column:
     zero = F.lit(0).cast("long")
     total = lambda x: F.aggregate(x, zero, lambda a, v: a + v)
     ahead = lambda x: F.transform(x, lambda _, i: total(F.slice(x, 1, i)))
-    count = F.ceil(F.size(sizes) / block).cast("int")
-    blocks = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda b: F.slice(sizes, (b - 1) * block + 1, block))
+    cut = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.ceil(F.size(s) / block).cast("int"), F.lit(1))), lambda b: F.slice(s, (b - 1) * block + 1, block))
     # Up to block ** 2 turns, the blocks' sums are short lists themselves.
-    before = ahead(F.transform(blocks, total))
-    return F.flatten(F.zip_with(blocks, before, lambda own, first: F.transform(ahead(own), lambda v: v + first)))
+    joined = lambda blocks: F.flatten(F.zip_with(blocks, bound(F.transform(blocks, total), ahead), lambda own, first: F.transform(ahead(own), lambda v: v + first)))
+    return bound(sizes, lambda s: bound(cut(s), joined))
 
 
 def paths(messages: DataFrame) -> DataFrame:
