@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ DANGEROUS_SCHEMES = ("javascript", "vbscript", "data", "file", "ms-msdt", "searc
 SAFE_PORTS = {"http": ("80", "8080"), "https": ("443", "8443")}
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once, however often `then` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def parts(url: Column) -> dict[str, Column]:
     """scheme, userinfo, host, port, path, query, fragment as lower-level pieces; absent ones are empty."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
@@ -52,13 +59,18 @@ def _parts_sql(u: str) -> dict[str, str]:
 
 def normalise(url: Column) -> Column:
     """A clickable form: shares to file:, `//` to https:, `www.` to http:, backslashes to slashes, scheme and host in small letters."""
-    url = F.trim(url)
-    url = F.when(url.rlike(r"^\\\\[^\\]"), F.concat(F.lit("file:"), F.replace(url, F.lit("\\"), F.lit("/")))).when(url.rlike(r"^[A-Za-z]:\\"), F.concat(F.lit("file:///"), F.replace(url, F.lit("\\"), F.lit("/")))).when(
-        url.startswith("//"), F.concat(F.lit("https:"), url)
-    ).when(url.rlike(r"(?i)^www\."), F.concat(F.lit("http://"), url)).otherwise(url)
-    head = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*:[/\\]{2}[^/\\?#]*)", 1)
-    rest = url.substr(F.length(head) + 1, F.length(url))
-    return F.when(head != "", F.concat(F.lower(F.replace(head, F.lit("\\"), F.lit("/"))), F.replace(F.regexp_extract(rest, r"^([^?#]*)", 1), F.lit("\\"), F.lit("/")), F.regexp_extract(rest, r"^[^?#]*(.*)$", 1))).otherwise(url)
+    def clickable(url: Column) -> Column:
+        return F.when(url.rlike(r"^\\\\[^\\]"), F.concat(F.lit("file:"), F.replace(url, F.lit("\\"), F.lit("/")))).when(url.rlike(r"^[A-Za-z]:\\"), F.concat(F.lit("file:///"), F.replace(url, F.lit("\\"), F.lit("/")))).when(
+            url.startswith("//"), F.concat(F.lit("https:"), url)
+        ).when(url.rlike(r"(?i)^www\."), F.concat(F.lit("http://"), url)).otherwise(url)
+
+    def split(url: Column) -> Column:
+        return once(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*:[/\\]{2}[^/\\?#]*)", 1), lambda head: slashed(head, url.substr(F.length(head) + 1, F.length(url)), url))
+
+    def slashed(head: Column, rest: Column, url: Column) -> Column:
+        return F.when(head != "", F.concat(F.lower(F.replace(head, F.lit("\\"), F.lit("/"))), F.replace(F.regexp_extract(rest, r"^([^?#]*)", 1), F.lit("\\"), F.lit("/")), F.regexp_extract(rest, r"^[^?#]*(.*)$", 1))).otherwise(url)
+
+    return once(once(F.trim(url), clickable), split)
 
 
 URL_IN_TEXT = r"(?i)\b((?:https?|ftp)://[^\s<>\"'`{}|\\^]+|www\.[A-Za-z0-9-]+\.[^\s<>\"'`{}|\\^]+)"
@@ -76,9 +88,12 @@ def in_text(text: Column, most: int = 1000) -> Column:
 
 def unwrap(url: Column, hops: int = 3) -> Column:
     """The target of a rewritten link: the first of the parameters url, u, q, target that holds an address."""
-    for _ in range(hops):
+    def hop(url: Column) -> Column:
         inner = F.regexp_extract(url, r"(?i)[?&](?:url|u|q|target)=(https?(?:%3a|:)[^&#]+)", 1)
-        url = F.when(inner != "", F.coalesce(F.try_url_decode(inner), url)).otherwise(url)
+        return once(inner, lambda x: F.when(x != "", F.coalesce(F.try_url_decode(x), url)).otherwise(url))
+
+    for _ in range(hops):
+        url = once(url, hop)
     return url
 
 
