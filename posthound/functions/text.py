@@ -49,11 +49,12 @@ def neutralise(text: Column, blob: int = 120) -> Column:
 
 
 def entropy_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, entropy: Shannon entropy in bits of each text's characters; empty texts 0."""
-    chars = rows.select(key, F.explode_outer(F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")).alias("c"))
-    counts = chars.groupBy(key, "c").agg(F.count("c").alias("n"))
-    whole = counts.groupBy(key).agg(F.sum("n").alias("total"), F.sum(F.when(F.col("n") > 0, F.col("n") * F.log2(F.when(F.col("n") > 0, F.col("n"))))).alias("weighted"))
-    return whole.select(key, F.when(F.col("total") > 0, F.round(F.log2(F.when(F.col("total") > 0, F.col("total"))) - F.col("weighted") / F.col("total"), 6)).otherwise(F.lit(0.0)).alias("entropy"))
+    """key, entropy: Shannon entropy in bits of each row's text; empty and null texts 0. Nothing is exploded or shuffled."""
+    text = F.coalesce(F.col(text), F.lit(""))
+    total = F.length(text)
+    counts = F.transform(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")), lambda c: total - F.length(F.replace(text, c, F.lit(""))))
+    weighted = F.aggregate(counts, F.lit(0.0), lambda a, n: a + n * F.log2(n))
+    return rows.select(key, F.when(total > 0, F.round(F.log2(F.greatest(total, F.lit(1))) - weighted / total, 6)).otherwise(F.lit(0.0)).alias("entropy"))
 
 
 def obfuscation(text: Column) -> dict[str, Column]:

@@ -52,7 +52,10 @@ def osa_distance(a: Column, b: Column, limit: int = 3) -> Column:
 
 
 def lookalike_kind(host: Column, targets: tuple[str, ...]) -> Column:
-    """How a host imitates one of a few target domains: tld_swap, homoglyph, typo, affix or subdomain; null if it does not, or is one."""
+    """How a host imitates one of a few target domains: tld_swap, homoglyph, typo, affix or subdomain; null if it does not, or is one.
+
+    For many targets, and for names of xn--, take deception.imitations(), which joins.
+    """
     out = F.lit(None).cast("string")
     domain = registrable(host)
     name = F.substring_index(domain, ".", 1)
@@ -64,10 +67,10 @@ def lookalike_kind(host: Column, targets: tuple[str, ...]) -> Column:
             affix = affix | name.isin(f"{own}-{word}", f"{word}-{own}", f"{own}{word}", f"{word}{own}")
         kind = (
             F.when(name == own, "tld_swap")
-            .when((skeleton(name) == skeleton(F.lit(own))) | name.startswith("xn--"), "homoglyph")
+            .when(skeleton(name) == skeleton(F.lit(own)), "homoglyph")
             .when((osa_distance(name, F.lit(own), 2) <= reach) if reach else F.lit(False), "typo")
             .when(affix, "affix")
-            .when(F.lit("." + t + ".").isNotNull() & host.contains(t + ".") & ~host.endswith(t), "subdomain")
+            .when(F.concat(F.lit("."), host).contains(f".{t}."), "subdomain")
         )
         out = F.when((domain == t) | host.endswith("." + t), F.lit(None)).otherwise(F.coalesce(kind, out))
     return out

@@ -249,7 +249,7 @@ def _one_place(x: Column) -> Column:
 
 def shown_bytes(n: Column) -> Column:
     """A size as people read it: bytes, then KB to TB with one decimal, a comma before it."""
-    n = F.greatest(n.cast("long"), F.lit(0).cast("long"))
+    n = F.when(n < 0, 0).otherwise(n).cast("long")
     out = F.concat(_one_place(n / 1024**4), F.lit(" TB"))
     for k, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
         out = F.when(n < 1024 ** (k + 1), F.concat(_one_place(n / 1024**k), F.lit(f" {unit}"))).otherwise(out)
@@ -257,7 +257,7 @@ def shown_bytes(n: Column) -> Column:
 
 
 def shown_ms(ms: Column) -> Column:
-    ms = F.greatest(ms.cast("long"), F.lit(0).cast("long"))
+    ms = F.when(ms < 0, 0).otherwise(ms).cast("long")
     return F.coalesce(F.when(ms < 1000, F.concat(ms.cast("string"), F.lit(" ms"))).otherwise(F.concat(_one_place(ms / 1000), F.lit(" s"))), F.lit("—"))
 
 

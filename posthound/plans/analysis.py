@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from posthound.functions import urls
-from posthound.operators import documents, files, messages, scripts
+from posthound.operators import deception, documents, files, messages, scripts
 from posthound.plans.registry import Registry
 from posthound.plans.scoring import ScoreConfig, verdicts
 from posthound.session import written
@@ -39,7 +39,9 @@ def analyse(raw: DataFrame, company: tuple[str, ...] = (), trusted_servers: tupl
         extra = {c: F.col(c) if c in rows.columns else d for c, d in (("category", F.lit(category)), ("severity", severity(F.col("score"))))}
         found.append(rows.select(F.col("mail").cast("long").alias("analysis_id"), "rule", F.col("score").cast("int").alias("score"), extra["category"].alias("category"), extra["severity"].cast("int").alias("severity"), (artifact if artifact is not None else F.lit(None).cast("string")).alias("artifact_id")))
 
-    links = mail.html_facts(parsed.withColumnRenamed("id", "mail"), "mail", "body_html").select("mail", F.explode(F.transform("links", lambda x: x["url"])).alias("url"))
+    anchors = mail.html_facts(parsed.withColumnRenamed("id", "mail"), "mail", "body_html").select("mail", F.explode("links").alias("l")).select("mail", "l.url", "l.shown")
+    add(deception.deceptive_links(anchors.withColumnRenamed("mail", "key"), company).withColumnRenamed("key", "mail"), "phishing")
+    links = anchors.select("mail", "url")
     plain = parsed.select(F.col("id").alias("mail"), F.explode(urls.in_text(F.coalesce("body_text", F.lit("")))).alias("url"))
     seen = links.unionByName(plain).withColumn("url", urls.normalise(F.col("url"))).distinct()
     add(urls.grouped(urls.findings(seen, "mail", "url"), "mail"), "phishing")
@@ -69,9 +71,11 @@ def analyse(raw: DataFrame, company: tuple[str, ...] = (), trusted_servers: tupl
     every = found[0]
     for rows in found[1:]:
         every = every.unionByName(rows)
-    order = W.partitionBy("analysis_id").orderBy("rule", "artifact_id", "score")
-    every = every.withColumns({"position": F.row_number().over(order) - 1, "malware_family": F.lit(None).cast("string")})
-    every = written(every.dropDuplicates(["analysis_id", "rule", "artifact_id"]), "findings")
+    # Of several findings of one rule on one part the best score counts; then positions follow.
+    best = F.max(F.struct("score", "severity", "category")).alias("b")
+    every = every.groupBy("analysis_id", "rule", "artifact_id").agg(best).select("analysis_id", "rule", "artifact_id", "b.*")
+    order = W.partitionBy("analysis_id").orderBy("rule", "artifact_id")
+    every = written(every.withColumns({"position": F.row_number().over(order) - 1, "malware_family": F.lit(None).cast("string")}), "findings")
     return every, parts.drop("data", "row"), verdicts(every, parsed.select("id", "from_addr"), config)
 
 

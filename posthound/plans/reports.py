@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from posthound.plans.registry import Registry
+from posthound.session import written
 from posthound.sources import adapters as src
 
 R = Registry()
@@ -202,9 +203,12 @@ def campaigns(artifacts: DataFrame, results: DataFrame, least: int = 2, limit: i
         F.count_distinct("analysis_id").alias("n"), F.min("received_at").alias("first_seen"), F.max("received_at").alias("last_seen"), F.max_by("level", src.level_rank(F.col("level"))).alias("level")
     )
     top = grouped.filter(F.col("n") >= least).orderBy(F.desc("n"), F.desc("last_seen"), "sha256").limit(limit)
-    detail = rows.join(F.broadcast(top.select("sha256")), "sha256", "left_semi")
+    # At most `limit` campaigns: what they hold is counted in one pass, and the three summaries read the counts.
+    top = written(top, "campaigns")
+    held = rows.join(F.broadcast(top.select("sha256")), "sha256", "left_semi").groupBy("sha256", "filename", "detected_type", "mailbox")
+    detail = written(held.agg(F.count(F.lit(1)).alias("mails")), "campaign_counts")
     # The commonest value, ties to the smaller one.
-    common = lambda c: detail.groupBy("sha256", c).agg(F.count(F.lit(1)).alias("k")).groupBy("sha256").agg(F.min(F.struct((-F.col("k")).alias("k"), c)).alias("m")).select("sha256", F.col(f"m.{c}").alias(c))
+    common = lambda c: detail.groupBy("sha256", c).agg(F.sum("mails").alias("k")).groupBy("sha256").agg(F.min(F.struct((-F.col("k")).alias("k"), c)).alias("m")).select("sha256", F.col(f"m.{c}").alias(c))
     boxes = detail.select("sha256", "mailbox").distinct().groupBy("sha256").agg(F.slice(F.array_sort(F.collect_list("mailbox")), 1, 200).alias("boxes"))
     out = top.join(common("filename"), "sha256").join(common("detected_type"), "sha256").join(boxes, "sha256")
     return out.select("sha256", "n", "first_seen", "last_seen", "level", "filename", "detected_type", F.array_join("boxes", ",").alias("mailboxes"))

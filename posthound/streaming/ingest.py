@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from posthound.operators.dml import new_results
@@ -67,7 +68,8 @@ _ALERT_SCHEMA = "key string, id long, at timestamp"
 def suppress(alerts: DataFrame, window_s: int) -> DataFrame:
     """The alerts(key, id, at) that are sent: after one of a key, others rest for window_s seconds from that accepted one.
 
-    Which alerts are accepted depends on those before, so each key's are folded in order. A key's alerts must fit a task.
+    Which alerts are accepted depends on those before, but never across a gap of window_s: the first alert after one is always
+    sent. A key's alerts are cut there, and only the alerts between two gaps are folded in order by one task.
     """
     if window_s <= 0:
         return alerts.select("key", "id", "at")
@@ -81,7 +83,14 @@ def suppress(alerts: DataFrame, window_s: int) -> DataFrame:
                 until = row.at + pd.Timedelta(seconds=window_s)
         return pd.DataFrame(kept, columns=pdf.columns)
 
-    return alerts.select("key", "id", "at").groupBy("key").applyInPandas(fold, _ALERT_SCHEMA)
+    own = W.partitionBy("key").orderBy("at", "id")
+    new = F.coalesce(F.col("at") >= F.lag("at").over(own) + F.expr(f"interval {window_s} seconds"), F.lit(True))
+    pieces = alerts.select("key", "id", "at").withColumn("new", new.cast("int")).withColumn("piece", F.sum("new").over(own.rowsBetween(W.unboundedPreceding, 0)))
+    # An alert between two gaps stands alone in most histories: such pieces need no fold.
+    pieces = pieces.withColumn("last", F.lead("piece").over(own))
+    alone = (F.col("new") == 1) & (F.col("last").isNull() | (F.col("last") != F.col("piece")))
+    folded = pieces.filter(~alone).groupBy("key", "piece").applyInPandas(lambda pdf: fold(pdf[["key", "id", "at"]]), _ALERT_SCHEMA)
+    return pieces.filter(alone).select("key", "id", "at").unionByName(folded)
 
 
 def suppress_stream(alerts: DataFrame, window_s: int) -> DataFrame:
