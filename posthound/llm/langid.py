@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from posthound.llm import bytesops as bo
-from posthound.llm.common import text_batches
+from posthound.llm.common import sized, text_batches
 
 DIM = 4096
 #: Bytes that are part of words: ASCII letters and all of multi-byte characters; the rest reads as a space.
@@ -100,10 +100,12 @@ def fit(train: DataFrame, per_language: int = 300, clusters: int = 4, tail: floa
     if not df[DIM]:
         return None
     idf = (np.log((1 + df[DIM]) / (1 + df[:DIM])) + 0.05).astype(np.float32)
-    # First within sixteen parts of each language, so that no task sees a whole language.
-    first = lambda rows, *keys: rows.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy("h", "doc_id"))).filter(F.col("n") <= per_language)
-    ids = train.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod(F.col("h"), F.lit(16)))
-    chosen = first(first(ids, "lang", "part"), "lang").select("doc_id").distinct()
+    # The smallest hashes of each language, of those below a bound that about four times as many stay under: no task sees a whole language.
+    ids = train.select("doc_id", "lang").distinct().withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)))
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    low = ids.join(sized(sizes), "lang").filter(F.col("h").cast("double") * F.col("n") < 4.0 * per_language * (1 << 52))
+    own = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
+    chosen = low.withColumn("k", own).filter(F.col("k") <= per_language).select("doc_id").distinct()
     # At most per_language ids a language.
     sample = train.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi").dropDuplicates(["doc_id", "lang"])
 
