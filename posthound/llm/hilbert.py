@@ -3,7 +3,7 @@
 Each dimension is quantised to `bits` bits, the cell's index on the Hilbert curve orders the rows, and the order is cut into
 runs of equal length: shards cover small boxes of the metadata space, so that readers skip most of them by their bounds.
 
-Cases: null dimensions take cell 0; equal texts of one cell lie together; repeated rows keep their places side by side;
+Cases: null dimensions take cell 0; equal texts of one cell lie together, those of other languages or sources lie with their own cell; repeated rows keep their places side by side;
 an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -82,12 +82,17 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", **how) -> DataFrame:
-    """Write docs as one folder of Parquet per shard, rows in slot order, and return each shard's bounds for pruning.
+    """Write docs as one folder of Parquet per shard, each a few files of rows in slot order, and return each shard's bounds for pruning.
 
-    Ids must be unique: a shard is looked up by id.
+    Every row lies in one file; null and repeated ids are fine. A column of docs named like one of the added ones is replaced.
     """
-    placed = assign_shards(docs, id_col=id_col, **how).select(F.col("doc_id").alias(id_col), "shard", "slot", "hilbert")
-    out = docs.join(placed, id_col).repartition("shard").sortWithinPartitions("shard", "slot")
+    added = ("shard", "slot", "hilbert")
+    docs = docs.select(*[c for c in docs.columns if c not in added])
+    # Equal rows are interchangeable, so numbering them makes each row's place its own.
+    number = F.row_number().over(W.partitionBy(*[F.xxhash64(*docs.columns, F.lit(k)) for k in range(2)]).orderBy(F.lit(0)))
+    rows = written(docs.withColumn("_key", F.struct(*[F.xxhash64(*docs.columns, F.lit(k)) for k in range(2)], number)), "rows")
+    placed = assign_shards(rows.withColumn(id_col, F.col("_key")), id_col=id_col, **how).select(F.col("doc_id").alias("_key"), *added)
+    out = rows.join(placed, "_key").drop("_key").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
     out.write.partitionBy("shard").parquet(path)
     bounds = [f(c).alias(f"{n}_{c}") for c in ("lang", "source", "n_chars", "hilbert") if c in out.columns for n, f in (("min", F.min), ("max", F.max))]
     return docs.sparkSession.read.parquet(path).groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), *bounds)

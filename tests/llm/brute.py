@@ -142,3 +142,67 @@ def templates(docs, items, share=0.8):
             if need and len(held) >= share * len(need):
                 out.add((d, item))
     return out
+
+
+MASK = (1 << 64) - 1
+BASE = 0x9E3779B97F4A7C15
+
+
+def mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & MASK
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+def word_hash(raw):
+    return mix((sum((b + 1) * pow(BASE, i + 1, 1 << 64) for i, b in enumerate(raw)) + len(raw)) & MASK)
+
+
+def hashed_grams(text, buckets=1 << 16):
+    """Distinct buckets of a text's words, word pairs and pairs of word shapes."""
+    out, before, shape_before, word_before = set(), None, None, None
+    for raw in (w.encode() for w in words(text)):
+        h = word_hash(re.sub(rb"[A-Z]", lambda m: m[0].lower(), raw))
+        up, digit, alpha = (sum(bool(re.match(p, raw[i : i + 1])) for i in range(len(raw))) for p in (rb"[A-Z]", rb"[0-9]", rb"[A-Za-z\x80-\xff]"))
+        tail = 0 if re.match(rb"[A-Za-z0-9\x80-\xff]", raw[-1:]) else raw[-1]
+        doubled = tail > 0 and len(raw) > 1 and raw[-2] == raw[-1] or tail > 0 and len(raw) == 1
+        shape = mix(tail * 128 + doubled * 64 + min(up, 2) * 16 + (digit > 0) * 8 + (up >= alpha) * 4 + (alpha == 0) * 2 + (h == word_before) + 32768 * (len(raw) > 24) + 77)
+        for kind, g in enumerate((h, mix((1 if before is None else before) * 3 + h & MASK), mix((1 if shape_before is None else shape_before) * 3 + shape & MASK))):
+            out.add(kind * buckets + g % buckets)
+        before = word_before = h
+        shape_before = shape
+    return out
+
+
+def importance_weights(grams, good, prior, dead, sigmas, unit=4096):
+    import math
+
+    raw, target = Counter(g for x in grams for g in x), Counter(g for x, ok in zip(grams, good) if ok for g in x)
+    share = sum(good) / len(good)
+
+    def ratio(g):
+        t, e = target[g], raw[g] * share
+        r = math.log((t + prior) / (e + prior))
+        deviance = 2 * ((t * math.log(t / e) if t else 0) - (t - e))
+        return round(r * unit) / unit if abs(r) >= dead and deviance > sigmas * sigmas else 0
+
+    return [sum(ratio(g) for g in x) for x in grams]
+
+
+def centroid_cosines(text, idf, centroids, dim):
+    """Cosines of a text's TF-IDF vector of hashed n-grams of one to three bytes to each centroid."""
+    import math
+
+    raw = re.sub(rb"[^a-z\x80-\xff]+", b" ", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
+    counts = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(raw) - n + 1):
+            h = raw[i] + 1
+            for b in raw[i + 1 : i + n]:
+                h = (h * 257 + b + 1) % (1 << 32)
+            counts[((h * 2654435761 + (n - 1) * 40503) % (1 << 32)) >> 20] += 1
+    v = {k: math.log1p(c) * float(idf[k]) for k, c in counts.items()}
+    norm = math.sqrt(sum(x * x for x in v.values())) or 1
+    return [sum(x * float(c[k]) for k, x in v.items()) / norm for c in centroids]

@@ -473,6 +473,17 @@ def test_language_accuracy_on_held_out(spark):
     assert (got[got.held_out].lang == got[got.held_out].lang_pred).mean() > 0.95 and got.score.between(0, 1).all()
 
 
+def test_language_matches_plain_cosines(spark):
+    train = spark.read.parquet(f"{SF}/documents.parquet").filter(~langid.held_out(F.col("doc_id")))
+    model = langid.fit(train)
+    rows = [(r.doc_id, r.text) for r in train.limit(25).collect()] + [(900, "ñandú  12 the, of!"), (901, "1 2"), (902, "é")]
+    got = {r.doc_id: r for r in langid.predict(docs_of(spark, rows), model, ["doc_id"]).collect()}
+    for i, t in rows:
+        cos = brute.centroid_cosines(t, model.idf, model.centroids, langid.DIM)
+        assert got[i].lang_pred == (model.names[int(np.argmax(cos))] if any(c.isalpha() for c in t) else "und")
+        assert abs(got[i].score - (max(cos) if any(c.isalpha() for c in t) else 0)) < 1e-5
+
+
 def test_language_on_odd_rows(spark, odd, empty):
     got = {r.doc_id: r for r in langid.identify(odd).collect()}
     assert [got[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and got[8].lang_pred in ("en", "und")
@@ -603,6 +614,33 @@ def test_weights_match_plain_sums(spark):
     assert got == want
 
 
+def test_weights_and_draw_match_brute_force(spark):
+    """Own n-grams, counts, ratios and draw, in plain Python."""
+    rng = random.Random(31)
+    rows = []
+    for i in range(120):
+        w = [f"w{rng.randrange(30)}" for _ in range(rng.randrange(1, 40))]
+        rows.append((i, " ".join(x.upper() + "!!" if i % 4 == 0 and rng.random() < 0.7 else x for x in w)))
+    rows += [(120, None), (121, ""), (3, rows[3][1])]
+    labels = [(i, 0 if i % 4 == 0 else 1, 0) for i in range(80)] + [(5, None, 0), (None, 1, 0)]
+    docs = docs_of(spark, rows)
+    model = importance.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), sigmas=1.5, share=0.6)
+    grams = [brute.hashed_grams(t) for _, t in rows]
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    weight = brute.importance_weights(grams, [i in good for i, _ in rows], 0.5, 1.0, 1.5)
+    noise = {(r.doc_id, r.text): r.n for r in docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 52)).alias("n")).collect()}
+    key = {(i, t): w - np.log(-np.log((noise[i, t] + 0.5) / 2.0**52)) for (i, t), w in zip(rows, weight)}
+    assert model.kept == round(0.6 * len(rows))
+    order = sorted((-key[i, t], i) for i, t in rows)
+    got = [(r.id, r.log_weight) for r in model.weights.orderBy("rank").collect()]
+    assert [i for i, _ in got] == [i for _, i in order]
+    assert all(abs(w - weight[[x for x, _ in rows].index(i)]) < 1e-9 for i, w in got)
+    drawn = importance.accepted(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), sigmas=1.5, share=0.6).collect()
+    assert sorted(r.doc_id for r in drawn) == sorted(i for _, i in order[: model.kept])
+    plain = sorted(range(len(rows)), key=lambda k: -weight[k])[: model.kept]
+    assert {rows[k][0] for k in plain} != {r.doc_id for r in drawn}
+
+
 def test_quality_on_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert importance.resample(odd, labels).count() == odd.count()
@@ -679,6 +717,21 @@ def test_shards_are_even_and_gapless(spark, odd, empty):
     assert hilbert.assign_shards(empty).count() == 0
 
 
+def test_shards_match_a_plain_sort(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    got = hilbert.assign_shards(docs).collect()
+    order = sorted(got, key=lambda r: (r.hilbert, rows[r.doc_id], r.doc_id))
+    n = len(order)
+    assert [(r.shard, r.slot) for r in order] == [(k * 24 // n, k - -(-(k * 24 // n) * n // 24)) for k in range(n)]
+
+
+def test_written_shards_keep_odd_rows(spark, odd, tmp_path):
+    hilbert.write_shards(odd.withColumn("slot", F.lit("clash")), str(tmp_path / "odd"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "odd"))
+    assert sorted(((r.doc_id, r.text) for r in back.collect()), key=str) == sorted(((r.doc_id, r.text) for r in odd.collect()), key=str)
+
+
 def test_written_shards_have_bounds(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bounds = hilbert.write_shards(docs, str(tmp_path / "out"), shards=4).collect()
@@ -702,6 +755,18 @@ def test_pipeline_stages_and_columns(spark):
     assert packed.select("doc_id").distinct().count() == len(rows)
 
 
+def test_pipeline_on_odd_and_empty_rows(spark, odd, empty, tmp_path):
+    spark.createDataFrame([(4, 1, 0), (6, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "nothing of this occurs in any of them"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for docs in (odd, empty):
+        names, n = docs.columns, docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), name)
+            assert docs.columns == names and docs.count() <= n
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert len({(r.doc_id, r.doc_tokens) for r in packed}) >= len({r.doc_id for r in docs.collect()})
+
+
 def test_dedup_stage_matches_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {d for d, (_, c) in brute.near_duplicates([(r.doc_id, r.text) for r in docs.collect()], 80).items() if d == c}
