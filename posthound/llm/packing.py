@@ -14,8 +14,8 @@ Cases: a null or empty text is the end id alone; a null source is a queue of its
 
 from __future__ import annotations
 
-import array
 import functools
+import itertools
 import zlib
 
 import numpy as np
@@ -31,12 +31,58 @@ from posthound.llm.hilbert import ranked
 from posthound.session import written
 
 WINDOW, QUANTUM = 1024, 256
-#: Pieces whose ids a task remembers, about 200 bytes each.
-CACHED_SEGMENTS = 100_000
+#: Pieces whose ids a task remembers, about 40 bytes each.
+CACHED_SEGMENTS = 500_000
 _HEAD = np.zeros(256, dtype=bool)
 _HEAD[[0xE1, 0xE2, 0xE3]] = True
 
 
+class Pieces:
+    """Token ids of text pieces, found by the pieces' 64-bit hashes: flat arrays, no object per piece.
+
+    Where more than `room` would be held, those not met since the last time go, then all but those in hand.
+    """
+
+    def __init__(self, room: int) -> None:
+        self.room = room
+        self.keys, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.heads, self.sizes, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where each hash is or would be, whether it is there)."""
+        at = np.searchsorted(self.keys, h)
+        held = at < len(self.keys)
+        held[held] = self.keys[at[held]] == h[held]
+        return at, held
+
+    def missing(self, h: np.ndarray) -> np.ndarray:
+        """Which of the distinct hashes must be added; makes room for them."""
+        at, held = self.places(h)
+        own = np.zeros(len(self.keys), bool)
+        own[at[held]] = True
+        self.met |= own
+        more = len(h) - int(held.sum())
+        if len(self.keys) + more > self.room:
+            self.keep(self.met if int(self.met.sum()) + more <= self.room else own)
+        return ~held
+
+    def keep(self, chosen: np.ndarray) -> None:
+        sizes = self.sizes[chosen]
+        heads = np.cumsum(sizes) - sizes
+        self.ids = self.ids[np.arange(int(sizes.sum())) + np.repeat(self.heads[chosen] - heads, sizes)]
+        self.keys, self.heads, self.sizes, self.met = self.keys[chosen], heads, sizes, np.zeros(len(sizes), bool)
+
+    def add(self, h: np.ndarray, ids: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        keys = np.concatenate([self.keys, h])
+        by = np.argsort(keys, kind="stable")
+        self.keys = keys[by]
+        self.heads = np.concatenate([self.heads, len(self.ids) + np.cumsum(sizes) - sizes])[by]
+        self.sizes = np.concatenate([self.sizes, sizes])[by]
+        self.met = np.concatenate([self.met, np.ones(len(h), bool)])[by]
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+
+
 class Segmenter:
     """Token ids of many texts by a byte-level BPE vocabulary.
 
@@ -53,7 +99,7 @@ class Segmenter:
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.known: dict[bytes, bytes] = {}
+        self.known = Pieces(CACHED_SEGMENTS)
 
     @functools.cached_property
     def whole(self):
@@ -78,22 +124,15 @@ class Segmenter:
         bounds = np.flatnonzero(cut)
         starts, ends = bounds[:-1], bounds[1:]
         h = bo.span_hashes(buf, starts, ends)
-        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > CACHED_SEGMENTS:
-            self.known.clear()
-        got = []
-        for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
-            piece = raw[s:e]
-            ids = self.known.get(piece)
-            if ids is None:
-                ids = self.known[piece] = array.array("I", self.bpe.encode_ordinary(piece.decode("utf-8", "replace"))).tobytes()
-            got.append(ids)
-        lens = np.array([len(x) // 4 for x in got], dtype=np.int64)
-        flat = np.frombuffer(b"".join(got), np.uint32)
-        heads = np.concatenate([[0], np.cumsum(lens)])[:-1] if len(lens) else lens
+        h, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        new = self.known.missing(h)
+        at = first[new]
+        self.known.add(h[new], [self.bpe.encode_ordinary(raw[s:e].decode("utf-8", "replace")) for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        place, _ = self.known.places(h)
+        flat, heads, lens = self.known.ids, self.known.heads[place], self.known.sizes[place]
         per = lens[inverse]
         upto = np.concatenate([[0], np.cumsum(per)])
-        ids = flat[np.arange(int(upto[-1])) - np.repeat(upto[:-1] - heads[inverse], per)] if len(per) else flat
+        ids = flat[np.arange(int(upto[-1])) - np.repeat(upto[:-1] - heads[inverse], per)]
         tok = upto[np.searchsorted(starts, offs)] if len(starts) else np.zeros(n + 1, np.int64)
         parts, sizes = [], []
         end = np.array([end_id], np.uint32)
@@ -103,7 +142,7 @@ class Segmenter:
             part = ids[tok[i] : tok[i + 1]] if part is None else part
             parts += [part, end]
             sizes.append(len(part) + 1)
-        return np.concatenate(parts) if parts else flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        return np.concatenate(parts) if parts else ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
 def token_table(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, end_id: int) -> DataFrame:

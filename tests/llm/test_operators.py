@@ -540,6 +540,20 @@ def test_packing_odd_rows_and_special_strings(spark, odd, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_pieces_keep_what_is_in_hand_when_room_runs_out():
+    held, room = packing.Pieces(4), {}
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        h = np.unique(rng.integers(0, 30, rng.integers(0, 9)).astype(np.uint64))
+        new = held.missing(h)
+        room |= {int(k): [int(k)] * (int(k) % 4) for k in h[new]}
+        held.add(h[new], [room[int(k)] for k in h[new]])
+        at, there = held.places(h)
+        assert there.all() and len(held.keys) <= max(4, len(h))
+        for k, i in zip(h.tolist(), at.tolist(), strict=True):
+            assert held.ids[held.heads[i] : held.heads[i] + held.sizes[i]].tolist() == room[k]
+
+
 def test_packing_by_given_shares(spark):
     docs = docs_of(spark, [(i, words(random.Random(i), 400)) for i in range(30)])
     pieces = check_packing(spark, docs, weights={"s0": 2.0, "s1": 1.0, "s2": 1.0}, quantum=128)
