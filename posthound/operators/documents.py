@@ -110,6 +110,11 @@ CAPABILITIES = {
     "keylogging": (b"SetWindowsHookEx", b"GetAsyncKeyState", b"GetKeyState"),
     "stealing": (b"CryptUnprotectData", b"Login Data", b"logins.json", b"wallet.dat"),
     "anti_analysis": (b"IsDebuggerPresent", b"CheckRemoteDebuggerPresent", b"VBoxService", b"vmtoolsd"),
+    "control": (b"WSAStartup", b"TcpClient", b"GetStream", b"client_id"),
+    "plugin": (b"Plugin.Run", b"LoadPlugin", b"savePlugin"),
+    "capture": (b"capCreateCaptureWindow", b"CopyFromScreen", b"BitBlt"),
+    "stay": (b"CurrentVersion\\Run", b"schtasks"),
+    "exfil": (b"api.telegram.org", b"discord.com/api/webhooks", b"smtp.gmail.com", b"ftp://", b"SmtpClient"),
     "ransom": (b"vssadmin delete", b"CryptEncrypt", b"wbadmin delete", b"bcdedit /set"),
 }
 
@@ -149,9 +154,14 @@ AUTO = re.compile(r"\b(auto_?open|document_open|workbook_open|auto_?close|docume
 DANGER = re.compile(r"\b(shell|createobject|wscript|powershell|urldownloadtofile|xmlhttp|callbyname|environ)\b", re.I)
 
 
+#: Names that run a macro sheet on opening, and functions of its formulas that start or load programs.
+XLM_AUTO = re.compile(r"<definedName\b[^>]*name=\"(_xlnm\.)?auto_(open|close|activate)", re.I)
+XLM_CALLS = re.compile(r"\b(exec|call|register|run|formula\.fill|fopen|fwrite|urldownloadtofile)\s*\(", re.I)
+
+
 def office_features(data: bytes) -> dict:
     """Macros, automatic names, external templates, DDE, embedded objects and equation or moniker exploits in office files."""
-    out: dict = {"kind": "unknown", "macros": False, "auto": False, "danger": False, "external": [], "dde": False, "objects": 0, "activex": False, "equation": False, "moniker": False, "encrypted": False, "broken": False}
+    out: dict = {"kind": "unknown", "macros": False, "auto": False, "danger": False, "external": [], "dde": False, "objects": 0, "activex": False, "equation": False, "xlm": False, "xlm_auto": False, "xlm_calls": False, "moniker": False, "encrypted": False, "broken": False}
     texts: list[str] = []
     if data[:4] == b"PK\x03\x04":
         out["kind"] = "ooxml"
@@ -168,6 +178,10 @@ def office_features(data: bytes) -> dict:
                     room -= info.file_size
                     part = z.read(info)
                     texts.append(part.decode("latin-1"))
+                    if "/macrosheets/" in name:
+                        out["xlm"] = True
+                        out["xlm_calls"] |= bool(XLM_CALLS.search(texts[-1]))
+                    out["xlm_auto"] |= name.endswith("workbook.xml") and bool(XLM_AUTO.search(texts[-1]))
                     if name.endswith(".rels"):
                         for tag in re.findall(r"<Relationship\b[^>]*>", part.decode("utf-8", "replace")):
                             if 'TargetMode="External"' in tag and (m := re.search(r'Target="([^"]*)"', tag)):
@@ -215,7 +229,7 @@ READERS = {
     "pdf": (pdf_features, "javascript int, autorun int, launch int, embedded int, richmedia int, submit int, encrypted int, remote_goto int, escaped_names int, uris array<string>, filenames array<string>, appended long, broken boolean"),
     "lnk": (lnk_features, "target string, arguments string, icon string, trailing long, broken boolean"),
     "pe": (pe_features, "machine int, sections int, max_entropy double, timestamp long, signed boolean, dotnet boolean, overlay long, inner_pe boolean, broken boolean, " + ", ".join(f"{k} int" for k in CAPABILITIES)),
-    "office": (office_features, "kind string, macros boolean, auto boolean, danger boolean, external array<string>, dde boolean, objects int, activex boolean, equation boolean, moniker boolean, encrypted boolean, broken boolean"),
+    "office": (office_features, "kind string, macros boolean, auto boolean, danger boolean, external array<string>, dde boolean, objects int, activex boolean, equation boolean, xlm boolean, xlm_auto boolean, xlm_calls boolean, moniker boolean, encrypted boolean, broken boolean"),
     "onenote": (onenote_features, "objects array<binary>, names array<string>"),
 }
 
@@ -245,6 +259,7 @@ def _hits(rows: DataFrame, key: str, found: list[tuple[Column, str, int | Column
 
 def pdf_findings(f: DataFrame, key: str = "id") -> DataFrame:
     c = F.col
+    unsafe = F.exists("filenames", lambda n: n.rlike(r"(?i)\.(docm|xlsm|pptm|xll|html?|svg|zip|rar|7z|one|rtf)$"))
     risky = F.exists("filenames", lambda n: n.rlike(r"(?i)\.(exe|scr|js|vbs|bat|lnk|iso|hta|cmd)$"))
     return _hits(
         f,
@@ -254,7 +269,8 @@ def pdf_findings(f: DataFrame, key: str = "id") -> DataFrame:
             ((c("javascript") > 0) & (c("autorun") == 0), "pdf.javascript", 35),
             (c("launch") > 0, "pdf.launch", 75),
             ((c("embedded") > 0) & risky, "pdf.embedded_executable", 70),
-            ((c("embedded") > 0) & ~risky, "pdf.embedded_file", 0),
+            ((c("embedded") > 0) & ~risky & unsafe, "pdf.embedded_risky", 30),
+            ((c("embedded") > 0) & ~risky & ~unsafe, "pdf.embedded_file", 0),
             (c("richmedia") > 0, "pdf.richmedia", 30),
             (c("remote_goto") > 0, "pdf.remote_goto", 40),
             (c("submit") > 0, "pdf.submit_form", 10),
@@ -286,6 +302,9 @@ def lnk_findings(f: DataFrame, key: str = "id") -> DataFrame:
 
 def pe_findings(f: DataFrame, now: Column, key: str = "id") -> DataFrame:
     c = F.col
+    traits = [c(k) for k in ("control", "plugin", "capture", "stay", "keylogging", "anti_analysis")]
+    kinds = sum(((t > 0).cast("int") for t in traits[1:]), (traits[0] > 0).cast("int"))
+    rat = (kinds >= 3) & (sum(traits[1:], traits[0]) >= 4) & (c("control") > 0) & ((c("anti_analysis") > 0) | (c("plugin") > 0))
     return _hits(
         f,
         key,
@@ -294,8 +313,10 @@ def pe_findings(f: DataFrame, now: Column, key: str = "id") -> DataFrame:
             (c("broken"), "pe.malformed", 25),
             (c("injection") >= 2, "pe.process_injection", 70),
             (c("keylogging") >= 1, "pe.keylogger", F.when(c("keylogging") >= 2, 60).otherwise(40)),
-            (c("stealing") >= 2, "pe.stealer_behavior", 75),
-            (c("anti_analysis") >= 2, "pe.anti_analysis", 35),
+            (c("stealing") >= 2, "pe.stealer_behavior", F.when(c("exfil") > 0, 85).otherwise(75)),
+            (rat, "pe.rat_traits", 75),
+            ((c("anti_analysis") >= 2) & ~rat, "pe.anti_analysis", 35),
+            ((c("exfil") > 0) & (c("stealing") < 2), "pe.exfil_channel", F.when(c("exfil") >= 2, 60).otherwise(45)),
             (c("ransom") >= 2, "pe.ransomware_traits", 70),
             (c("max_entropy") > 7.2, "pe.packed", 30),
             (c("inner_pe"), "pe.embedded_pe", 60),
@@ -318,6 +339,9 @@ def office_findings(f: DataFrame, key: str = "id") -> DataFrame:
             (c("macros") & ~c("auto") & c("danger"), "office.vba.suspicious", 40),
             (c("macros") & c("auto") & ~c("danger"), "office.vba.autorun", 40),
             (c("macros") & ~c("auto") & ~c("danger"), "office.vba.macros", 25),
+            (c("xlm") & c("xlm_auto") & c("xlm_calls"), "office.xlm.autoexec", 80),
+            (c("xlm") & ~c("xlm_auto") & c("xlm_calls"), "office.xlm.suspicious", 50),
+            (c("xlm") & ~c("xlm_calls"), "office.xlm.macros", 40),
             (c("dde"), "office.dde", 75),
             (template, "office.remote_template", 75),
             (follina, "office.follina", 85),
@@ -337,8 +361,10 @@ def onenote_findings(f: DataFrame, key: str = "id") -> DataFrame:
     program = F.exists(kinds, lambda k: k.isin(*EXECUTABLE_TYPES))
     script = F.exists("objects", lambda o: F.lower(F.try_to_binary(F.hex(o), F.lit("hex")).cast("string")).rlike(r"wscript|powershell|createobject|@echo off|<script"))
     named = F.exists("names", lambda n: n.rlike(r"(?i)\.(exe|hta|js|vbs|bat|cmd|lnk|ps1|wsf)$"))
-    rest = (F.size("objects") > 0) & ~program & ~script
-    return _hits(f, key, [(program, "onenote.embedded_pe", 85), (script, "onenote.embedded_script", 80), (named, "onenote.dangerous_filename", 70), (rest, "onenote.embedded_file", 30), (F.size("objects") == 0, "onenote.file", 10)])
+    page = F.exists(kinds, lambda k: k == "text/html") & ~script
+    picture = F.exists(kinds, lambda k: k.startswith("image/"))
+    rest = F.exists(kinds, lambda k: (k != "text/html") & ~k.startswith("image/")) & ~program & ~script
+    return _hits(f, key, [(program, "onenote.embedded_pe", 85), (script, "onenote.embedded_script", 80), (named, "onenote.dangerous_filename", 70), (page, "onenote.embedded_html", 35), (rest, "onenote.embedded_file", 30), (picture, "onenote.embedded_image", 0), (F.size("objects") == 0, "onenote.file", 10)])
 
 
 # --- inert samples, put together from pieces -----------------------------------------------------------------------------------

@@ -61,7 +61,7 @@ def extension(name: Column) -> Column:
 
 
 def filetype_findings(rows: DataFrame) -> DataFrame:
-    """id, rule, score of rows(id, mail, parent, filename, detected_type, depth, encrypted, note); names first, then contents."""
+    """id, rule, score of rows(id, mail, parent, filename, detected_type, depth, encrypted, note, and declared: the type its sender named, if known); names first, then contents."""
     name, kind = F.coalesce("filename", F.lit("")), F.coalesce("detected_type", F.lit("unknown"))
     ext = extension(name)
     inner = extension(F.regexp_replace(F.lower(name), r"\s*\.[^.]*$", ""))
@@ -73,6 +73,9 @@ def filetype_findings(rows: DataFrame) -> DataFrame:
     executable = (bad_score > 0) | kind.isin(*EXECUTABLE_TYPES)
     in_archive = ~rtlo & ~double & (F.col("depth") > 0) & executable
     plain = ~rtlo & ~double & ~in_archive & (bad_score > 0)
+    note = F.coalesce("note", F.lit(""))
+    executable_type = kind.isin(*EXECUTABLE_TYPES)
+    declared = F.lower("declared").rlike(r"^(image|audio|video|text)/|^application/(pdf|msword|rtf)") if "declared" in rows.columns else F.lit(False)
     mismatch = ext.isin(*DOCUMENTS) & kind.isin(*EXECUTABLE_TYPES)
     scored = lambda cond, rule, score: F.when(cond, F.struct(F.lit(rule).alias("rule"), (F.lit(score) if isinstance(score, int) else score).cast("int").alias("score")))
     found = [
@@ -84,8 +87,10 @@ def filetype_findings(rows: DataFrame) -> DataFrame:
         scored(mismatch, "filetype.type_mismatch", 80),
         scored(ext.isin(*DOCUMENTS) & kind.startswith("archive/") & ~ext.isin("docx", "xlsx", "pptx"), "filetype.type_mismatch", 40),
         scored((ext == "") & kind.isin(*EXECUTABLE_TYPES), "filetype.hidden_executable", 40),
+        scored(declared & executable_type & ~mismatch, "filetype.content_type_mismatch", 30),
         scored(F.col("encrypted"), "filetype.encrypted_archive", 35),
-        scored(F.coalesce(F.col("note"), F.lit("")).contains("limit"), "filetype.extraction_limit", 30),
+        scored(note.contains("limit"), "filetype.extraction_limit", 30),
+        scored((note != "") & ~note.contains("limit"), "filetype.extraction_note", 0),
         scored((F.col("depth") == 0) & kind.isin("text/html", "image/svg"), "filetype.html_attachment", 10),
     ]
     hits = F.filter(F.array(*found), lambda x: x.isNotNull())

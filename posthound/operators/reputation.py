@@ -35,9 +35,9 @@ def eligible(rows: DataFrame) -> DataFrame:
 def hash_findings(artifacts: DataFrame, known: DataFrame, counts: DataFrame) -> DataFrame:
     """analysis_id, sha256, rule, score: known(sha256, family) first; counts(sha256, engines) where that missed."""
     asked = eligible(artifacts).select("analysis_id", "sha256").distinct()
-    hit = asked.join(known, "sha256").select("analysis_id", "sha256", F.lit("rep.known").alias("rule"), F.lit(98).alias("score"))
+    hit = asked.join(known, "sha256").select("analysis_id", "sha256", F.lit("rep.malwarebazaar").alias("rule"), F.lit(98).alias("score"))
     rest = asked.join(known.select("sha256"), "sha256", "left_anti").join(counts, "sha256")
-    rule = F.when(F.col("engines") >= 5, "rep.engines").when(F.col("engines") >= 2, "rep.engines.low_detections").otherwise(F.lit("rep.engines.clean"))
+    rule = F.when(F.col("engines") >= 5, "rep.virustotal").when(F.col("engines") >= 2, "rep.virustotal.low_detections").otherwise(F.lit("rep.virustotal.clean"))
     score = F.when(F.col("engines") >= 5, 95).when(F.col("engines") >= 2, 40).otherwise(0)
     return hit.unionByName(rest.select("analysis_id", "sha256", rule.alias("rule"), score.alias("score")))
 
@@ -78,8 +78,8 @@ _INTEL = "known AS (SELECT sha256(CAST(p_partkey AS VARCHAR)) AS sha256 FROM par
     _q(
         [src.ARTIFACTS_SQL, _INTEL],
         """, asked AS (SELECT DISTINCT analysis_id, sha256 FROM artifacts WHERE size > 0)
-SELECT analysis_id, a.sha256, 'rep.known' AS rule, 98 AS score FROM asked a JOIN known k ON a.sha256 = k.sha256
-UNION ALL SELECT analysis_id, a.sha256, CASE WHEN engines >= 5 THEN 'rep.engines' WHEN engines >= 2 THEN 'rep.engines.low_detections' ELSE 'rep.engines.clean' END, CASE WHEN engines >= 5 THEN 95 WHEN engines >= 2 THEN 40 ELSE 0 END
+SELECT analysis_id, a.sha256, 'rep.malwarebazaar' AS rule, 98 AS score FROM asked a JOIN known k ON a.sha256 = k.sha256
+UNION ALL SELECT analysis_id, a.sha256, CASE WHEN engines >= 5 THEN 'rep.virustotal' WHEN engines >= 2 THEN 'rep.virustotal.low_detections' ELSE 'rep.virustotal.clean' END, CASE WHEN engines >= 5 THEN 95 WHEN engines >= 2 THEN 40 ELSE 0 END
 FROM asked a JOIN counts c ON a.sha256 = c.sha256 WHERE a.sha256 NOT IN (SELECT sha256 FROM known)""",
     ).replace("\n, asked", ", asked")
 )

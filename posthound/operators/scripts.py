@@ -13,10 +13,10 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posthound.operators.files import pattern_findings
+from posthound.operators.files import magic_type, pattern_findings
 from posthound.plans.registry import Registry
 from posthound.sources.mail import html_facts
 
@@ -106,23 +106,51 @@ def script_findings(rows: DataFrame, key: str, text: str, prefix: str = "script"
     return found.unionByName(many.select(key, F.lit(f"{prefix}.obfuscation").alias("rule"), F.lit(30).alias("score")))
 
 
+#: Types of files that a page has no reason to carry inside its text.
+CARRIED = ("exe/pe", "exe/elf", "archive/zip", "archive/rar", "archive/7z", "archive/cab", "lnk", "office/ole", "office/onenote")
+#: Services that take what a page posts, and calls that post it.
+COLLECTORS = r"api\.telegram\.org/bot|discord(app)?\.com/api/webhooks|formspree\.io|api\.emailjs\.com|submit-form\.com|webhook\.site"
+CALLS = r"fetch\s*\(|xmlhttprequest|sendbeacon\s*\(|\$\.(post|ajax)\s*\(|axios"
+
+
+def carried_types(html: Column) -> Column:
+    """Types of what the base64 runs of a page decode to, by their first bytes; runs of fewer than 24 characters are left out."""
+    runs = F.regexp_extract_all(html, F.lit(r"([A-Za-z0-9+/]{24,})={0,2}"), F.lit(1))
+    whole = lambda r: F.least(F.lit(64), F.length(r) - F.length(r) % 4)
+    return F.transform(runs, lambda r: magic_type(F.try_to_binary(F.substring(r, F.lit(1), whole(r)), F.lit("base64"))))
+
+
+def obfuscation_score(low: Column) -> Column:
+    """60 where a page runs decoded text, 45 with two signs or more of hidden script, 35 with one, else 0."""
+    count = lambda p: F.size(F.regexp_extract_all(low, F.lit(p), F.lit(0)))
+    signs = [count(r"\\x[0-9a-f]{2}|\\u[0-9a-f]{4}|%[0-9a-f]{2}") >= 50, count(r"\b_0x[0-9a-f]{4,}") >= 5, low.rlike(r"fromcharcode\s*\(\s*(\d+\s*,\s*){10,}")]
+    n = sum((s.cast("int") for s in signs[1:]), signs[0].cast("int"))
+    runs = low.rlike(r"(eval|document\.write|function)\s*\(\s*(unescape|atob|decodeuricomponent)\s*\(")
+    return F.when(~low.contains("<script"), 0).when(runs, 60).when(n >= 2, 45).when(n == 1, 35).otherwise(0)
+
+
 def html_findings(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, rule, score of pages: forms that ask for passwords, redirects, smuggled downloads, active pictures, hidden script."""
     facts = html_facts(pages, key, html)
-    rows = pages.select(key, F.lower(F.coalesce(html, F.lit(""))).alias("low")).join(facts, key)
+    rows = pages.select(key, F.lower(F.coalesce(html, F.lit(""))).alias("low"), F.exists(carried_types(F.coalesce(html, F.lit(""))), lambda k: k.isin(*CARRIED)).alias("payload")).join(facts, key)
     c = F.col
+    rows = rows.withColumn("hidden", obfuscation_score(c("low")))
     outside = F.exists("links", lambda x: (x["source"] == "form") & x["url"].rlike(r"(?i)^(https?:)?//"))
     sinks = c("low").rlike(r"mssaveoropenblob|createobjecturl|download\s*=")
     coded = c("low").rlike(r"atob\s*\(|base64,|uint8array|fromcharcode")
     svg = c("low").rlike(r"^\s*(<\?xml[^>]*>\s*)?<svg") & c("low").rlike(r"<script|\son[a-z]+\s*=|<foreignobject|javascript:")
-    hit = lambda cond, rule, score: F.when(cond, F.struct(F.lit(rule).alias("rule"), F.lit(score).alias("score")))
+    hit = lambda cond, rule, score: F.when(cond, F.struct(F.lit(rule).alias("rule"), (F.lit(score) if isinstance(score, int) else score).alias("score")))
     found = [
         hit(c("low").contains("<hta:application"), "html.hta", 70),
         hit(svg, "html.svg_active_content", 70),
-        hit(sinks & coded, "html.smuggling", 65),
+        hit(c("payload") & sinks, "html.smuggling_payload", 85),
+        hit(c("payload") & ~sinks, "html.embedded_payload", 70),
+        hit(~c("payload") & sinks & coded, "html.smuggling", 65),
         hit(sinks & ~coded & c("low").contains(".click("), "html.download_trigger", 35),
         hit((c("passwords") > 0) & outside, "html.credential_phishing", 70),
         hit((c("passwords") > 0) & ~outside, "html.password_form", 40),
+        hit(c("low").rlike(COLLECTORS) & c("low").rlike(CALLS), "html.exfil_channel", 65),
+        hit(c("hidden") > 0, "html.obfuscated_script", c("hidden")),
         hit((c("refresh") != "") | c("low").rlike(r"location(\.href)?\s*=\s*[\"']https?:"), "html.redirect", 40),
         hit(c("low").rlike(r"navigator\.clipboard|execcommand\(.copy") & c("low").rlike(r"powershell|mshta|cmd\s+/c"), "html.clickfix", 80),
     ]

@@ -23,6 +23,9 @@ READERS = (
 )
 
 
+SCRIPT_NAMES = ("js", "jse", "vbs", "vbe", "wsf", "ps1", "bat", "cmd", "py", "sh")
+
+
 def severity(score: Column) -> Column:
     return F.when(score >= 60, 3).when(score >= 25, 2).when(score > 0, 1).otherwise(0)
 
@@ -65,6 +68,7 @@ def analyse(raw: DataFrame, company: tuple[str, ...] = (), trusted_servers: tupl
     text = named.filter("detected_type in ('unknown', 'text/html', 'image/svg', 'text/xml')").select("row", F.try_to_binary(F.hex("data"), F.lit("hex")).cast("string").alias("t"), "detected_type")
     for rows in [scripts.script_findings(text, "row", "t"), scripts.html_findings(text.filter("detected_type in ('text/html', 'image/svg')"), "row", "t")]:
         add(rows.join(keys, "row"), "suspicious_file", F.col("filename"))
+    add(named.filter(files.extension(F.col("filename")).isin(*SCRIPT_NAMES)).select("mail", "filename", F.lit("script.attachment").alias("rule"), F.lit(40).alias("score")), "suspicious_file", F.col("filename"))
     for kind, where, rule in READERS:
         add(rule(documents.features(named.filter(where).select(F.col("row").alias("id"), "data"), kind)).withColumnRenamed("id", "row").join(keys, "row"), "suspicious_file", F.col("filename"))
 
