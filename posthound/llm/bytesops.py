@@ -15,7 +15,9 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 1_000_000
 #: Polynomial base of the word hash, odd so that it is invertible modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
-_POW = np.array([pow(BASE, i + 1, 2**64) for i in range(1024)], dtype=np.uint64)
+#: Bytes that one polynomial spans. Over far longer strings a polynomial modulo 2**64 has collisions that anyone can write down.
+BLOCK = 64
+_POW = np.array([pow(BASE, i + 1, 2**64) for i in range(BLOCK)], dtype=np.uint64)
 #: Space bytes of `[^\x20\x09-\x0D]+`.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -74,17 +76,23 @@ def spans(solid: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span's bytes (spans ordered and apart)."""
+    """64-bit hash of each span's bytes (spans ordered and apart).
+
+    A span of up to BLOCK bytes is one polynomial. Longer ones are cut into blocks, and each block's sum is mixed with its
+    number before they are added up, so that blocks in another order give another hash.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     lens = (ends - starts).astype(np.int64)
     heads = np.concatenate([[0], np.cumsum(lens)[:-1]])
     pos = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(heads, lens)
-    at = pos + np.repeat(starts, lens)
-    val = buf[at].astype(np.uint64) + np.uint64(1)
-    if int(lens.max()) > 1024:
-        val += (pos >> 10).astype(np.uint64) * np.uint64(257)
-    val *= _POW[pos & 1023]
+    val = (buf[pos + np.repeat(starts, lens)].astype(np.uint64) + np.uint64(1)) * _POW[pos % BLOCK]
+    if int(lens.max()) > BLOCK:
+        at = np.flatnonzero(pos % BLOCK == 0)
+        sums, number = np.add.reduceat(val, at), (pos[at] // BLOCK).astype(np.uint64)
+        long = np.repeat(lens > BLOCK, -(-lens // BLOCK))
+        sums[long] = mix(sums[long] ^ mix(number[long] + np.uint64(BASE)))
+        val, heads = sums, np.flatnonzero(number == 0)
     return mix(np.add.reduceat(val, heads) + lens.astype(np.uint64))
 
 

@@ -148,6 +148,15 @@ MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 
 
+def token_ids(texts):
+    """Ids of whole texts by the tokenizer itself, each closed by id 0."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return [[*whole.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+
+
 def mix(x):
     x ^= x >> 30
     x = x * 0xBF58476D1CE4E5B9 & MASK
@@ -157,7 +166,11 @@ def mix(x):
 
 
 def word_hash(raw):
-    return mix((sum((b + 1) * pow(BASE, i + 1, 1 << 64) for i, b in enumerate(raw)) + len(raw)) & MASK)
+    powers = [pow(0x9E3779B97F4A7C15, i + 1, 2**64) for i in range(64)]
+    sums = [sum((c + 1) * p for c, p in zip(raw[k : k + 64], powers)) % 2**64 for k in range(0, len(raw), 64)]
+    if len(raw) > 64:
+        sums = [mix(x ^ mix((k + 0x9E3779B97F4A7C15) % 2**64)) for k, x in enumerate(sums)]
+    return mix((sum(sums) + len(raw)) % 2**64)
 
 
 def hashed_grams(text, buckets=1 << 16):

@@ -52,6 +52,49 @@ def test_words_and_shingles_match_plain_python():
     assert got == want
 
 
+def test_word_hashes_tell_blocks_in_another_order_apart():
+    rng = random.Random(3)
+    x, y = ("".join(rng.choice("abcdef0123456789") for _ in range(1024)) for _ in range(2))
+    thue = [0]
+    while len(thue) < 4096:
+        thue += [1 - t for t in thue]
+    morse = ["".join("ab"[t ^ f] for t in thue[:n]) for n in (64, 128, 1024, 2048, 4096) for f in (0, 1)]
+    blocks = [x[i : i + 64] for i in range(0, 1024, 64)]
+    texts = [x + y, y + x, x, y, "".join(sorted(blocks)), "".join(blocks[::-1]), *morse, *(m + w for m, w in zip(morse, morse[::-1]) if m != w)]
+    texts = list(dict.fromkeys(texts))
+    buf = np.frombuffer(" ".join(texts).encode(), np.uint8)
+    starts, ends, _ = bytesops.words(buf, np.array([0, len(buf)]))
+    h = bytesops.span_hashes(buf, starts, ends)
+    assert len(starts) == len(texts) == len(set(h.tolist()))
+    alone = [bytesops.span_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0]), np.array([len(t)]))[0] for t in texts]
+    assert h.tolist() == alone
+
+
+def test_long_words_in_another_order_stay_apart(spark):
+    rng = random.Random(4)
+    x, y = ("".join(rng.choice("abcdef0123456789+/") for _ in range(1024)) for _ in range(2))
+    rows = [(1, x + y), (2, y + x), (3, f"a {x}{y} b c d e f"), (4, f"a {y}{x} b c d e f"), (5, x + y)]
+    docs = docs_of(spark, rows)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, percent=85).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    pieces = packing.pack(docs).collect()
+    want = brute.token_ids([t for _, t in rows])
+    for (i, _), ids in zip(rows, want):
+        for r in (p for p in pieces if p.doc_id == i):
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+
+
+def test_pieces_are_told_from_others_of_the_same_hash(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(bytesops, "span_hashes", lambda buf, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(5))
+    own = packing.Segmenter(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, [])
+    for texts in (["one two six", "ten", "", "a longer text of words"], ["six two ten one", "señor niño"], ["abcdef ghijkl", "mnopqr"]):
+        raw = [t.encode() for t in texts]
+        ids, offs = own.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), 0)
+        assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:])] == brute.token_ids(texts)
+
+
 # --- 1 secrets -----------------------------------------------------------------------------------------------------------------
 
 
