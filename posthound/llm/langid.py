@@ -15,6 +15,8 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,6 +28,8 @@ from posthound.llm import bytesops as bo
 from posthound.llm.common import sized, text_batches
 
 DIM = 4096
+#: Texts whose counts are held as one matrix.
+SLICE = 512
 #: Bytes that are part of words: ASCII letters and all of multi-byte characters; the rest reads as a space.
 _FOLD = np.full(256, 32, dtype=np.uint8)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
@@ -53,8 +57,16 @@ def tf(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out.reshape(n, DIM)
 
 
-def vectors(buf: np.ndarray, offs: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(tf(buf, offs)) * idf
+def _tf_slices(texts: pa.Array) -> Iterator[np.ndarray]:
+    """tf() of at most SLICE texts at a time: its matrix has DIM columns, whatever the texts' lengths."""
+    for a, b, buf, offs in bo.chunks(texts, bo.CHUNK_BYTES // 2):
+        for s in range(0, b - a, SLICE):
+            e = min(b - a, s + SLICE)
+            yield tf(buf[offs[s] : offs[e]], offs[s : e + 1] - offs[s])
+
+
+def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    v = np.log1p(counts) * idf
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
@@ -65,8 +77,8 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         df = np.zeros(DIM + 1, np.int64)
         for batch in batches:
             df[DIM] += batch.num_rows
-            for _, _, buf, offs in bo.chunks(batch.column(0), bo.CHUNK_BYTES // 2):
-                df[:DIM] += (tf(buf, offs) > 0).sum(0)
+            for counts in _tf_slices(batch.column(0)):
+                df[:DIM] += (counts > 0).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIM + 1, dtype=np.int32)), pa.array(df)], names=["bucket", "df"])
 
     out = np.zeros(DIM + 1, np.int64)
@@ -111,7 +123,7 @@ def fit(train: DataFrame, per_language: int = 300, clusters: int = 4, tail: floa
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id").head(per_language)
-        x = np.concatenate([vectors(buf, offs, idf) for _, _, buf, offs in bo.chunks(pa.array(pdf["text"]), bo.CHUNK_BYTES // 2)])
+        x = np.concatenate([vectors(counts, idf) for counts in _tf_slices(pa.array(pdf["text"]))])
         c, cos = cluster(x, clusters)
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "c": [r.tolist() for r in c], "least": float(np.quantile(cos, tail))})
 
@@ -132,11 +144,11 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
         names = np.array(m.names, dtype=object)
         for batch in batches:
             best, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for a, b, buf, offs in bo.chunks(batch.column(len(keep)), bo.CHUNK_BYTES // 2):
-                for s in range(0, b - a, 512):
-                    e = min(b - a, s + 512)
-                    cos = vectors(buf[offs[s] : offs[e]], offs[s : e + 1] - offs[s], m.idf) @ m.centroids.T
-                    best[a + s : a + e], score[a + s : a + e] = cos.argmax(1), cos.max(1)
+            at = 0
+            for counts in _tf_slices(batch.column(len(keep))):
+                cos = vectors(counts, m.idf) @ m.centroids.T
+                best[at : at + len(cos)], score[at : at + len(cos)] = cos.argmax(1), cos.max(1)
+                at += len(cos)
             letter = batch.column(len(keep) + 1).to_numpy(zero_copy_only=False)
             score = np.where(letter, np.clip(score, 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.where(letter, names[best], "und"), pa.string()), pa.array(score), pa.array(letter & (score < m.least[best]))], names=[*keep, "lang_pred", "score", "rejected"])
