@@ -83,6 +83,12 @@ class Pieces:
         self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
 
 
+def _runs(flat: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs flat[heads[k] : heads[k] + sizes[k]] one after another, offsets of each)."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    return flat[np.arange(int(upto[-1])) - np.repeat(upto[:-1] - heads, sizes)], upto
+
+
 class Segmenter:
     """Token ids of many texts by a byte-level BPE vocabulary.
 
@@ -100,6 +106,10 @@ class Segmenter:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.known = Pieces(CACHED_SEGMENTS)
+        spelt = {i: b for b, i in table.items()}
+        each = [spelt.get(i, b"") for i in range(max(spelt) + 1)]
+        self.letters = np.frombuffer(b"".join(each), np.uint8)
+        self.letter_offs = np.concatenate([[0], np.cumsum([len(b) for b in each])])
 
     @functools.cached_property
     def whole(self):
@@ -108,6 +118,20 @@ class Segmenter:
 
         return Tokenizer.from_file(self.vocabulary)
 
+    def misspelt(self, ids: np.ndarray, upto: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[int]:
+        """Pieces (which follow each other in buf) whose ids, upto[k] to upto[k + 1], do not spell their bytes."""
+        size = np.diff(self.letter_offs)[ids]
+        length = np.concatenate([[0], np.cumsum(size)])[upto]
+        bad = np.diff(length) != ends - starts
+        if not bad.any():
+            spelt, _ = _runs(self.letters, self.letter_offs[ids], size)
+            bad[np.searchsorted(ends, np.flatnonzero(spelt != buf), side="right")] = True
+        else:  # only those of the right length can be held against the text byte by byte
+            for k in np.flatnonzero(~bad):
+                spelt, _ = _runs(self.letters, self.letter_offs[ids[upto[k] : upto[k + 1]]], size[upto[k] : upto[k + 1]])
+                bad[k] = not np.array_equal(spelt, buf[starts[k] : ends[k]])
+        return np.flatnonzero(bad).tolist()
+
     def encode(self, buf: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts, each closed by end_id."""
         raw, n = buf.tobytes(), len(offs) - 1
@@ -130,9 +154,12 @@ class Segmenter:
         self.known.add(h[new], [self.bpe.encode_ordinary(raw[s:e].decode("utf-8", "replace")) for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
         place, _ = self.known.places(h)
         flat, heads, lens = self.known.ids, self.known.heads[place], self.known.sizes[place]
-        per = lens[inverse]
-        upto = np.concatenate([[0], np.cumsum(per)])
-        ids = flat[np.arange(int(upto[-1])) - np.repeat(upto[:-1] - heads[inverse], per)]
+        ids, upto = _runs(flat, heads[inverse], lens[inverse])
+        # Hashes only find pieces: ids that do not spell a piece's own bytes are another's, and it is encoded anew.
+        if wrong := self.misspelt(ids, upto, buf, starts, ends):
+            own = {k: np.array(self.bpe.encode_ordinary(raw[starts[k] : ends[k]].decode("utf-8", "replace")), np.uint32) for k in wrong}
+            parts = [own.get(k, ids[upto[k] : upto[k + 1]]) for k in range(len(starts))]
+            ids, upto = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         tok = upto[np.searchsorted(starts, offs)] if len(starts) else np.zeros(n + 1, np.int64)
         parts, sizes = [], []
         end = np.array([end_id], np.uint32)
@@ -238,10 +265,11 @@ def order_of_quanta(queues: DataFrame, window: int, quantum: int) -> DataFrame:
     return placed.select("queue", "c", "sequence_id", before.alias("before"))
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None, weights: dict[str | None, float] | None = None, window: int = WINDOW, quantum: int = QUANTUM, end_id: int = 0, broadcast_queues: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None, weights: dict[str | None, float] | None = None, window: int = WINDOW, quantum: int = QUANTUM, end_id: int = 0, even: bool = False, broadcast_queues: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source_queue: one row per piece.
 
-    weights: target share per source; default: each source's share of all tokens. window: a multiple of quantum.
+    weights: target share per source; default: each source's share of all tokens, or, if even, shares in proportion to the square
+    roots of the sources' tokens, which lift small sources over large ones. window: a multiple of quantum.
     """
     import public_tokenizers
 
@@ -265,7 +293,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = Non
         held = {r["queue"]: r["m"] for r in few}
         index = {q: i for i, q in enumerate(sorted(held))}
         totals = np.array([held[q] for q in index], dtype=np.int64)
-        wanted = np.array([shares.get(q, 0.0) for q in index]) if shares else totals.astype(float)
+        wanted = np.array([shares.get(q, 0.0) for q in index]) if shares else np.sqrt(totals.astype(float)) if even else totals.astype(float)
         schedule = Schedule(totals, _share(wanted, float(wanted.sum())), window, quantum)
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", *(("sequence_id", "offset") if schedule else ("_c", "_in")), "source_queue"]
 
@@ -289,7 +317,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = Non
     if schedule:
         return pieces
     given = sums.sparkSession.createDataFrame(list(shares.items()), "queue string, wanted double")
-    wanted = sums.join(sized(given), "queue", "left").select("queue", "m", F.coalesce("wanted", F.lit(0.0)).alias("w")) if shares else sums.select("queue", "m", F.col("m").cast("double").alias("w"))
+    wanted = sums.join(sized(given), "queue", "left").select("queue", "m", F.coalesce("wanted", F.lit(0.0)).alias("w")) if shares else sums.select("queue", "m", (F.sqrt("m") if even else F.col("m").cast("double")).alias("w"))
     total = float(wanted.agg(F.sum("w")).first()[0])
     share = F.when(F.col("w") > 0, F.col("w")).otherwise(F.lit(max(1e-9, total * 1e-6))) / F.lit(max(1e-9, total))
     order = order_of_quanta(wanted.select("queue", "m", share.alias("share")), window, quantum)

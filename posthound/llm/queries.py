@@ -38,7 +38,7 @@ def op6_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack(_table(spark, sf_dir, "documents"), even=True)
 
 
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
