@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from posthound.llm import crosspolytope, hilbert, importance, langid, neardup, packing, replytrees, secretcrf, templates, urlrules
+from posthound.llm import crosspolytope, divergence, hilbert, importance, langid, merkle, neardup, packing, replytrees, secretcrf, templates, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,14 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.assign_shards(_table(spark, sf_dir, "documents"), shards=24)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_crf, op2_cross_polytope, op3_template_decontamination, op4_reply_trees, op5_minhash_near_dedup, op6_language_centroids, op7_mixture_packing, op8_importance_resampling, op9_url_rules, op10_hilbert_shards)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents")).drop("path")
 
-ORACLE_SQL: dict[str, str] = {"op4_reply_trees": replytrees.ORACLE_SQL, "op5_minhash_near_dedup": neardup.ORACLE_SQL}
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_crf, op2_cross_polytope, op3_template_decontamination, op4_reply_trees, op5_minhash_near_dedup, op6_language_centroids, op7_mixture_packing, op8_importance_resampling, op9_url_rules, op10_hilbert_shards, op11_merkle_manifest, op12_source_divergence)}
+
+ORACLE_SQL: dict[str, str] = {"op4_reply_trees": replytrees.ORACLE_SQL, "op5_minhash_near_dedup": neardup.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL}
