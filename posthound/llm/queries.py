@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from posthound.llm import crosspolytope, divergence, hilbert, importance, langid, merkle, neardup, packing, replytrees, secretcrf, templates, urlrules
+from posthound.llm import crosspolytope, divergence, hilbert, importance, langid, merkle, neardup, packing, replytrees, secretcrf, suffixdedup, templates, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_crf, op2_cross_polytope, op3_template_decontamination, op4_reply_trees, op5_minhash_near_dedup, op6_language_centroids, op7_mixture_packing, op8_importance_resampling, op9_url_rules, op10_hilbert_shards, op11_merkle_manifest, op12_source_divergence)}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_crf, op2_cross_polytope, op3_template_decontamination, op4_reply_trees, op5_minhash_near_dedup, op6_language_centroids, op7_mixture_packing, op8_importance_resampling, op9_url_rules, op10_hilbert_shards, op11_merkle_manifest, op12_source_divergence, op13_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op4_reply_trees": replytrees.ORACLE_SQL, "op5_minhash_near_dedup": neardup.ORACLE_SQL, "op11_merkle_manifest": merkle.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL}

@@ -219,3 +219,92 @@ def centroid_cosines(text, idf, centroids, dim):
     v = {k: math.log1p(c) * float(idf[k]) for k, c in counts.items()}
     norm = math.sqrt(sum(x * x for x in v.values())) or 1
     return [sum(x * float(c[k]) for k, x in v.items()) / norm for c in centroids]
+
+
+def without_repeats(rows, width):
+    """(n_bytes, n_removed, n_spans, kept) of each (id, text), ids distinct: bytes under a string of `width` that starts earlier too are removed."""
+    first, out = {}, {}
+    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for s in range(len(raw) - width + 1):
+            if first.setdefault(raw[s : s + width], (i, s)) != (i, s):
+                gone[s : s + width] = b"\1" * width
+        spans = sum(gone[k] and not (k and gone[k - 1]) for k in range(len(raw)))
+        out[i] = (len(raw), sum(gone), spans, bytes(b for b, g in zip(raw, gone) if not g))
+    return out
+
+
+def merkle(rows, arity):
+    """(doc_id, leaf, subroot, root, proof, folded_root, verified) of rows (doc_id, source, lang, n_chars, text)."""
+    import hashlib
+    import zlib
+
+    H = lambda x: hashlib.sha256(x.encode()).hexdigest()
+
+    def leaf(doc_id, source, lang, n_chars, text):
+        return H("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in (doc_id, source, lang, n_chars, text)))
+
+    def tree(hs):
+        levels = [hs]
+        while len(levels[-1]) > 1:
+            levels.append([H("".join(levels[-1][i : i + arity])) for i in range(0, len(levels[-1]), arity)])
+        return levels
+
+    def path(levels, i):
+        out = []
+        for level in levels[:-1]:
+            a = i // arity * arity
+            out.append(("".join(level[a:i]), "".join(level[i + 1 : a + arity])))
+            i //= arity
+        return out
+
+    trees = {}
+    for r in rows:
+        trees.setdefault(r[2], []).append((r[0] is not None, r[0] or 0, leaf(*r), r))
+    names = sorted(trees, key=lambda x: (x is not None, (x or "").encode()))
+    levels = {}
+    for name in names:
+        trees[name].sort(key=lambda x: x[:3])
+        levels[name] = tree([x[2] for x in trees[name]])
+    top = tree([levels[n][-1][0] for n in names])
+    out = []
+    for k, name in enumerate(names):
+        for i, (_, _, h, r) in enumerate(trees[name]):
+            steps = path(levels[name], i) + path(top, k)
+            hit = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0 and r[3] is not None
+            x = leaf(*r[:3], r[3] + 1, r[4]) if hit else h
+            for a, b in steps:
+                x = H(a + x + b)
+            out.append((r[0], h, levels[name][-1][0], top[-1][0], H("".join(a + b for a, b in steps)), x, x == top[-1][0]))
+    return out
+
+
+def divergence(rows, least=10, top=10):
+    """(lang, source, part, item, value, rank) of rows (text, lang, source)."""
+    import re
+    from collections import Counter, defaultdict
+
+    docs, counts = defaultdict(Counter), defaultdict(lambda: defaultdict(Counter))
+    for text, lang, source in rows:
+        terms = [re.sub("[A-Z]", lambda m: m[0].lower(), t) for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+        docs[lang or ""].update(set(terms))
+        counts[lang or ""][source or ""].update(terms)
+    out = []
+    for lang, by_source in counts.items():
+        kept = [t for t, n in docs[lang].items() if n >= least]
+
+        def shares(c):
+            n = sum(c[t] for t in kept)
+            return {t: 1 + 10**9 * (c[t] + 2) // (n + 2 * len(kept)) for t in kept}
+
+        p = {s: shares(c) for s, c in by_source.items()}
+        q = shares(sum(by_source.values(), Counter()))
+        add = lambda a, b: (a - b) ** 2 // (a + b)
+        for s in by_source:
+            pairs = [(sum(add(p[s][t], p[o][t]) for t in kept), o) for o in by_source if o != s]
+            terms = [(add(p[s][t], q[t]), t) for t in kept if by_source[s][t] and p[s][t] > q[t]]
+            for part, found, most in (("pair", pairs, len(pairs)), ("term", terms, top)):
+                for k, (v, item) in enumerate(sorted(found, key=lambda x: (-x[0], x[1].encode()))[:most]):
+                    out.append((lang, s, part, item, v, k + 1))
+    return out

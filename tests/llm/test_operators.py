@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from posthound.llm import bytesops, crosspolytope, hilbert, importance, langid, neardup, packing, queries, replytrees, secretcrf, templates, urlrules
+from posthound.llm import bytesops, crosspolytope, divergence, hilbert, importance, langid, merkle, neardup, packing, queries, replytrees, secretcrf, suffixdedup, templates, urlrules
 from tests.llm import brute
 from tests.oracle import compare, connect
 
@@ -828,3 +828,103 @@ def test_dedup_stage_matches_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {d for d, (_, c) in brute.near_duplicates([(r.doc_id, r.text) for r in docs.collect()], 80).items() if d == c}
     assert {r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, docs, SF).collect()} == want
+
+
+# --- 11 Merkle manifest --------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("arity", [2, 3])
+def test_manifest_is_that_of_brute_force(spark, odd, empty, arity, monkeypatch):
+    monkeypatch.setattr(merkle, "LEVELS", 2)  # several tables of blocks
+    rng = random.Random(arity)
+    many = spark.createDataFrame([(i, f"text {i % 50}", rng.choice(["en", "de", None, "", "é"]), "s", None if i % 5 == 0 else i) for i in range(150)], DOC)
+    docs = many.unionByName(odd.select(*many.columns))
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.leaf, r.subroot, r.root, r.proof_sha256, r.folded_root, r.verified) for r in merkle.manifest(docs, arity).collect())
+    want = brute.merkle([tuple(r) for r in docs.select("doc_id", "source", "lang", "n_chars", "text").collect()], arity)
+    assert got == sorted((i is not None, i or 0, *rest) for i, *rest in want)
+    assert {r[-1] for r in got} == {True, False}
+    assert merkle.manifest(empty).count() == 0
+
+
+def test_manifest_verifies_rows_that_nobody_changed(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    known = merkle.manifest(docs)
+    changed = docs.withColumn("text", F.when(F.col("doc_id") == 3, F.concat("text", F.lit("."))).otherwise(F.col("text"))).union(docs.limit(1).withColumn("doc_id", F.lit(10**9)))
+    assert sorted(r.doc_id for r in merkle.verify(changed, known).filter("not verified").collect()) == [3, 10**9]
+
+
+# --- 12 divergence of sources --------------------------------------------------------------------------------------------------
+
+
+def test_divergence_is_that_of_brute_force(spark, odd, empty):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["Ab", "ab", "é1É", "x-y", "zz", "q"]) * rng.randrange(1, 3) for _ in range(rng.randrange(0, 9))), rng.choice(["en", None, ""]), rng.choice(["a", "b", None, "c"]), 0) for i in range(90)]
+    rows += [(200 + i, "only here", "xx", "lone", 0) for i in range(9)] + [(300, None, "yy", "p", 0), (301, "9 9", "yy", "q", 0)]
+    docs = spark.createDataFrame(rows, DOC).repartition(5)
+    docs = docs.unionByName(odd.select(*docs.columns))
+    got = sorted(map(tuple, divergence.audit(docs).select("lang", "source", "part", "item", "value", "rank").collect()))
+    assert got == sorted(brute.divergence([tuple(r) for r in docs.select("text", "lang", "source").collect()]))
+    assert divergence.audit(empty).count() == 0
+
+
+def test_divergence_holds_terms_apart_whose_hashes_meet(monkeypatch):
+    monkeypatch.setattr(bytesops, "span_hashes", lambda buf, starts, ends: (ends - starts).astype(np.uint64))
+    counts, texts = divergence.Counts(), [b"ab cd ab", b"cd efg hij", b""]
+    counts.add(["l"] * 3, ["s", "t", "u"], np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    got = sorted(map(tuple, (r.values() for r in counts.flush(["lang", "source", "term", "n", "docs"]).to_pylist())), key=repr)
+    assert got == sorted([("l", "s", "ab", 2, 1), ("l", "s", "cd", 1, 1), ("l", "t", "cd", 1, 1), ("l", "t", "efg", 1, 1), ("l", "t", "hij", 1, 1), ("l", "u", None, 0, 0)], key=repr)
+
+
+def test_shares_stay_exact_beyond_64_bits(spark):
+    c, n = 7 * 10**12, 9 * 10**13
+    df = spark.createDataFrame([(c, n)], "c long, n long").selectExpr(f"{divergence._share('c', 'n')} AS p")
+    assert df.first().p == 1 + divergence.SCALE * (c + 2) // n
+
+
+# --- 13 suffix array -----------------------------------------------------------------------------------------------------------
+
+
+def repeats_of(docs, **how):
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixdedup.remove_repeats(docs, keep_text=True, **how).collect()}
+
+
+def test_deep_shallow_sorts_and_finds_common_prefixes():
+    rng = random.Random(5)
+    for _ in range(150):
+        n, w = rng.randrange(1, 60), rng.choice([1, 5, 8, 13, 24, 52])
+        m = np.array([[rng.randrange(2) * (rng.random() < 0.3) for _ in range(w)] for _ in range(n)], np.uint8).reshape(n, w)
+        _, g = np.unique([rng.randrange(3) for _ in range(n)], return_inverse=True)
+        order, common = suffixdedup.deep_shallow(m, g, 8)
+        want = sorted((int(g[i]), bytes(m[i])) for i in range(n))
+        assert [(int(g[i]), bytes(m[i])) for i in order] == want
+        for k in range(n):
+            a, b = want[k], want[k - 1] if k else (-1, b"")
+            assert common[k] == (-1 if a[0] != b[0] else next((j for j in range(w) if a[1][j] != b[1][j]), w))
+
+
+@pytest.mark.parametrize("how", [{"width": 12, "gram": 5}, {"width": 12, "gram": 12}, {"width": 20, "gram": 9, "many": 2, "in_hand": 2}, {"width": 9, "gram": 1, "in_hand": 3}])
+def test_repeats_are_those_of_brute_force(spark, how, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "HELD_BYTES", 500)  # several lots of entries a task
+    monkeypatch.setattr(suffixdedup, "SORTED", 50)
+    rng = random.Random(len(how))
+    pieces = ["".join(rng.choice("ab é") for _ in range(rng.randrange(3, 40))) for _ in range(12)]
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randrange(0, 12)))) for i in range(70)]
+    rows += [(None, pieces[0] + pieces[1]), (101, ""), (102, "a" * 300), (103, "a" * 40 + "b" + "a" * 50), (104, None), (-5, pieces[2] * 3)]
+    assert repeats_of(docs_of(spark, rows).repartition(3), **how) == brute.without_repeats(rows, how["width"])
+
+
+def test_repeats_of_the_supplied_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.remove_repeats(docs).collect()}
+    want = brute.without_repeats([(r.doc_id, r.text) for r in docs.collect()], 100)
+    assert got == {i: (*x, hashlib.sha256(kept).hexdigest()) for i, (*x, kept) in want.items()}
+
+
+def test_repeats_odd_rows(spark, odd, empty):
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffixdedup.remove_repeats(odd).collect()), key=repr)
+    assert len(got) == 10 and (6, 200_000, 199_999, 1) in got and got.count((4, 3, 0, 0)) == 2 and (1, 0, 0, 0) in got
+    assert (7, 126_000, 125_986, 1) in got
+    twice = docs_of(spark, [(1, "x" + "abcdefgh" * 20), (1, "x" + "abcdefgh" * 20), (2, "y" * 150)])
+    a, b, _ = sorted(tuple(r) for r in suffixdedup.remove_repeats(twice).collect())
+    assert a == b and a[2] > 0
+    assert suffixdedup.remove_repeats(empty).count() == 0
