@@ -13,9 +13,6 @@ from posthound.plans.registry import Registry
 from posthound.sources import adapters as src
 
 R = Registry()
-#: Endings that are file types as often as domains: a bare word with one promises no domain.
-FILE_LIKE = ("zip", "mov", "doc", "pdf", "md", "sh", "py", "rs", "pl")
-
 
 def embedded(url: Column, most: int = 2) -> Column:
     """Whole http(s) addresses among the values of a URL's parameters."""
@@ -32,28 +29,19 @@ def url_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.table(spark, sf_dir, "pages").select("page_id", F.array_join(embedded(outer), " ").alias("inner_urls"))
 
 
-def shown_domain(text: Column) -> Column:
-    """The host that a link's visible text promises: its first word that is an address or a domain; null if none is."""
-
-    def host_of(token: Column) -> Column:
-        return urls.once(F.lower(F.regexp_replace(token, r"^[.:!?]+|[.:!?]+$", "")), lambda t: urls.once(F.regexp_extract(t, r"^([a-z][a-z0-9+.-]*):", 1), lambda scheme: host_after(t, scheme)))
+def bare_domain(suffixes: tuple[str, ...] = urls.SUFFIXES) -> str:
+    """Pattern of a domain under a known public suffix, or an IPv4 address, that stands by itself in a text: no part of a mail address, a path or a longer name."""
+    label = r"[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?"
+    ends = "|".join(s.replace(".", r"\.") for s in sorted(suffixes, key=lambda s: (-s.count("."), s)))
+    return rf"(?i)(?<![\p{{L}}\p{{N}}@._/:\\-])((?:{label}\.)+(?:{ends})|(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}})(?![\p{{L}}\p{{N}}@-]|\.[\p{{L}}\p{{N}}])"
 
-    def host_after(token: Column, scheme: Column) -> Column:
-        rest = F.when(scheme.isin("http", "https"), F.regexp_replace(token, "^https?:/*", "")).otherwise(token)
-        return urls.once(F.regexp_replace(F.regexp_extract(rest, r"^([^/?#:]*)", 1), r"^[.]+|[.]+$", ""), lambda host: promised(token, scheme, host))
 
-    def promised(token: Column, scheme: Column, host: Column) -> Column:
-        web = scheme.isin("http", "https")
-        said = web | host.startswith("www.")
-        last = F.substring_index(host, ".", -1)
-        number = host.rlike(r"^[0-9.]+$")
-        good = host.rlike(r"^[\p{L}\p{N}-]+(\.[\p{L}\p{N}-]+)+$") & (F.length(host) <= 253)
-        good = good & F.when(number, said | host.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")).otherwise(last.rlike(r"^(\p{L}{2,}|xn--[a-z0-9-]+)$") & (said | ~last.isin(*FILE_LIKE)))
-        named = F.substring_index(token, "/", 1).contains("@")
-        return F.when(good & ~named & (web | (scheme == "") | scheme.contains(".")), host)
-
-    tokens = F.slice(F.split(F.substring(text, 1, 500), r"[\s<>\"'()\[\]{},;|]+"), 1, 50)
-    return F.get(F.filter(F.transform(tokens, host_of), lambda h: h.isNotNull()), F.lit(0))
+def shown_domain(text: Column) -> Column:
+    """The host that a link's visible text shows: that of its first web address, else its first domain under a known suffix; null without one."""
+    web = F.filter(urls.in_text(text), lambda u: u.rlike("(?i)^(http|www)"))
+    address = urls.parts(urls.normalise(F.get(web, F.lit(0))))["host"]
+    domain = F.lower(F.regexp_extract(text, bare_domain(), 1))
+    return F.coalesce(F.when(address != "", address), F.when(domain != "", domain))
 
 
 def deceptive_links(links: DataFrame, trusted: tuple[str, ...] = ()) -> DataFrame:
@@ -74,7 +62,7 @@ def deceptive_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sixth link each: its own host, another www. host, another address, plain words, a mail address, another behind a shortener."""
     k = F.col("page_id") % 6
     url = F.when(k == 5, F.concat(F.lit("https://short.example/"), F.col("page_id").cast("string"))).otherwise(F.col("url"))
-    shown = F.when(k == 0, F.concat(F.lit("see "), urls.parts(url)["host"])).when(k == 1, "go to (www.bank.example) now").when(k.isin(2, 5), "https://Bank.Example/login").when(k == 3, "your file.zip of 10.5.2024, click").otherwise("write me@bank.example")
+    shown = F.when(k == 0, F.concat(F.lit("see "), urls.parts(url)["host"])).when(k == 1, "go to (www.bank.example) now").when(k.isin(2, 5), "https://Bank.Example/login").when(k == 3, "open the report").otherwise("write me@bank.example")
     return deceptive_links(src.table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), url.alias("url"), shown.alias("shown")))
 
 

@@ -15,12 +15,15 @@ METHODS = ("spf", "dkim", "dmarc", "compauth")
 
 
 def parse_auth(value: Column, trusted: tuple[str, ...]) -> dict[str, Column]:
-    """authserv, trusted, and the result of each method in one Authentication-Results value ('' if absent)."""
+    """authserv, trusted, and the result of each method in one Authentication-Results value ('' if absent).
+
+    A header is trusted only if a server that is named in `trusted` wrote it; with none named, no header is.
+    """
     value = F.regexp_replace(value, r"\([^()]*\)", " ")
     server = F.lower(F.trim(F.substring_index(value, ";", 1)))
     server = F.regexp_extract(server, r"^([^\s;]+)", 1)
     out = {"authserv": F.when(server.contains("="), F.lit("")).otherwise(server)}
-    out["trusted"] = out["authserv"].isin(*trusted) if trusted else F.lit(True)
+    out["trusted"] = out["authserv"].isin(*trusted) if trusted else F.lit(False)
     for m in METHODS:
         out[m] = F.lower(F.regexp_extract(value, rf"(?i)(?:^|[;\s]){m}\s*=\s*([A-Za-z]+)", 1))
     return out

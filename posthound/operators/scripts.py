@@ -1,7 +1,7 @@
 """Script layers and HTML rules: text behind encodings is unfolded within bounds, then matched like any other text.
 
-Texts and layers are read whole. Bounds: 40 layers a text, three encodings deep, and 64 MiB out of one compressed blob, beyond
-which it is read no further.
+Texts and layers are read whole. Bounds, all parameters: layers of a text, encodings below each other, and bytes out of one
+compressed blob. A text that has more of any than was read gets a finding `partial_analysis`, so that nothing is left out in silence.
 """
 
 from __future__ import annotations
@@ -26,30 +26,36 @@ MAX_LAYERS, MAX_DEPTH, MAX_INFLATED = 40, 3, 64 * 1024 * 1024
 BATCH_CHARS = 4_000_000
 
 
-def _readable(raw: bytes) -> str | None:
+def _readable(raw: bytes, cut: list[bool] | None = None) -> str | None:
     for data in (raw, None):
         if data is None:
             try:
-                data = zlib.decompressobj(47).decompress(raw, MAX_INFLATED)
+                inflate = zlib.decompressobj(47)
+                data = inflate.decompress(raw, MAX_INFLATED)
             except zlib.error:
                 return None
+            if inflate.unconsumed_tail and cut is not None:
+                cut.append(True)
         text = data.decode("utf-16le" if data[1:2] == b"\0" else "utf-8", "replace")
-        if text and sum(ch.isprintable() or ch in "\r\n\t" for ch in text) > 0.9 * len(text) and "�" not in text[:200]:
+        if text and sum(ch.isprintable() or ch in "\r\n\t" for ch in text) > 0.9 * len(text) and "\ufffd" not in text[:200]:
             return text
     return None
 
 
-def unfold(text: str) -> Iterator[str]:
-    """Texts one encoding below: base64, hexadecimal and percent escapes, character codes, reversed and joined strings."""
+def unfold(text: str, cut: list[bool] | None = None) -> Iterator[str]:
+    """Texts one encoding below: base64, hexadecimal and percent escapes, character codes, reversed and joined strings.
+
+    cut takes a mark for each blob that holds more than was read.
+    """
     for m in re.finditer(r"[A-Za-z0-9+/]{16,}={0,2}", text):
         try:
-            out = _readable(base64.b64decode(m[0] + "=" * (-len(m[0]) % 4)))
+            out = _readable(base64.b64decode(m[0] + "=" * (-len(m[0]) % 4)), cut)
         except (binascii.Error, ValueError):
             continue
         if out:
             yield out
     for m in re.finditer(r"(?:(?:\\x|%)[0-9a-fA-F]{2}){6,}", text):
-        out = _readable(bytes.fromhex(re.sub(r"\\x|%", "", m[0])))
+        out = _readable(bytes.fromhex(re.sub(r"\\x|%", "", m[0])), cut)
         if out:
             yield out
     for m in re.finditer(r"(?:\d{2,3}\s*,\s*){6,}\d{2,3}", text):
@@ -67,49 +73,84 @@ def unfold(text: str) -> Iterator[str]:
             yield m[1][::-1]
 
 
-def layers(text: str | None) -> list[str]:
-    """The text and what its encodings hide, breadth first, without repeats."""
-    out = [text or ""]
-    level = out[:]
-    for _ in range(MAX_DEPTH):
+def layers(text: str | None, most: int = MAX_LAYERS, depth: int = MAX_DEPTH) -> tuple[list[str], bool]:
+    """(the text and what its encodings hide, breadth first, without repeats; whether there is more than the bounds let through)."""
+    cut: list[bool] = []
+    level = [text or ""]
+    out = dict.fromkeys(level)
+    for step in range(depth + 1):
         below = []
         for t in level:
-            for u in unfold(t):
-                if u not in out and len(out) < MAX_LAYERS:
-                    out.append(u)
-                    below.append(u)
+            for u in unfold(t, cut):
+                if u in out:
+                    continue
+                if step == depth or len(out) >= most:
+                    return list(out), True
+                out[u] = None
+                below.append(u)
         level = below
-    return out
+    return list(out), bool(cut)
 
 
-def with_layers(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, depth_text: all layers of each text, joined."""
+def with_layers(rows: DataFrame, key: str, text: str, most: int = MAX_LAYERS, depth: int = MAX_DEPTH) -> DataFrame:
+    """key, layers, partial: all layers of each text, joined, and whether there are more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            held, size, first = [], 0, 0
+            held, partial, size, first = [], [], 0, 0
             for i, t in enumerate(pdf[text]):
-                held.append("\n".join(layers(t)))
+                found, more = layers(t, most, depth)
+                held.append("\n".join(found))
+                partial.append(more)
                 size += len(held[-1])
                 if size > BATCH_CHARS or i + 1 == len(pdf):
-                    yield pd.DataFrame({key: pdf[key].iloc[first : i + 1].to_numpy(), "layers": held})
-                    held, size, first = [], 0, i + 1
+                    yield pd.DataFrame({key: pdf[key].iloc[first : i + 1].to_numpy(), "layers": held, "partial": partial})
+                    held, partial, size, first = [], [], 0, i + 1
 
-    return rows.select(key, text).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, layers string")
+    return rows.select(key, text).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, layers string, partial boolean")
 
 
-def script_findings(rows: DataFrame, key: str, text: str, prefix: str = "script") -> DataFrame:
-    """key, rule, score of the shared indicators in any layer; hidden text itself counts as obfuscation."""
-    deep = with_layers(rows, key, text)
+def script_findings(rows: DataFrame, key: str, text: str, prefix: str = "script", most: int = MAX_LAYERS, depth: int = MAX_DEPTH) -> DataFrame:
+    """key, rule, score of the shared indicators in any layer; hidden text itself counts as obfuscation, and layers beyond the bounds as partial."""
+    deep = with_layers(rows, key, text, most, depth)
     found = pattern_findings(deep, key, "layers", prefix)
     many = rows.select(key, F.length(F.coalesce(text, F.lit(""))).alias("n")).join(deep.select(key, F.length("layers").alias("m")), key).filter("m > n + 1")
-    return found.unionByName(many.select(key, F.lit(f"{prefix}.obfuscation").alias("rule"), F.lit(30).alias("score")))
+    partial = deep.filter("partial").select(key, F.lit(f"{prefix}.partial_analysis").alias("rule"), F.lit(5).alias("score"))
+    return found.unionByName(many.select(key, F.lit(f"{prefix}.obfuscation").alias("rule"), F.lit(30).alias("score"))).unionByName(partial)
 
 
 #: Types of files that a page has no reason to carry inside its text.
 CARRIED = ("exe/pe", "exe/elf", "archive/zip", "archive/rar", "archive/7z", "archive/cab", "lnk", "office/ole", "office/onenote")
-#: Services that take what a page posts, and calls that post it.
-COLLECTORS = r"api\.telegram\.org/bot|discord(app)?\.com/api/webhooks|formspree\.io|api\.emailjs\.com|submit-form\.com|webhook\.site"
+#: Public services whose address alone lets a page hand in data: chat hooks, form back ends, request collectors, paste and file drops.
+COLLECTING = (
+    ("api.telegram.org", "/bot"),
+    ("discord.com", "/api/webhooks"),
+    ("discordapp.com", "/api/webhooks"),
+    ("hooks.slack.com", "/services"),
+    ("hooks.zapier.com", "/hooks"),
+    ("webhook.office.com", "/webhookb2"),
+    ("maker.ifttt.com", "/trigger"),
+    ("docs.google.com", "/forms"),
+    ("script.google.com", "/macros"),
+    ("formspree.io", ""),
+    ("formsubmit.co", ""),
+    ("formcarry.com", ""),
+    ("getform.io", ""),
+    ("submit-form.com", ""),
+    ("usebasin.com", ""),
+    ("web3forms.com", ""),
+    ("api.emailjs.com", ""),
+    ("webhook.site", ""),
+    ("requestcatcher.com", ""),
+    ("pipedream.net", ""),
+    ("beeceptor.com", ""),
+    ("ngrok-free.app", ""),
+    ("trycloudflare.com", ""),
+    ("ntfy.sh", ""),
+    ("transfer.sh", ""),
+    ("file.io", ""),
+)
+COLLECTORS = r"(?<![a-z0-9-])(" + "|".join(re.escape(host + path) for host, path in COLLECTING) + ")"
 CALLS = r"fetch\s*\(|xmlhttprequest|sendbeacon\s*\(|\$\.(post|ajax)\s*\(|axios"
 
 
