@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,7 @@ from posthound.operators.dml import new_results
 from posthound.plans.registry import Registry
 from posthound.plans.reports import _q
 from posthound.sources import adapters as src
+from posthound.streaming.ordered import in_order
 
 R = Registry()
 MAX_ATTEMPTS = 3
@@ -93,23 +94,20 @@ def suppress(alerts: DataFrame, window_s: int) -> DataFrame:
     return pieces.filter(alone).select("key", "id", "at").unionByName(folded)
 
 
-def suppress_stream(alerts: DataFrame, window_s: int) -> DataFrame:
-    """The same over a stream: a key's state is the time until which it rests. Batches must come in time order."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+def suppress_stream(alerts: DataFrame, window_s: int, late: str = "10 minutes") -> DataFrame:
+    """The same over a stream, whose batches may come in any order within `late`: a key's state is the time until which it rests,
+    and goes once the watermark has passed that. Needs the RocksDB state store."""
 
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        # All chunks of a key first: they may come in any order.
-        pdf = pd.concat(list(batches)).sort_values(["at", "id"])
-        until = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        kept = []
-        for row in pdf.itertuples(index=False):
-            if until is None or row.at >= until:
-                kept.append(row)
-                until = row.at + pd.Timedelta(seconds=window_s)
-        state.update((int(until.value // 1000),))
-        yield pd.DataFrame(kept, columns=pdf.columns)
+    def fold(key: str, rows: list[tuple], kept: tuple | None, known: int):
+        until, sent = (kept[0] if kept else None), []
+        for at, id_, when in rows:
+            if until is None or at >= until:
+                sent.append((key, id_, when))
+                until = at + window_s * 1_000_000
+        resting = until is not None and until > known
+        return sent, (until,) if resting else None, until if resting else None
 
-    return alerts.select("key", "id", "at").groupBy("key").applyInPandasWithState(step, _ALERT_SCHEMA, "until long", "append", GroupStateTimeout.NoTimeout)
+    return in_order(alerts.withColumn("when", F.col("at")), "key", "at", ["id", "when"], fold, "until long", _ALERT_SCHEMA, late)
 
 
 def timeline_stream(results: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -1,12 +1,15 @@
 """Streams against their batch twins."""
 
+import datetime
 import shutil
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from posthound.sources import adapters as src
 from posthound.sources import mail
-from posthound.streaming import ingest
+from posthound.streaming import ingest, jobs
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,14 +41,96 @@ def test_once_sink_ignores_replays_and_repeated_keys(spark, tmp_path):
     assert got.count() == want == got.select("connector", "mailbox", "remote_id").distinct().count()
 
 
-def test_alert_suppression_stream_equals_batch(spark, tmp_path):
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A row far ahead of all others moves the watermark past them.
+FAR = "2030-01-01 00:00:00"
+
+
+@pytest.fixture
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    yield spark
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def shuffled_files(df, folder, at, n=4, behind=0):
+    """df as n Parquet files in time order, but every odd pair of neighbouring files swapped."""
+    rows = df.orderBy(at).collect()
+    size = -(-len(rows) // n)
+    parts = [rows[i * size : (i + 1) * size] for i in range(n)]
+    for i in range(0, n - 1, 2):
+        parts[i], parts[i + 1] = parts[i + 1], parts[i]
+    for i, part in enumerate(parts):
+        df.sparkSession.createDataFrame(part, df.schema).coalesce(1).write.parquet(f"{folder}/{i}")
+    return [str(next((folder / str(i)).glob("*.parquet"))) for i in range(n)]
+
+
+def deliver(files, folder, upto):
+    folder.mkdir(exist_ok=True)
+    for i, f in enumerate(files[:upto]):
+        if not (folder / f"{i}.parquet").exists():
+            shutil.copy(f, folder / f"{i}.parquet")
+
+
+def test_alert_suppression_stream_equals_batch_on_shuffled_batches(rocks, tmp_path):
+    spark = rocks
     alerts = ingest._alerts(spark, SF)
-    folder = files_of(alerts, tmp_path)
-    stream = ingest.suppress_stream(spark.readStream.schema(alerts.schema).option("maxFilesPerTrigger", 1).parquet(folder), 3600)
+    files = shuffled_files(alerts, tmp_path, "at", 6)
+    end = spark.createDataFrame([("end", -1)], "key string, id long").withColumn("at", F.lit(FAR).cast("timestamp"))
+    end.coalesce(1).write.parquet(str(tmp_path / "end"))
+    files.append(str(next((tmp_path / "end").glob("*.parquet"))))
+    deliver(files, tmp_path / "in", 7)
+    stream = ingest.suppress_stream(spark.readStream.schema(alerts.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), 3600, "20 days")
     q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("key", "id").collect()}
-    assert got == {tuple(r) for r in ingest.suppress(alerts, 3600).select("key", "id").collect()} and got
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("key", "id", "at").collect()]
+    assert sorted(got) == sorted(tuple(r) for r in ingest.suppress(alerts, 3600).collect()) and got
+    sizes = [s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]]
+    assert sizes[-1] <= 3 < max(sizes)  # what is left is the last row, waiting, and its timer
+
+
+def test_killed_job_stream_loses_and_doubles_nothing(rocks, tmp_path):
+    spark = rocks
+    log = jobs.event_log(spark, SF)
+    files = shuffled_files(log, tmp_path, "at", 6)
+    end = spark.createDataFrame([(-1, "put", "x", None)], "id long, event string, raw string, error string").withColumn("at", F.lit(FAR).cast("timestamp"))
+    end.coalesce(1).write.parquet(str(tmp_path / "end"))
+    files.append(str(next((tmp_path / "end").glob("*.parquet"))))
+    broken = []
+
+    def sink(batch, epoch):
+        batch.write.mode("overwrite").parquet(str(tmp_path / "out" / f"epoch={epoch}"))
+        if epoch in (2, 4) and epoch not in broken:
+            broken.append(epoch)
+            raise RuntimeError("killed after the write and before the commit")
+
+    for upto in (3, 6, 7, 7, 7):
+        deliver(files, tmp_path / "in", upto)
+        stream = jobs.queue_stream(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), late="20 days")
+        q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        try:
+            q.awaitTermination()
+        except StreamingQueryException:
+            assert broken
+    assert broken == [2, 4]
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).filter("id >= 0").select("id", "status", "attempts", "error", "raw", "at").collect())
+    want = sorted(tuple(r) for r in jobs.queue_history(log).collect())
+    assert [(*g[:4], g[5]) for g in got] == [(*w[:4], w[5]) for w in want]
+    ended = [g[0] for g in got if g[1] in ("done", "dead")]
+    assert len(ended) == len(set(ended)) and set(ended) == {r.id for r in log.select("id").distinct().collect() if r.id % 7 != 3}
+
+
+def test_job_policy():
+    at = 1_000_000
+    run = lambda rows, until=1 << 40, **how: [(s, n, e, (t - datetime.datetime(1970, 1, 1)).total_seconds()) for _, s, n, e, _, t in jobs.Policy(**how).fold(1, rows, None, until)[0]]
+    lost = [(0, "put", "x", None), (at, "take", None, None)]
+    assert run(lost, attempts=1) == [("ready", 1, None, 0), ("dead", 1, "abandoned", 301)]
+    late = [*lost, (302 * at, "ack", None, None), (303 * at, "fail", None, "x")]
+    assert run(late) == [("ready", 1, None, 0), ("ready", 2, None, 301), ("done", 2, None, 302)]
+    assert run([(0, "take", None, None), (1, "ack", None, None)]) == []
+    out, kept, wake = jobs.Policy(remember_s=5).fold(1, [*lost, (2 * at, "ack", None, None)], None, 3 * at)
+    assert kept[0] == "ended" and wake == 7 * at
+    assert jobs.Policy(remember_s=5).fold(1, [], kept, 8 * at) == ([], None, None)
 
 
 def test_no_window_sends_all(spark):
