@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from posthound.functions import hosts, text, urls
-from posthound.operators import claims, deception, dml, documents, files, lookalike, messages, reputation, scripts, upkeep
+from posthound.operators import ancestors, anchors, claims, deception, dml, documents, files, lookalike, messages, reputation, scripts, services, upkeep
 from posthound.plans import alerts, analysis, reports, scoring
 from posthound.sources import mail
 from posthound.streaming import ingest, jobs
 
-_MODULES = (reports, scoring, dml, text, hosts, urls, messages, lookalike, deception, claims, upkeep, files, documents, scripts, reputation, mail, ingest, jobs, alerts, analysis)
+_MODULES = (reports, scoring, dml, text, hosts, urls, messages, lookalike, deception, claims, anchors, services, ancestors, upkeep, files, documents, scripts, reputation, mail, ingest, jobs, alerts, analysis)
 
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.R.queries.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.R.sql.items()}

@@ -123,7 +123,6 @@ def rules(p: dict[str, Column]) -> list[Column]:
         found(p["scheme"].isin(*DANGEROUS_SCHEMES), "url.dangerous_scheme", 3, 75),
         found(p["userinfo"] != "", "url.userinfo_trick", 3, 70),
         found(p["host"].rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "url.ip_literal", 2, 35),
-        found(p["host"].contains("xn--"), "url.idn", 2, 30),
         found(extension.isin(*RISKY_EXTENSIONS), "url.risky_download", 2, 45),
         found(registrable(p["host"]).isin(*FREE_HOSTS), "url.free_hosting", 1, 15),
         found(p["host"].isin(*SHORTENERS), "url.shortener", 1, 10),
@@ -175,7 +174,6 @@ hits AS (
   SELECT page_id, url, 'url.dangerous_scheme' AS rule, 3 AS severity, 75 AS score FROM p WHERE scheme IN {_IN(DANGEROUS_SCHEMES)}
   UNION ALL SELECT page_id, url, 'url.userinfo_trick', 3, 70 FROM p WHERE userinfo <> ''
   UNION ALL SELECT page_id, url, 'url.ip_literal', 2, 35 FROM p WHERE regexp_matches(host, '^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$')
-  UNION ALL SELECT page_id, url, 'url.idn', 2, 30 FROM p WHERE contains(host, 'xn--')
   UNION ALL SELECT page_id, url, 'url.risky_download', 2, 45 FROM p WHERE lower(regexp_extract(path, '\\.([A-Za-z0-9]{{1,5}})$', 1)) IN {_IN(RISKY_EXTENSIONS)}
   UNION ALL SELECT page_id, url, 'url.free_hosting', 1, 15 FROM p WHERE regexp_extract(host, '([^.]+\\.[^.]+)$', 1) IN {_IN(FREE_HOSTS)}
   UNION ALL SELECT page_id, url, 'url.shortener', 1, 10 FROM p WHERE host IN {_IN(SHORTENERS)}

@@ -79,6 +79,35 @@ def unicode_label(label: pd.Series) -> pd.Series:
     return label.map(decoded)
 
 
+def idn_findings(rows: DataFrame, key: str, url: str) -> DataFrame:
+    """key, url, rule, severity, score: `url.idn_homograph` for hosts with a label of xn-- that reads like another name.
+
+    A label does if, in its own letters, it mixes Latin with other alphabets, or if its skeleton is plain ASCII though it is not.
+    An honest name in one alphabet, with accents or without, does not.
+    """
+    hosts = rows.select(key, url, urls.parts(F.col(url))["host"].alias("_host")).filter(F.col("_host").contains("xn--"))
+    labels = hosts.select("_host").distinct().withColumn("label", F.explode(F.split("_host", r"\."))).filter(F.col("label").startswith("xn--"))
+    own = labels.withColumn("name", F.lower(unicode_label(F.col("label")))).filter(F.col("name") != F.col("label"))
+    mixed = F.col("name").rlike("[a-z]") & F.col("name").rlike(r"[\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}\p{IsCherokee}]")
+    posing = ~F.col("name").rlike(r"^\p{ASCII}*$") & skeleton(F.col("name")).rlike(r"^\p{ASCII}*$")
+    bad = own.filter(mixed | posing).select("_host").distinct()
+    return hosts.join(bad, "_host").select(key, url, F.lit("url.idn_homograph").alias("rule"), F.lit(3).alias("severity"), F.lit(60).alias("score"))
+
+
+#: Labels with the letters that they stand for: Cyrillic a in paypal, all Cyrillic cop, German, Spanish, Cyrillic of its own, broken.
+_LABELS = tuple("xn--" + x.encode("punycode").decode() for x in ("p\u0430ypal", "\u0441\u043e\u0440", "m\u00fcnchen", "se\u00f1or", "\u0436\u0443\u043a")) + ("xn--\u00e9",)
+
+
+@R.add(
+    f"""SELECT page_id, 'http://' || [{", ".join(f"'{x}'" for x in _LABELS)}][page_id % 6 + 1] || '.' || {urls._parts_sql("url")["host"]} || '/' AS url, 'url.idn_homograph' AS rule, 3 AS severity, 60 AS score FROM pages WHERE page_id % 6 < 2"""
+)
+def idn_homograph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six international labels before the pages' hosts, two of which pose as other names."""
+    label = F.get(F.array(*[F.lit(x) for x in _LABELS]), F.col("page_id") % 6)
+    url = F.concat(F.lit("http://"), label, F.lit("."), urls.parts(F.col("url"))["host"], F.lit("/"))
+    return idn_findings(src.table(spark, sf_dir, "pages").select("page_id", url.alias("url")), "page_id", "url")
+
+
 def _shorter(names: Column) -> Column:
     """All strings that lack one character of one of names."""
     return F.array_distinct(F.flatten(F.transform(names, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(n), F.lit(1))), lambda i: F.concat(n.substr(F.lit(1), i - 1), n.substr(i + F.lit(1), F.length(n)))))))

@@ -47,7 +47,7 @@ def analyse(raw: DataFrame, company: tuple[str, ...] = (), trusted_servers: tupl
     links = anchors.select("mail", "url")
     plain = parsed.select(F.col("id").alias("mail"), F.explode(urls.in_text(F.coalesce("body_text", F.lit("")))).alias("url"))
     seen = links.unionByName(plain).withColumn("url", urls.normalise(F.col("url"))).distinct()
-    add(urls.grouped(urls.findings(seen, "mail", "url"), "mail"), "phishing")
+    add(urls.grouped(urls.findings(seen, "mail", "url").unionByName(deception.idn_findings(seen, "mail", "url")), "mail"), "phishing")
 
     counts = parts.groupBy("mail").agg(F.count(F.lit(1)).alias("attachments"), F.count_if(F.col("encrypted") | F.col("detected_type").startswith("archive/") | F.col("detected_type").startswith("exe/")).alias("risky"))
     has_urls = seen.select("mail").distinct().withColumn("has_urls", F.lit(True))

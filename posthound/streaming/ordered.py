@@ -11,8 +11,10 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -99,13 +101,33 @@ def in_order(rows: DataFrame, key: str, at: str, columns: list[str], fold: Fold,
 
 
 def ordered_batch(rows: DataFrame, key: str, at: str, columns: list[str], fold: Fold, out: str, until: str | None = None) -> DataFrame:
-    """The batch twin: the same fold over the whole history of each key, up to the time `until` (default: everything, all timers run out)."""
+    """The batch twin: the same fold over the whole history of each key, up to the time `until` (default: everything, all timers run
+    out). Rows of a null key are left out."""
     end = int(pd.Timestamp(until).value // 1000) if until else 1 << 62
-    names = _parse_datatype_string(out).names
+    schema = to_arrow_schema(_parse_datatype_string(out), timestamp_utc=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys lie together in order; one key's rows are held at a time."""
+        own, due, emitted = None, [], []
+        for batch in batches:
+            for k, *r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if due and k != own:
+                    emitted += fold(own, due, None, end)[0]
+                    due = []
+                own = k
+                if r[0] <= end:
+                    due.append(tuple(r))
+            if len(emitted) > 10_000:
+                yield _batch(emitted, schema)
+                emitted = []
+        if due:
+            emitted += fold(own, due, None, end)[0]
+        if emitted:
+            yield _batch(emitted, schema)
+
+    timed = rows.filter(F.col(key).isNotNull()).select(key, F.unix_micros(at).alias("at_us"), *columns)
+    return timed.repartition(key).sortWithinPartitions(key, "at_us", *columns).mapInArrow(run, out)
 
-    def whole(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        due = [tuple(None if x is pd.NaT or isinstance(x, float) and x != x else x for x in r) for r in pdf[["at_us", *columns]].itertuples(index=False, name=None)]
-        due = sorted((r for r in due if r[0] <= end), key=lambda r: tuple((x is not None, x) for x in r))
-        return pd.DataFrame(fold(k[0], due, None, end)[0], columns=names)
 
-    return rows.select(key, F.unix_micros(at).alias("at_us"), *columns).groupBy(key).applyInPandas(whole, out)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
