@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from posthound.functions import urls
 from posthound.operators.lookalike import AFFIXES, CONFUSABLE, osa_distance, skeleton
 from posthound.plans.registry import Registry
+from posthound.session import written
 from posthound.sources import adapters as src
 
 R = Registry()
@@ -131,14 +132,17 @@ def imitations(hosts: DataFrame, targets: DataFrame) -> DataFrame:
     rows = plain.unionByName(rows.filter(F.col("label").startswith("xn--")).withColumn("name", unicode_label(F.col("label"))))
     rows = rows.select("host", "domain", "name")
     suffixes = rows.select("host", F.explode(urls.suffix_keys(F.col("host"))).alias("target"))
-    rows = rows.join(suffixes.join(known.select("target"), "target").select("host").distinct(), "host", "left_anti")
+    rows = written(rows.join(suffixes.join(known.select("target"), "target").select("host").distinct(), "host", "left_anti"), "hosts")
+    known = written(known, "targets")
 
     def typos(names: DataFrame, name: str, reach: Column) -> DataFrame:
         once = _shorter(F.array(name))
         keys = F.when(reach == 1, F.concat(F.array(name), once)).when(reach == 2, F.concat(F.array(name), once, _shorter(once))).otherwise(F.array().cast("array<string>"))
         return names.withColumn("key", F.explode(F.array_distinct(keys)))
 
+    # Pairs that share a key are few; written, they keep the long distance expression out of a plan with all the joins.
     near = typos(rows.filter(F.length("name") <= longest + 2), "name", F.lit(2)).join(typos(known, "own", F.col("reach")), "key").select("host", "target", "name", "own", "reach").distinct()
+    near = written(near.filter(F.levenshtein("name", "own") <= 2 * F.col("reach")), "near")
     cut = lambda n, w: F.array(F.regexp_extract(n, f"^(.+?)-?{w}$", 1), F.regexp_extract(n, f"^{w}-?(.+)$", 1))
     bare = rows.withColumn("own", F.explode(F.array_distinct(F.flatten(F.array(*[cut(F.col("name"), w) for w in AFFIXES])))))
     labels = F.split("host", r"\.")

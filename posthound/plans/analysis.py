@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from posthound.functions import urls
-from posthound.operators import deception, documents, files, messages, scripts
+from posthound.operators import anchors, claims, deception, documents, files, messages, scripts, services
 from posthound.plans.registry import Registry
 from posthound.plans.scoring import ScoreConfig, verdicts
 from posthound.session import written
@@ -30,57 +33,197 @@ def severity(score: Column) -> Column:
     return F.when(score >= 60, 3).when(score >= 25, 2).when(score > 0, 1).otherwise(0)
 
 
-def analyse(raw: DataFrame, company: tuple[str, ...] = (), trusted_servers: tuple[str, ...] = (), config: ScoreConfig = ScoreConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(findings, attachments, verdicts) of raw(id long, raw binary)."""
-    parsed = written(mail.parse(raw, "id", "raw"), "parsed")
-    parts = mail.artifacts(parsed.withColumnRenamed("id", "mail"), "mail")
-    parts = written(parts.withColumn("row", F.xxhash64("mail", "position")), "attachments")
-    named = parts.select("row", "mail", F.element_at(F.split("filename", "/"), -1).alias("filename"), "detected_type", "data")
-    found: list[DataFrame] = []
+@dataclass(frozen=True)
+class Inputs:
+    """What analysers read: parsed messages, attachments, links with their shown texts, URLs, and the settings of a run."""
 
-    def add(rows: DataFrame, category: str, artifact: Column | None = None) -> None:
-        extra = {c: F.col(c) if c in rows.columns else d for c, d in (("category", F.lit(category)), ("severity", severity(F.col("score"))))}
-        found.append(rows.select(F.col("mail").cast("long").alias("analysis_id"), "rule", F.col("score").cast("int").alias("score"), extra["category"].alias("category"), extra["severity"].cast("int").alias("severity"), (artifact if artifact is not None else F.lit(None).cast("string")).alias("artifact_id")))
+    parsed: DataFrame
+    parts: DataFrame
+    anchors: DataFrame
+    seen: DataFrame
+    company: tuple[str, ...] = ()
+    trusted_servers: tuple[str, ...] = ()
+
+    def share(self, bucket: int, of: int, salt: int) -> Inputs:
+        """The messages of one bucket, with all that belongs to them."""
+        own = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long"), F.lit(salt)), F.lit(of)) == bucket
+        return replace(self, parsed=self.parsed.filter(own("id")), parts=self.parts.filter(own("mail")), anchors=self.anchors.filter(own("mail")), seen=self.seen.filter(own("mail")))
+
+    @property
+    def named(self) -> DataFrame:
+        return self.parts.select("row", "mail", F.element_at(F.split("filename", "/"), -1).alias("filename"), "detected_type", "data")
+
+
+#: An analyser: findings(mail, rule, score and, if it has them, category, severity, artifact) of what it reads.
+Analyser = Callable[[Inputs], DataFrame]
+#: All analysers by name with the category of findings that name none; more can be added, and any left out, by name.
+ANALYSERS: dict[str, tuple[str, Analyser]] = {}
+
+
+def analyser(name: str, category: str) -> Callable[[Analyser], Analyser]:
+    def put(f: Analyser) -> Analyser:
+        ANALYSERS[name] = (category, f)
+        return f
+
+    return put
+
+
+FINDING = "analysis_id long, rule string, score int, category string, severity int, artifact_id string"
+ERROR = "analyser string, share string, error string, message string"
 
-    anchors = mail.html_facts(parsed.withColumnRenamed("id", "mail"), "mail", "body_html").select("mail", F.explode("links").alias("l")).select("mail", "l.url", "l.shown")
-    add(deception.deceptive_links(anchors.withColumnRenamed("mail", "key"), company).withColumnRenamed("key", "mail"), "phishing")
-    links = anchors.select("mail", "url")
-    plain = parsed.select(F.col("id").alias("mail"), F.explode(urls.in_text(F.coalesce("body_text", F.lit("")))).alias("url"))
-    seen = links.unionByName(plain).withColumn("url", urls.normalise(F.col("url"))).distinct()
-    add(urls.grouped(urls.findings(seen, "mail", "url").unionByName(deception.idn_findings(seen, "mail", "url")), "mail"), "phishing")
 
-    counts = parts.groupBy("mail").agg(F.count(F.lit(1)).alias("attachments"), F.count_if(F.col("encrypted") | F.col("detected_type").startswith("archive/") | F.col("detected_type").startswith("exe/")).alias("risky"))
-    has_urls = seen.select("mail").distinct().withColumn("has_urls", F.lit(True))
-    body = parsed.select(F.col("id").alias("mail"), "subject", F.concat_ws(" ", "body_text", F.regexp_replace("body_html", "<[^>]*>", " ")).alias("body")).join(counts, "mail", "left").join(has_urls, "mail", "left").na.fill({"attachments": 0, "risky": 0, "has_urls": False})
-    add(messages.content_findings(body.withColumnRenamed("mail", "id")).withColumnRenamed("id", "mail"), "phishing")
+def _shaped(rows: DataFrame, category: str) -> DataFrame:
+    given = lambda c, default: (F.col(c) if c in rows.columns else default)
+    return rows.select(F.col("mail").cast("long").alias("analysis_id"), "rule", F.col("score").cast("int").alias("score"), given("category", F.lit(category)).alias("category"), given("severity", severity(F.col("score"))).cast("int").alias("severity"), given("artifact", F.lit(None)).cast("string").alias("artifact_id"))
 
+
+def run_analysers(inputs: Inputs, analysers: dict[str, tuple[str, Analyser]] | None = None, split: int = 8, depth: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(findings, errors): each analyser runs and is written by itself, so that one that fails costs no other its findings.
+
+    An analyser that cannot even build its plan is one error. One that fails on the rows is run again on `split` shares of the
+    messages, `depth` times over: the shares that fail are errors, the others keep their findings.
+    """
+    spark, found, errors = inputs.parsed.sparkSession, [], []
+
+    def attempt(name: str, category: str, f: Analyser, own: Inputs, share: str, left: int) -> None:
+        try:
+            rows = _shaped(f(own), category)
+        except Exception as e:  # noqa: BLE001  whatever an analyser raises is its error, not the run's
+            errors.append((name, share, type(e).__name__, str(e)[:500]))
+            return
+        try:
+            found.append(written(rows, f"findings-{name}"))
+        except Exception as e:  # noqa: BLE001
+            if not left:
+                errors.append((name, share, type(e).__name__, str(e)[:500]))
+                return
+            for b in range(split):
+                attempt(name, category, f, own.share(b, split, left), f"{share}{b}/{split}.", left - 1)
+
+    for name, (category, f) in (ANALYSERS if analysers is None else analysers).items():
+        attempt(name, category, f, inputs, "", depth)
+    every = spark.createDataFrame([], FINDING)
+    for rows in found:
+        every = every.unionByName(rows)
+    return every, spark.createDataFrame(errors, ERROR)
+
+
+@analyser("links", "phishing")
+def _links(x: Inputs) -> DataFrame:
+    return deception.deceptive_links(x.anchors.withColumnRenamed("mail", "key"), x.company).select(F.col("key").alias("mail"), "rule", "severity", "score")
+
+
+@analyser("urls", "phishing")
+def _urls(x: Inputs) -> DataFrame:
+    own = services.own_table(x.seen.sparkSession)
+    every = urls.findings(x.seen, "mail", "url").unionByName(deception.idn_findings(x.seen, "mail", "url")).unionByName(services.service_findings(x.seen, own, "mail", "url"))
+    return urls.grouped(every, "mail").select("mail", "rule", "severity", "score")
+
+
+@analyser("content", "phishing")
+def _content(x: Inputs) -> DataFrame:
+    counts = x.parts.groupBy("mail").agg(F.count(F.lit(1)).alias("attachments"), F.count_if(F.col("encrypted") | F.col("detected_type").startswith("archive/") | F.col("detected_type").startswith("exe/")).alias("risky"))
+    has_urls = x.seen.select("mail").distinct().withColumn("has_urls", F.lit(True))
+    body = x.parsed.select(F.col("id").alias("mail"), "subject", F.concat_ws(" ", "body_text", F.regexp_replace("body_html", "<[^>]*>", " ")).alias("body")).join(counts, "mail", "left").join(has_urls, "mail", "left").na.fill({"attachments": 0, "risky": 0, "has_urls": False})
+    return messages.content_findings(body.withColumnRenamed("mail", "id")).withColumnRenamed("id", "mail")
+
+
+@analyser("headers", "spoofing")
+def _headers(x: Inputs) -> DataFrame:
     auth = F.filter("headers", lambda h: F.lower(h["name"]) == "authentication-results")
-    value = F.coalesce(F.get(auth, F.lit(0))["value"], F.lit(""))
-    facts = messages.parse_auth(value, trusted_servers)
-    heads = parsed.select("id", "from_addr", "from_display", "reply_to", F.regexp_replace("return_path", "[<>]", "").alias("return_path"), *[facts[m].alias(m) for m in messages.METHODS], (F.size(auth) > 0).alias("has_auth"), facts["trusted"].alias("trusted_auth"))
-    add(messages.header_findings(heads, company).withColumnRenamed("id", "mail"), "spoofing")
+    facts = messages.parse_auth(F.coalesce(F.get(auth, F.lit(0))["value"], F.lit("")), x.trusted_servers)
+    heads = x.parsed.select("id", "from_addr", "from_display", "reply_to", F.regexp_replace("return_path", "[<>]", "").alias("return_path"), *[facts[m].alias(m) for m in messages.METHODS], (F.size(auth) > 0).alias("has_auth"), facts["trusted"].alias("trusted_auth"))
+    return messages.header_findings(heads, x.company).withColumnRenamed("id", "mail")
+
 
+@analyser("filetype", "suspicious_file")
+def _filetype(x: Inputs) -> DataFrame:
     own = lambda c: F.concat_ws("/", F.col("mail").cast("string"), c)
-    tree = parts.select(F.col("mail").cast("string").alias("mail"), own("id").alias("id"), F.when(F.col("parent").isNotNull(), own("parent")).alias("parent"), F.element_at(F.split("filename", "/"), -1).alias("filename"), "detected_type", "depth", "encrypted", "note")
-    add(files.filetype_findings(tree).withColumn("mail", F.substring_index("id", "/", 1)), "suspicious_file", F.expr("substring(id, length(mail) + 2)"))
-
-    keys = named.select("row", "mail", "filename")
-    text = named.filter("detected_type in ('unknown', 'text/html', 'image/svg', 'text/xml')").select("row", F.try_to_binary(F.hex("data"), F.lit("hex")).cast("string").alias("t"), "detected_type")
-    for rows in [scripts.script_findings(text, "row", "t"), scripts.html_findings(text.filter("detected_type in ('text/html', 'image/svg')"), "row", "t")]:
-        add(rows.join(keys, "row"), "suspicious_file", F.col("filename"))
-    add(named.filter(files.extension(F.col("filename")).isin(*SCRIPT_NAMES)).select("mail", "filename", F.lit("script.attachment").alias("rule"), F.lit(40).alias("score")), "suspicious_file", F.col("filename"))
-    for kind, where, rule in READERS:
-        add(rule(documents.features(named.filter(where).select(F.col("row").alias("id"), "data"), kind)).withColumnRenamed("id", "row").join(keys, "row"), "suspicious_file", F.col("filename"))
-
-    every = found[0]
-    for rows in found[1:]:
-        every = every.unionByName(rows)
+    tree = x.parts.select(F.col("mail").cast("string").alias("mail"), own("id").alias("id"), F.when(F.col("parent").isNotNull(), own("parent")).alias("parent"), F.element_at(F.split("filename", "/"), -1).alias("filename"), "detected_type", "depth", "encrypted", "note")
+    return files.filetype_findings(tree).withColumn("mail", F.substring_index("id", "/", 1)).withColumn("artifact", F.expr("substring(id, length(mail) + 2)"))
+
+
+def _of_parts(x: Inputs, rows: DataFrame) -> DataFrame:
+    return rows.join(x.named.select("row", "mail", F.col("filename").alias("artifact")), "row")
+
+
+def _texts(x: Inputs) -> DataFrame:
+    return x.named.filter("detected_type in ('unknown', 'text/html', 'image/svg', 'text/xml')").select("row", F.try_to_binary(F.hex("data"), F.lit("hex")).cast("string").alias("t"), "detected_type")
+
+
+@analyser("script", "suspicious_file")
+def _scripts(x: Inputs) -> DataFrame:
+    carried = x.named.filter(files.extension(F.col("filename")).isin(*SCRIPT_NAMES)).select("mail", F.lit("script.attachment").alias("rule"), F.lit(40).alias("score"), F.col("filename").alias("artifact"))
+    return _of_parts(x, scripts.script_findings(_texts(x), "row", "t")).select("mail", "rule", "score", "artifact").unionByName(carried)
+
+
+@analyser("html", "suspicious_file")
+def _html(x: Inputs) -> DataFrame:
+    return _of_parts(x, scripts.html_findings(_texts(x).filter("detected_type in ('text/html', 'image/svg')"), "row", "t"))
+
+
+def _reader(kind: str, where: str, rule: Callable[[DataFrame], DataFrame]) -> Analyser:
+    return lambda x: _of_parts(x, rule(documents.features(x.named.filter(where).select(F.col("row").alias("id"), "data"), kind)).withColumnRenamed("id", "row"))
+
+
+for _kind, _where, _rule in READERS:
+    ANALYSERS[_kind] = ("suspicious_file", _reader(_kind, _where, _rule))
+
+
+def brand_analyser(brands: DataFrame) -> Analyser:
+    """Names and hosts that pose as those of brands(brand, phrases, domains) or of the company."""
+
+    def run(x: Inputs) -> DataFrame:
+        heads = claims.brand_findings(x.parsed.select("id", "from_addr", "from_display", "reply_to"), brands, (), x.company).withColumnRenamed("id", "mail")
+        like = claims.imitating_urls(x.seen, brands, x.company).groupBy("mail", "rule").agg(F.max("score").alias("score"))
+        return heads.select("mail", "rule", "score", "category").unionByName(like.withColumn("category", F.lit("phishing")).select("mail", "rule", "score", "category"))
+
+    return run
+
+
+def table_analyser(rules: DataFrame) -> Analyser:
+    """A table of rules on every attachment, by the index of their anchors."""
+    return lambda x: _of_parts(x, anchors.scan_table(x.named.select("row", "data", "detected_type"), rules, "row", "data", "detected_type"))
+
+
+def inputs_of(raw: DataFrame, company: tuple[str, ...] = (), trusted_servers: tuple[str, ...] = ()) -> Inputs:
+    """The relations of raw(id long, raw binary), written once for all analysers."""
+    parsed = written(mail.parse(raw, "id", "raw"), "parsed")
+    parts = mail.artifacts(parsed.withColumnRenamed("id", "mail"), "mail")
+    parts = written(parts.withColumn("row", F.xxhash64("mail", "position")), "attachments")
+    links = mail.html_facts(parsed.withColumnRenamed("id", "mail"), "mail", "body_html").select("mail", F.explode("links").alias("l")).select("mail", "l.url", "l.shown")
+    links = written(links, "links")
+    plain = parsed.select(F.col("id").alias("mail"), F.explode(urls.in_text(F.coalesce("body_text", F.lit("")))).alias("url"))
+    seen = written(links.select("mail", "url").unionByName(plain).withColumn("url", urls.normalise(F.col("url"))).distinct(), "urls")
+    return Inputs(parsed, parts, links, seen, company, trusted_servers)
+
+
+def analyse_all(raw: DataFrame, company: tuple[str, ...] = (), trusted_servers: tuple[str, ...] = (), config: ScoreConfig = ScoreConfig(), brands: DataFrame | None = None, rules: DataFrame | None = None, analysers: dict[str, tuple[str, Analyser]] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(findings, attachments, verdicts, errors) of raw(id long, raw binary).
+
+    brands and rules add the analysers `brands` and `yara`; analysers replaces the registered ones.
+    """
+    x = inputs_of(raw, company, trusted_servers)
+    chosen = dict(ANALYSERS if analysers is None else analysers)
+    if brands is not None:
+        chosen["brands"] = ("phishing", brand_analyser(brands))
+    if rules is not None:
+        chosen["yara"] = ("malware", table_analyser(rules))
+    every, errors = run_analysers(x, chosen)
     # Of several findings of one rule on one part the best score counts; then positions follow.
     best = F.max(F.struct("score", "severity", "category")).alias("b")
     every = every.groupBy("analysis_id", "rule", "artifact_id").agg(best).select("analysis_id", "rule", "artifact_id", "b.*")
     order = W.partitionBy("analysis_id").orderBy("rule", "artifact_id")
     every = written(every.withColumns({"position": F.row_number().over(order) - 1, "malware_family": F.lit(None).cast("string")}), "findings")
-    return every, parts.drop("data", "row"), verdicts(every, parsed.select("id", "from_addr"), config)
+    return every, x.parts.drop("data", "row"), verdicts(every, x.parsed.select("id", "from_addr"), config), errors
+
+
+def analyse(raw: DataFrame, company: tuple[str, ...] = (), trusted_servers: tuple[str, ...] = (), config: ScoreConfig = ScoreConfig(), **more) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(findings, attachments, verdicts) of raw(id long, raw binary); an analyser that fails is an error here."""
+    found, parts, levels, errors = analyse_all(raw, company, trusted_servers, config, **more)
+    if bad := errors.limit(5).collect():
+        raise RuntimeError("; ".join(f"{e.analyser}: {e.error}: {e.message}" for e in bad))
+    return found, parts, levels
 
 
 @R.add()

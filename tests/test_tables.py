@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from posthound.operators import ancestors, anchors, claims, deception, services
+from posthound.plans import analysis
+from posthound.sources import mail
 
 
 def test_anchor_is_in_every_match():
@@ -89,3 +91,28 @@ def test_honest_international_names_are_no_homographs(spark):
     rows = spark.createDataFrame([(k, f"https://www.xn--{k.encode('punycode').decode()}.com/") for k in names], "k string, url string")
     assert {r.k for r in deception.idn_findings(rows, "k", "url").collect()} == {k for k, bad in names.items() if bad}
     assert deception.idn_findings(spark.createDataFrame([("a", None), ("b", "http://xn--é.com/"), ("c", "http://plain.com")], "k string, url string"), "k", "url").select(F.count(F.lit(1))).first()[0] == 0
+
+
+def test_a_broken_analyser_costs_no_other_its_findings(spark):
+    rows = spark.createDataFrame([(int(k), bytearray(raw)) for k, raw in mail._samples()], "id long, raw binary")
+    brands = spark.createDataFrame([("Shop", ["shop"], ["shop.example"])], "brand string, phrases array<string>, domains array<string>")
+    rules = spark.createDataFrame([("any", None, 5, 1, None, None, ["."])], claims.RULE_COLUMNS)
+    whole = analysis.analyse(rows, ("corp.example",))[0]
+
+    def no_plan(x):
+        raise KeyError("no such table")
+
+    def bad_rows(x):
+        boom = F.when(F.col("id") == 1, F.raise_error(F.lit("bad message")).cast("int")).otherwise(F.lit(7))
+        return x.parsed.select(F.col("id").alias("mail"), F.lit("own.rule").alias("rule"), boom.alias("score"))
+
+    more = analysis.ANALYSERS | {"first": ("x", no_plan), "second": ("x", bad_rows)}
+    found, _, levels, errors = analysis.analyse_all(rows, ("corp.example",), brands=brands, rules=rules, analysers=more)
+    got = errors.collect()
+    assert {(e.analyser, e.error) for e in got if e.analyser == "first"} == {("first", "KeyError")}
+    second = [e for e in got if e.analyser == "second"]
+    assert len(second) == 1 and second[0].share and "bad message" in second[0].message
+    old = {(r.analysis_id, r.rule, r.artifact_id) for r in whole.collect()}
+    new = {(r.analysis_id, r.rule, r.artifact_id) for r in found.collect()}
+    assert old < new and {r for _, r, _ in new - old} >= {"own.rule", "yara.any"}
+    assert 1 not in {i for i, r, _ in new if r == "own.rule"} and levels.count() == rows.count()
