@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posthound.plans.registry import Registry
+from posthound.sources import adapters as src
 
 R = Registry()
 
@@ -51,22 +52,44 @@ def shown_name(name: Column) -> Column:
     return F.regexp_replace(F.when(at > 0, shown).otherwise(name), "[‪-‮⁦-⁩]", "")
 
 
-HOSTS = ("192.168.1.1", "0x7f.1", "3232235777", "0300.0250.1.1", "1.2.3", "256.1.1.1", "a.example", "1.2.3.4.5", "8.8.8.8", "0x", "09.1.1.1")
+_NUMBER = "(event_id * 2654435761 + user_id) % 4294967296"
+_OCTET = lambda k: f"(n >> {8 * k}) % 256"
 
 
 @R.add(
-    "SELECT * FROM (VALUES ('192.168.1.1', '192.168.1.1', true), ('0x7f.1', '127.0.0.1', true), ('3232235777', '192.168.1.1', true), ('0300.0250.1.1', '192.168.1.1', true), ('1.2.3', '1.2.0.3', false), ('8.8.8.8', '8.8.8.8', false), ('0x', '0.0.0.0', true)) t(host, address, private)"
+    f"""WITH e AS (SELECT event_id, CAST({_NUMBER} AS BIGINT) AS n FROM events), q AS (SELECT *, {_OCTET(3)} AS a, {_OCTET(2)} AS b, {_OCTET(1)} AS c, {_OCTET(0)} AS d FROM e)
+SELECT event_id, a || '.' || b || '.' || c || '.' || d AS address, a IN (0, 10, 127) OR (a = 169 AND b = 254) OR (a = 192 AND b = 168) OR (a = 172 AND b BETWEEN 16 AND 31) AS private FROM q WHERE event_id % 6 < 5"""
 )
 def host_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(h,) for h in HOSTS], "host string").withColumn("n", ipv4_number(F.col("host"))).filter("n is not null")
-    return rows.select("host", dotted(F.col("n")).alias("address"), is_private(F.col("n")).alias("private"))
-
-
-@R.add("SELECT * FROM (VALUES (1, 'invoiceexe.pdf'), (2, 'plain.txt')) t(id, shown)")
+    """A number of every event as a host in one of six spellings, the last of which is no address."""
+    o = [F.expr(f"shiftright(n, {8 * k}) % 256") for k in (3, 2, 1, 0)]
+    text = lambda c: c.cast("string")
+    forms = [
+        F.concat_ws(".", *map(text, o)),
+        text(F.col("n")),
+        F.concat(F.lit("0x"), F.lower(F.hex("n"))),
+        F.concat_ws(".", *[F.concat(F.lit("0"), F.conv(text(x), 10, 8)) for x in o]),
+        F.concat_ws(".", F.concat(F.lit("0X"), F.hex(o[0])), text(F.expr("n % 16777216"))),
+        F.concat_ws(".", *map(text, o), F.lit("7")),
+    ]
+    form = F.lit(None).cast("string")
+    for i, f in enumerate(forms):
+        form = F.when(F.col("event_id") % 6 == i, f).otherwise(form)
+    rows = src.table(spark, sf_dir, "events").select("event_id", F.expr(f"cast({_NUMBER} as bigint)").alias("n")).select("event_id", form.alias("host"))
+    rows = rows.withColumn("n", ipv4_number(F.col("host"))).filter("n is not null")
+    return rows.select("event_id", dotted(F.col("n")).alias("address"), is_private(F.col("n")).alias("private"))
+
+
+@R.add("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || 'exe.fdp' ELSE p_name || '.txt' END AS shown FROM part")
 def rtlo_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(1, "invoice‮fdp.exe"), (2, "plain.txt")], "id int, name string").select("id", shown_name(F.col("name")).alias("shown"))
+    """Every other part's name hides its ending behind an override of the reading direction."""
+    name = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit("\u202epdf.exe"))).otherwise(F.concat("p_name", F.lit(".txt")))
+    return src.table(spark, sf_dir, "part").select("p_partkey", shown_name(name).alias("shown"))
 
 
-@R.add("SELECT * FROM (VALUES ('paypal', 1), ('pаypal', 2), ('почта', 1), ('123', 0)) t(label, n)")
+@R.add("SELECT n_nationkey, [1, 2, 1, 0, 3][n_nationkey % 5 + 1] AS n FROM nation")
 def mixed_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([("paypal",), ("pаypal",), ("почта",), ("123",)], "label string").select("label", scripts(F.col("label")).alias("n"))
+    """Each nation's name as it is, with a Cyrillic letter, as a Cyrillic word, as a number, and with letters of three alphabets."""
+    name, k = F.lower("n_name"), F.col("n_nationkey")
+    label = F.when(k % 5 == 0, name).when(k % 5 == 1, F.concat(name, F.lit("\u0430"))).when(k % 5 == 2, "\u043f\u043e\u0447\u0442\u0430").when(k % 5 == 3, k.cast("string")).otherwise(F.concat(name, F.lit("\u0430\u03b1")))
+    return src.table(spark, sf_dir, "nation").select("n_nationkey", scripts(label).alias("n"))

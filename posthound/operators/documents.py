@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from posthound.operators.files import EXECUTABLE_TYPES, magic_type
 from posthound.plans.registry import Registry
+from posthound.sources import adapters as src
 
 R = Registry()
 MAX_INFLATED = 20 << 20
@@ -402,7 +403,13 @@ def samples() -> dict[str, list[tuple[int, bytes]]]:
 
 
 def _query(kind: str, found) -> None:
-    R.add(_EXPECTED[kind], name=f"{kind}_scan")(lambda spark, sf_dir: found(features(spark.createDataFrame([(i, bytearray(d)) for i, d in samples()[kind]], "id int, data binary"), kind)))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The samples of a kind, once for every supplier."""
+        held = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(bytearray(d)).alias("data")) for i, d in samples()[kind]])
+        rows = src.table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(held).alias("x"))
+        return found(features(rows.select((F.col("s_suppkey") * 10 + F.col("x.i")).alias("id"), "x.data"), kind))
+
+    R.add(_EXPECTED[kind].replace("SELECT * FROM (", "SELECT s_suppkey * 10 + t.id AS id, rule, score FROM supplier, (", 1), name=f"{kind}_scan")(run)
 
 
 _EXPECTED = {

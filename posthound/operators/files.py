@@ -151,17 +151,27 @@ FILES = (
 )
 
 
+def _mailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attachments above in one mail for every customer."""
+    kinds = "parent string, filename string, detected_type string, depth int, encrypted boolean, note string"
+    held = F.array(*[F.struct(F.lit(i).alias("part"), *[F.lit(v).cast(k.split(" ")[1]).alias(k.split(" ")[0]) for v, k in zip(rest, kinds.split(", "), strict=True)]) for _, i, *rest in FILES])
+    mail = F.col("c_custkey").cast("string")
+    own = lambda c: F.concat(mail, F.lit("/"), F.col(c))
+    rows = src.table(spark, sf_dir, "customer").select("c_custkey", F.explode(held).alias("f"))
+    return rows.select(mail.alias("mail"), own("f.part").alias("id"), own("f.parent").alias("parent"), "f.filename", "f.detected_type", "f.depth", "f.encrypted", "f.note")
+
+
 @R.add(
-    """SELECT * FROM (VALUES ('a', 'filetype.rtlo', 80), ('b', 'filetype.double_extension', 75), ('c.zip', 'filetype.encrypted_archive', 35), ('c.zip', 'filetype.extraction_limit', 30), ('c.zip', 'filetype.archive_only_executable', 70),
+    """SELECT CAST(c_custkey AS VARCHAR) || '/' || t.id AS id, rule, score FROM customer, (VALUES ('a', 'filetype.rtlo', 80), ('b', 'filetype.double_extension', 75), ('c.zip', 'filetype.encrypted_archive', 35), ('c.zip', 'filetype.extraction_limit', 30), ('c.zip', 'filetype.archive_only_executable', 70),
  ('c.zip/run.js', 'filetype.executable_in_archive', 65), ('d', 'filetype.disk_image', 45), ('e', 'filetype.type_mismatch', 80), ('f', 'filetype.html_attachment', 10), ('g', 'filetype.hidden_executable', 40), ('i', 'filetype.dangerous_extension', 60)) t(id, rule, score)"""
 )
 def filetype_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filetype_findings(spark.createDataFrame(list(FILES), "mail string, id string, parent string, filename string, detected_type string, depth int, encrypted boolean, note string"))
+    return filetype_findings(_mailed(spark, sf_dir))
 
 
-@R.add("SELECT * FROM (VALUES ('b', 2), ('a', 1), ('c.zip', 3), ('c.zip/run.js', 4), ('d', 5), ('e', 6), ('f', 7), ('g', 8), ('h', 9), ('i', 10)) t(id, place)")
+@R.add("SELECT CAST(c_custkey AS VARCHAR) || '/' || t.id AS id, CAST(place AS INTEGER) AS place FROM customer, (VALUES ('b', 2), ('a', 1), ('c.zip', 3), ('c.zip/run.js', 4), ('d', 5), ('e', 6), ('f', 7), ('g', 8), ('h', 9), ('i', 10)) t(id, place)")
 def artifact_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree_order(spark.createDataFrame([(m, i) for m, i, *_ in FILES], "mail string, id string")).select("id", "place")
+    return tree_order(_mailed(spark, sf_dir).select("mail", "id")).select("id", "place")
 
 
 @R.add("SELECT page_id, CASE WHEN starts_with(lower(html), '<!doctype html') THEN 'text/html' ELSE 'unknown' END AS kind FROM pages", name="magic_type")
@@ -180,10 +190,10 @@ SCRIPTS = (
 
 
 @R.add(
-    "SELECT * FROM (VALUES (1, 'script.downloader', 80), (2, 'script.powershell_encoded', 65), (2, 'script.powershell_stealth', 45), (3, 'script.dynamic_exec', 35), (3, 'script.com_objects', 30), (5, 'script.shadow_delete', 85), (6, 'script.lolbin', 70)) t(id, rule, score)"
+    "SELECT c_custkey * 10 + t.id AS id, rule, score FROM customer, (VALUES (1, 'script.downloader', 80), (2, 'script.powershell_encoded', 65), (2, 'script.powershell_stealth', 45), (3, 'script.dynamic_exec', 35), (3, 'script.com_objects', 30), (5, 'script.shadow_delete', 85), (6, 'script.lolbin', 70)) t(id, rule, score)"
 )
 def indicator_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pattern_findings(spark.createDataFrame(list(SCRIPTS), "id int, text string"), "id", "text", "script")
+    return pattern_findings(src.over(spark, sf_dir, SCRIPTS), "id", "text", "script")
 
 
 @R.add("SELECT page_id, 'html.tracker' AS rule, 5 AS score FROM pages WHERE regexp_matches(lower(html), 'track\\(') AND regexp_matches(lower(html), '<script')")

@@ -76,20 +76,37 @@ def lookalike_kind(host: Column, targets: tuple[str, ...]) -> Column:
     return out
 
 
-WORDS = (("corp", "corp"), ("corp", "crop"), ("ca", "abc"), ("paypal", "paypla"), ("", "ab"), ("abc", ""), ("kitten", "sitting"), ("same", "same"), ("abcdefgh", "zzzzzzzz"))
+_FOLD = "lower(regexp_replace(n_name, '[^A-Za-z]', '', 'g'))"
 
 
-@R.add("SELECT * FROM (VALUES ('corp', 'corp', 0), ('corp', 'crop', 1), ('ca', 'abc', 3), ('paypal', 'paypla', 1), ('', 'ab', 2), ('abc', '', 3), ('kitten', 'sitting', 3), ('same', 'same', 0), ('abcdefgh', 'zzzzzzzz', 4)) t(a, b, distance)")
+@R.add(
+    f"""WITH n AS (SELECT {_FOLD} AS a, n_nationkey AS k FROM nation),
+f AS (SELECT a, k, unnest([substr(a, 2, 1) || substr(a, 1, 1) || substr(a, 3), substr(a, 2), a || 'x', 'q' || substr(a, 2), a, 'zz' || substr(a, 3) || 'zz', '']) AS b, unnest(range(7)) AS f FROM n)
+SELECT a, b, CAST(CASE f WHEN 0 THEN CASE WHEN substr(a, 1, 1) = substr(a, 2, 1) THEN 0 ELSE 1 END WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 0 WHEN 5 THEN 4 ELSE least(4, length(a)) END AS INTEGER) AS distance FROM f"""
+)
 def lookalike_osa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(WORDS), "a string, b string").select("a", "b", osa_distance(F.col("a"), F.col("b")).alias("distance"))
+    """Each nation's name against itself, with its first letters swapped, one taken away, added or replaced, four changed, and against nothing."""
+    from posthound.sources import adapters as src
+
+    a = F.col("a")
+    rows = src.table(spark, sf_dir, "nation").select(F.lower(F.regexp_replace("n_name", "[^A-Za-z]", "")).alias("a"))
+    rest = a.substr(3, 99)
+    forms = F.array(F.concat(a.substr(2, 1), a.substr(1, 1), rest), a.substr(2, 99), F.concat(a, F.lit("x")), F.concat(F.lit("q"), a.substr(2, 99)), a, F.concat(F.lit("zz"), rest, F.lit("zz")), F.lit(""))
+    return rows.withColumn("b", F.explode(forms)).select("a", "b", osa_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
-HOSTS = ("corp.example", "mail.corp.example", "corp.net", "c0rp.example", "crop.example", "corp-login.example", "corp.example.evil.net", "other.example")
+#: Hosts around corp.example with a number in them, and what they are.
+_AROUND = (("corp.example", ""), ("m{}.corp.example", ""), ("corp.net", "tld_swap"), ("www{}.c0rp.example", "homoglyph"), ("w.{}.crop.example", "typo"), ("corp-login.example", "affix"), ("corp.example.evil{}.net", "subdomain"), ("other{}.example", ""))
 
 
-@R.add("SELECT * FROM (VALUES ('corp.example', ''), ('mail.corp.example', ''), ('corp.net', 'tld_swap'), ('c0rp.example', 'homoglyph'), ('crop.example', 'typo'), ('corp-login.example', 'affix'), ('corp.example.evil.net', 'subdomain'), ('other.example', '')) t(host, kind)")
+@R.add("SELECT page_id, replace(h, '{}', CAST(page_id AS VARCHAR)) AS host, kind FROM pages JOIN (VALUES " + ", ".join(f"({i}, '{h}', '{k}')" for i, (h, k) in enumerate(_AROUND)) + ") t(f, h, kind) ON page_id % 8 = f")
 def brand_affix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(h,) for h in HOSTS], "host string").select("host", F.coalesce(lookalike_kind(F.col("host"), ("corp.example",)), F.lit("")).alias("kind"))
+    """A host for every page: of the company, like it, or neither."""
+    from posthound.sources import adapters as src
+
+    form = F.get(F.array(*[F.lit(h) for h, _ in _AROUND]), (F.col("page_id") % 8).cast("int"))
+    rows = src.table(spark, sf_dir, "pages").select("page_id", F.replace(form, F.lit("{}"), F.col("page_id").cast("string")).alias("host"))
+    return rows.select("page_id", "host", F.coalesce(lookalike_kind(F.col("host"), ("corp.example",)), F.lit("")).alias("kind"))
 
 
 @R.add("SELECT DISTINCT c_name, translate(lower(c_name), '0135$', 'olses') AS folded FROM (SELECT 'Customer ' || CAST(c_custkey AS VARCHAR) AS c_name FROM customer)")

@@ -116,50 +116,85 @@ def password_hint(text: Column) -> Column:
     return F.when(word != "", F.rpad(F.substring(word, 1, 2), F.length(word), "*")).otherwise(F.lit(""))
 
 
-AUTH_SAMPLES = (
-    (1, "mx.corp.example; spf=pass smtp.mailfrom=a.example; dkim=pass (ok) header.d=a.example; dmarc=pass"),
-    (2, "mx.corp.example; spf=fail; dkim=none; dmarc=fail (p=none)"),
-    (3, "evil.example; spf=pass; dkim=pass"),
-    (4, "spf=softfail (sender IP) smtp.mailfrom=b.example; compauth=fail reason=001"),
-    (5, "mx.corp.example; none"),
-)
-HEADER_SAMPLES = (
-    (1, "boss@corp.example", "Boss", "", "boss@corp.example", "fail", "none", "fail", "", True, True),
-    (2, "news@shop.example", "Shop", "", "bounce@mailer.example", "pass", "pass", "pass", "", True, True),
-    (3, "it@c0rp.example", "it@corp.example", "help@gmail.com", "it@c0rp.example", "softfail", "fail", "none", "", True, False),
-    (4, "x@y.example", "", "", "", "", "", "", "", False, False),
-    (5, "pay@corp-billing.example", "Corp", "", "pay@corp-billing.example", "fail", "", "none", "fail", True, True),
-)
-CONTENT_SAMPLES = (
-    (1, "Invoice overdue", "Please pay immediately", 1, 1, False),
-    (2, "hello", "Archive attached, password is Zx81!", 1, 1, False),
-    (3, "We have a new bank account", "urgent", 0, 0, False),
-    (4, "Quick favor", "I need gift cards", 0, 0, False),
-    (5, "verify your account", "within 24 hours", 0, 0, True),
-    (6, "lunch", "see you at noon", 0, 0, False),
-    (7, "note", "asap", 0, 0, False),
-    (8, "doc", "clave: 1234", 1, 0, False),
-)
+def _pick(by: Column, *values: str) -> Column:
+    """The value whose place is `by` modulo their number."""
+    return F.get(F.array(*[F.lit(v) for v in values]), (by % len(values)).cast("int"))
+
 
+def _pick_sql(by: str, *values: str) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][({by}) % {len(values)} + 1]"
 
-@R.add("SELECT * FROM (VALUES (1, 'mx.corp.example', true, 'pass', 'pass', 'pass', ''), (2, 'mx.corp.example', true, 'fail', 'none', 'fail', ''), (3, 'evil.example', false, 'pass', 'pass', '', ''), (4, '', false, 'softfail', '', '', 'fail'), (5, 'mx.corp.example', true, '', '', '', '')) t(id, authserv, trusted, spf, dkim, dmarc, compauth)")
+
+_SERVERS, _SPF, _DKIM, _DMARC, _COMP = ("mx.corp.example", "evil.example", ""), ("pass", "fail", "softfail", "none", ""), ("pass", "fail", ""), ("pass", "fail", "none", ""), ("", "fail")
+
+
+@R.add(
+    f"""SELECT event_id AS id, {_pick_sql("user_id", *_SERVERS)} AS authserv, user_id % 3 = 0 AS trusted, {_pick_sql("event_id", *_SPF)} AS spf, {_pick_sql("event_id // 5", *_DKIM)} AS dkim, {_pick_sql("event_id // 15", *_DMARC)} AS dmarc, {_pick_sql("event_id", *_COMP)} AS compauth FROM events"""
+)
 def auth_results_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(AUTH_SAMPLES), "id int, value string")
-    return rows.select("id", *[c.alias(n) for n, c in parse_auth(F.col("value"), ("mx.corp.example",)).items()])
+    """A header of every event: three servers (or none), and each method with its remarks, or absent."""
+    k, div = F.col("event_id"), lambda n: F.expr(f"event_id div {n}")
+    said = lambda m, v, more: F.when(v != "", F.concat(F.lit(f"{m}="), v, F.lit(" "), more))
+    notes = F.concat(F.lit("(sender no. "), k.cast("string"), F.lit("; spf=none) smtp.mailfrom=a"), k.cast("string"), F.lit(".example"))
+    methods = [said("SPF", _pick(k, *_SPF), notes), said("dkim", _pick(div(5), *_DKIM), F.lit("header.d=a.example")), said("dmarc", _pick(div(15), *_DMARC), F.lit("(p=none)")), said("compauth", _pick(k, *_COMP), F.lit("reason=001"))]
+    server = _pick(F.col("user_id"), *_SERVERS)
+    value = F.concat_ws("; ", F.when(server != "", server), *methods)
+    return src.table(spark, sf_dir, "events").select(k.alias("id"), value.alias("value")).select("id", *[c.alias(n) for n, c in parse_auth(F.col("value"), ("mx.corp.example",)).items()])
+
+
+_SENDERS = ("boss@corp.example", "news@shop.example", "it@c0rp.example", "x@partner.example", "")
+_SHOWN, _REPLY, _PATH = ("Boss", "it@corp.example", "", "Shop of shop.example"), ("", "help@gmail.com", "boss@corp.example"), ("", "boss@corp.example", "b@mailer.example")
+_DOMAIN = lambda a: f"CASE WHEN contains({a}, '@') THEN split_part({a}, '@', 2) ELSE '' END"
 
 
 @R.add(
-    """SELECT * FROM (VALUES (1, 'headers.own_domain_spoof', 70), (2, 'headers.no', 0), (3, 'headers.no_trusted_auth_results', 0), (3, 'headers.spf_softfail', 10), (3, 'headers.dkim_fail', 15), (3, 'headers.display_name_spoof', 65),
- (3, 'headers.reply_to_mismatch', 35), (3, 'headers.lookalike_domain', 70), (4, 'headers.no_auth_results', 0), (5, 'headers.spf_fail', 30), (5, 'headers.compauth_fail', 15), (5, 'headers.lookalike_domain', 70)) t(id, rule, score) WHERE rule <> 'headers.no'"""
+    f"""WITH r AS (SELECT event_id AS id, {_pick_sql("event_id", *_SENDERS)} AS f, {_pick_sql("event_id // 5", *_SHOWN)} AS shown, {_pick_sql("event_id // 20", *_REPLY)} AS reply, {_pick_sql("event_id // 3", *_PATH)} AS path,
+  {_pick_sql("user_id", *_SPF)} AS spf, {_pick_sql("user_id // 5", *_DKIM)} AS dkim, {_pick_sql("event_id // 7", *_DMARC)} AS dmarc, {_pick_sql("event_id // 2", *_COMP)} AS compauth, event_id % 3 > 0 AS has_auth, event_id % 3 = 1 AS trusted FROM events),
+d AS (SELECT *, {_DOMAIN("f")} AS sender, {_DOMAIN("reply")} AS rd, {_DOMAIN("path")} AS pd, regexp_extract(lower(shown), '([a-z0-9-]+([.][a-z0-9-]+)*[.][a-z]{{2,}})', 1) AS said FROM r),
+e AS (SELECT *, sender = 'corp.example' AND (dmarc = 'fail' OR dmarc IN ('none', '') AND spf IN ('fail', 'softfail') AND dkim <> 'pass') AS spoof FROM d),
+o AS (SELECT *, NOT spoof AND dmarc NOT IN ('pass', 'fail') AS open_ FROM e)
+SELECT id, 'headers.no_trusted_auth_results' AS rule, 0 AS score FROM o WHERE has_auth AND NOT trusted
+UNION ALL SELECT id, 'headers.no_auth_results', 0 FROM o WHERE NOT has_auth AND spf || dkim || dmarc || compauth = ''
+UNION ALL SELECT id, 'headers.own_domain_spoof', 70 FROM o WHERE spoof
+UNION ALL SELECT id, 'headers.dmarc_fail', 40 FROM o WHERE NOT spoof AND dmarc = 'fail'
+UNION ALL SELECT id, 'headers.spf_fail', 30 FROM o WHERE open_ AND spf = 'fail'
+UNION ALL SELECT id, 'headers.spf_softfail', 10 FROM o WHERE open_ AND spf = 'softfail'
+UNION ALL SELECT id, 'headers.dkim_fail', 15 FROM o WHERE open_ AND dkim = 'fail' AND sender <> 'corp.example'
+UNION ALL SELECT id, 'headers.compauth_fail', 15 FROM o WHERE open_ AND compauth = 'fail' AND sender <> 'corp.example'
+UNION ALL SELECT id, 'headers.display_name_spoof', 65 FROM o WHERE said <> '' AND said <> sender AND NOT ends_with(sender, '.' || said)
+UNION ALL SELECT id, 'headers.reply_to_mismatch', 35 FROM o WHERE rd = 'gmail.com' AND rd <> sender
+UNION ALL SELECT id, 'headers.return_path_mismatch', 10 FROM o WHERE pd <> '' AND pd <> sender AND dmarc <> 'pass'
+UNION ALL SELECT id, 'headers.lookalike_domain', 70 FROM o WHERE sender = 'c0rp.example'"""
 )
 def header_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(HEADER_SAMPLES), "id int, from_addr string, from_display string, reply_to string, return_path string, spf string, dkim string, dmarc string, compauth string, has_auth boolean, trusted_auth boolean")
+    """Headers of every event: senders, shown names, answer addresses and results in all combinations that the events' numbers give."""
+    k, u, div = F.col("event_id"), F.col("user_id"), lambda c, n: F.expr(f"{c} div {n}")
+    rows = src.table(spark, sf_dir, "events").select(
+        k.alias("id"), _pick(k, *_SENDERS).alias("from_addr"), _pick(div("event_id", 5), *_SHOWN).alias("from_display"), _pick(div("event_id", 20), *_REPLY).alias("reply_to"), _pick(div("event_id", 3), *_PATH).alias("return_path"),
+        _pick(u, *_SPF).alias("spf"), _pick(div("user_id", 5), *_DKIM).alias("dkim"), _pick(div("event_id", 7), *_DMARC).alias("dmarc"), _pick(div("event_id", 2), *_COMP).alias("compauth"), (k % 3 > 0).alias("has_auth"), (k % 3 == 1).alias("trusted_auth"),
+    )
     return header_findings(rows, ("corp.example",)).select("id", "rule", "score")
 
 
-@R.add("SELECT * FROM (VALUES (1, 'content.invoice_lure', 35), (2, 'content.password_protected_lure', 65), (3, 'content.bec_bank_change', 50), (4, 'content.bec_lure', 40), (5, 'content.credential_lure', 30), (7, 'content.urgency', 5), (8, 'content.password_hint', 15)) t(id, rule, score)")
+_SUBJECTS = ("Invoice overdue", "We have a new bank account", "Quick favor", "verify your account", "lunch", "Please: asap", "gift cards")
+_ENDS = (" Please pay immediately", " the password is Zx81!", "", " within 24 hours", " clave: 1234")
+_SAYS = lambda words: f"regexp_matches(t, '(^|[^a-z0-9])({words})([^a-z0-9]|$)')"
+_TURNS = f"""SELECT conv_id * 1000 + turn AS id, lower(regexp_replace({_pick_sql("conv_id", *_SUBJECTS)} || ' ' || coalesce(text, '') || {_pick_sql("turn + conv_id // 7", *_ENDS)}, '[\s\p{{Z}}]+', ' ', 'g')) AS t, turn % 3 AS files, turn % 2 AS risky, conv_id % 2 = 0 AS urls FROM conversations"""
+
+
+@R.add(
+    f"""WITH r AS (SELECT id, t, files, least(files, risky) AS risky, urls, CASE WHEN {_SAYS(URGENCY)} THEN 1 ELSE 0 END AS hot, regexp_matches(t, '{PASSWORD_HINT}') AS hint, {_SAYS(BANK_CHANGE)} AS bank, {_SAYS(CREDENTIALS)} AS cred, {_SAYS(INVOICE)} AS bill, {_SAYS(PRETEXT)} AS pre, {_SAYS(GIFT)} AS gift FROM ({_TURNS})),
+h AS (SELECT id, 'content.password_protected_lure' AS rule, 65 AS score FROM r WHERE hint AND risky > 0 UNION ALL SELECT id, 'content.password_hint', 15 FROM r WHERE hint AND risky = 0 AND files > 0
+  UNION ALL SELECT id, 'content.bec_bank_change', 45 + 5 * hot FROM r WHERE bank UNION ALL SELECT id, 'content.bec_lure', CASE WHEN pre AND gift THEN 40 WHEN gift THEN 15 ELSE 10 END + 5 * hot FROM r WHERE pre OR gift
+  UNION ALL SELECT id, 'content.credential_lure', least(40, 15 + 10 * hot + CASE WHEN urls THEN 5 ELSE 0 END) FROM r WHERE cred
+  UNION ALL SELECT id, 'content.invoice_lure', CASE WHEN risky > 0 THEN 30 WHEN files > 0 THEN 15 ELSE 10 END + 5 * hot FROM r WHERE bill)
+SELECT id, rule, CAST(score AS INTEGER) AS score FROM h UNION ALL SELECT id, 'content.urgency', 5 FROM r WHERE hot > 0 AND id NOT IN (SELECT id FROM h)"""
+)
 def content_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content_findings(spark.createDataFrame(list(CONTENT_SAMPLES), "id int, subject string, body string, attachments int, risky int, has_urls boolean"))
+    """Every turn of the conversations as a message, with one of seven subjects and one of five endings."""
+    files, end = F.col("turn") % 3, _pick(F.expr("turn + conv_id div 7"), *_ENDS)
+    rows = src.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), _pick(F.col("conv_id"), *_SUBJECTS).alias("subject"), F.concat(F.coalesce("text", F.lit("")), end).alias("body"), files.alias("attachments"), F.least(files, F.col("turn") % 2).alias("risky"), (F.col("conv_id") % 2 == 0).alias("has_urls"))
+    return content_findings(rows)
 
 
 @R.add("SELECT conv_id, turn, regexp_matches(lower(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), '(^|[^a-z0-9])(the|and then|la clave|password)([^a-z0-9]|$)') AS hit FROM conversations")
@@ -167,7 +202,9 @@ def content_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.table(spark, sf_dir, "conversations").select("conv_id", "turn", phrase(normal(F.col("text")), "the|and then|la clave|password").alias("hit"))
 
 
-@R.add("SELECT * FROM (VALUES (2, 'Zx***'), (8, '12**')) t(id, hint)", name="password_hint")
+@R.add("SELECT doc_id AS id, substr(w, 1, 2) || repeat('*', length(w) - 2) AS hint FROM (SELECT doc_id, 'Q' || CAST(doc_id * 7919 AS VARCHAR) || '!' AS w FROM documents WHERE doc_id % 2 = 0)", name="password_hint")
 def password_hint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(CONTENT_SAMPLES), "id int, subject string, body string, attachments int, risky int, has_urls boolean")
+    """Every other document ends in a password; the hint keeps two characters of it."""
+    said = F.concat(F.substring("source", 1, 3), F.lit(": the Password is Q"), (F.col("doc_id") * 7919).cast("string"), F.lit("! bye"))
+    rows = src.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, said).otherwise(F.col("source")).alias("body"))
     return rows.select("id", password_hint(F.col("body")).alias("hint")).filter("hint <> ''")

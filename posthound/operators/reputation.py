@@ -88,14 +88,15 @@ def reputation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_findings(src.artifacts(spark, sf_dir), part.filter("p_partkey % 40 = 0").select("sha256"), part.filter("p_partkey % 8 = 0").select("sha256", (F.col("p_partkey") % 9).alias("engines")))
 
 
-NAMES = ("Win.Trojan.Agent-123", "Eicar-Signature", "Heuristics.Encrypted.Zip", "PUA.Win.Tool.X", "Doc.Exploit.CVE_2017", "Heuristics.Phishing.Email", "Heuristics.Other", "Unix.Thing-1")
+_SIGNATURES = (("Win.Trojan.Agent-{}", "malware", 95), ("Eicar-Signature", "test", 20), ("Heuristics.Encrypted.Zip", "encrypted", 30), ("PUA.Win.Tool.X{}", "unwanted", 40), ("Doc.Exploit.CVE_2017_{}", "exploit", 95), ("Heuristics.Phishing.Email", "phishing", 70), ("Heuristics.Other{}", "heuristic", 45), ("Unix.Thing-{}", "malware", 90))
 
 
-@R.add(
-    "SELECT * FROM (VALUES ('Win.Trojan.Agent-123', 'malware', 95), ('Eicar-Signature', 'test', 20), ('Heuristics.Encrypted.Zip', 'encrypted', 30), ('PUA.Win.Tool.X', 'unwanted', 40), ('Doc.Exploit.CVE_2017', 'exploit', 95), ('Heuristics.Phishing.Email', 'phishing', 70), ('Heuristics.Other', 'heuristic', 45), ('Unix.Thing-1', 'malware', 90)) t(name, class, score)"
-)
+@R.add("SELECT p_partkey, class, CAST(score AS INTEGER) AS score FROM part JOIN (VALUES " + ", ".join(f"({i}, '{c}', {n})" for i, (_, c, n) in enumerate(_SIGNATURES)) + ") t(f, class, score) ON p_partkey % 8 = f")
 def signature_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in NAMES], "name string").select("name", classify_signature(F.col("name")).alias("c")).select("name", "c.class", "c.score")
+    """A scanner's name for every part, in one of eight forms."""
+    form = F.get(F.array(*[F.lit(n) for n, _, _ in _SIGNATURES]), (F.col("p_partkey") % 8).cast("int"))
+    rows = src.table(spark, sf_dir, "part").select("p_partkey", F.replace(form, F.lit("{}"), F.col("p_partkey").cast("string")).alias("name"))
+    return rows.select("p_partkey", classify_signature(F.col("name")).alias("c")).select("p_partkey", "c.class", "c.score")
 
 
 @R.add("SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN 85 ELSE 75 END AS score FROM pages WHERE page_id % 25 = 0")

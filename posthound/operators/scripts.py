@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from posthound.operators.files import magic_type, pattern_findings
 from posthound.plans.registry import Registry
+from posthound.sources import adapters as src
 from posthound.sources.mail import html_facts
 
 R = Registry()
@@ -216,11 +217,11 @@ PAGES = (
 )
 
 
-@R.add("SELECT * FROM (VALUES (1, 'script.obfuscation', 30), (1, 'script.shadow_delete', 85), (3, 'script.obfuscation', 30), (3, 'script.downloader', 80)) t(id, rule, score)")
+@R.add("SELECT c_custkey * 10 + t.id AS id, rule, score FROM customer, (VALUES (1, 'script.obfuscation', 30), (1, 'script.shadow_delete', 85), (3, 'script.obfuscation', 30), (3, 'script.downloader', 80)) t(id, rule, score)")
 def script_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return script_findings(spark.createDataFrame(list(SCRIPTS), "id int, text string"), "id", "text")
+    return script_findings(src.over(spark, sf_dir, SCRIPTS), "id", "text")
 
 
-@R.add("SELECT * FROM (VALUES (1, 'html.credential_phishing', 70), (2, 'html.redirect', 40), (4, 'html.svg_active_content', 70), (5, 'html.smuggling', 65), (6, 'html.password_form', 40)) t(id, rule, score)")
+@R.add("SELECT c_custkey * 10 + t.id AS id, rule, score FROM customer, (VALUES (1, 'html.credential_phishing', 70), (2, 'html.redirect', 40), (4, 'html.svg_active_content', 70), (5, 'html.smuggling', 65), (6, 'html.password_form', 40)) t(id, rule, score)")
 def html_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_findings(spark.createDataFrame(list(PAGES), "id int, html string"), "id", "html")
+    return html_findings(src.over(spark, sf_dir, PAGES, "<!-- {} -->"), "id", "text")

@@ -228,6 +228,6 @@ def analyse(raw: DataFrame, company: tuple[str, ...] = (), trusted_servers: tupl
 
 @R.add()
 def message_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sample messages through every rule."""
-    rows = spark.createDataFrame([(int(k), bytearray(raw)) for k, raw in mail._samples()], "id long, raw binary")
+    """Every document as a mail through every analyser."""
+    rows = mail.document_mails(spark, sf_dir).select(F.col("remote_id").cast("long").alias("id"), "raw")
     return analyse(rows, ("corp.example",))[2]

@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def over(spark: SparkSession, sf_dir: str, texts, note: str = " -- {}", of: str = "customer", key: str = "c_custkey") -> DataFrame:
+    """id, text: each of texts(number below 10, text) once for every row of a table, with the row's key noted at its end; id is key * 10 + number."""
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).cast("string").alias("t")) for i, t in texts])
+    before, after = note.split("{}")
+    rows = table(spark, sf_dir, of).select(key, F.explode(each).alias("x"))
+    return rows.select((F.col(key) * 10 + F.col("x.i")).alias("id"), F.concat("x.t", F.lit(before), F.col(key).cast("string"), F.lit(after)).alias("text"))
+
+
 def level_rank(level: Column) -> Column:
     out = F.lit(None).cast("int")
     for name, rank in LEVEL_RANK.items():

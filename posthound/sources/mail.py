@@ -293,15 +293,23 @@ def _samples() -> list[tuple[str, bytes]]:
     return [("1", m.as_bytes()), ("2", b""), ("3", b"Subject: =?utf-8?q?caf=C3=A9?=\n\nplain\n"), ("4", b"\xff\xfe broken")]
 
 
-@R.add()
+def document_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """remote_id, raw: every document as the text of a plain mail."""
+    k = F.col("doc_id").cast("string")
+    head = F.concat(F.lit("From: Writer <s"), k, F.lit("@Shop.example>\r\nTo: a@corp.example, b"), k, F.lit("@corp.example\r\nSubject: doc "), k, F.lit(" of "), "source", F.lit("\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: 8bit\r\n\r\n"))
+    return src.table(spark, sf_dir, "documents").select(k.alias("remote_id"), F.concat(head, F.coalesce("text", F.lit(""))).cast("binary").alias("raw"))
+
+
+@R.add("SELECT CAST(doc_id AS VARCHAR) AS remote_id, 'doc ' || doc_id || ' of ' || source AS subject, 's' || doc_id || '@shop.example' AS from_addr, 0 AS n_artifacts, 2 AS n_to FROM documents")
 def mime_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_samples(), "remote_id string, raw binary")
-    return parse(rows).select("remote_id", "subject", "from_addr", F.size("artifacts").alias("n_artifacts"), F.size("recipients").alias("n_to"))
+    return parse(document_mails(spark, sf_dir)).select("remote_id", "subject", "from_addr", F.size("artifacts").alias("n_artifacts"), F.size("recipients").alias("n_to"))
 
 
-@R.add("SELECT * FROM (VALUES ('docs.zip', 'archive/zip', 0), ('docs.zip/inner.zip', 'archive/zip', 1), ('docs.zip/inner.zip/run.exe', 'exe/pe', 2), ('docs.zip/note.txt', 'unknown', 1)) t(id, detected_type, depth)")
+@R.add("SELECT n_nationkey, t.id, detected_type, depth FROM nation, (VALUES ('docs.zip', 'archive/zip', 0), ('docs.zip/inner.zip', 'archive/zip', 1), ('docs.zip/inner.zip/run.exe', 'exe/pe', 2), ('docs.zip/note.txt', 'unknown', 1)) t(id, detected_type, depth)")
 def zip_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return artifacts(parse(spark.createDataFrame(_samples(), "remote_id string, raw binary"))).select("id", "detected_type", "depth")
+    """A mail with an archive in an archive, once for every nation."""
+    mails = src.table(spark, sf_dir, "nation").select("n_nationkey", F.lit(bytearray(_samples()[0][1])).alias("raw"))
+    return artifacts(parse(mails, "n_nationkey"), "n_nationkey").select("n_nationkey", "id", "detected_type", "depth")
 
 
 def html_facts(pages: DataFrame, key: str, html: str) -> DataFrame:
