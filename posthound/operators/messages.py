@@ -179,7 +179,7 @@ def header_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SUBJECTS = ("Invoice overdue", "We have a new bank account", "Quick favor", "verify your account", "lunch", "Please: asap", "gift cards")
 _ENDS = (" Please pay immediately", " the password is Zx81!", "", " within 24 hours", " clave: 1234")
 _SAYS = lambda words: f"regexp_matches(t, '(^|[^a-z0-9])({words})([^a-z0-9]|$)')"
-_TURNS = f"""SELECT conv_id * 1000 + turn AS id, lower(regexp_replace({_pick_sql("conv_id", *_SUBJECTS)} || ' ' || coalesce(text, '') || {_pick_sql("turn + conv_id // 7", *_ENDS)}, '[\s\p{{Z}}]+', ' ', 'g')) AS t, turn % 3 AS files, turn % 2 AS risky, conv_id % 2 = 0 AS urls FROM conversations"""
+_TURNS = f"""SELECT conv_id * 1000 + turn AS id, lower(regexp_replace({_pick_sql("conv_id", *_SUBJECTS)} || ' ' || coalesce(text, '') || {_pick_sql("turn + conv_id // 7", *_ENDS)}, '[\\s\\p{{Z}}]+', ' ', 'g')) AS t, turn % 3 AS files, turn % 2 AS risky, conv_id % 2 = 0 AS urls FROM conversations"""
 
 
 @R.add(
