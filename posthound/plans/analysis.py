@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from posthound.functions import urls
-from posthound.operators import anchors, claims, deception, documents, files, messages, scripts, services
+from posthound.operators import anchors, authresults, claims, deception, documents, files, messages, scripts, services
 from posthound.plans.registry import Registry
 from posthound.plans.scoring import ScoreConfig, verdicts
 from posthound.session import written
@@ -130,9 +130,9 @@ def _content(x: Inputs) -> DataFrame:
 
 @analyser("headers", "spoofing")
 def _headers(x: Inputs) -> DataFrame:
-    auth = F.filter("headers", lambda h: F.lower(h["name"]) == "authentication-results")
-    facts = messages.parse_auth(F.coalesce(F.get(auth, F.lit(0))["value"], F.lit("")), x.trusted_servers)
-    heads = x.parsed.select("id", "from_addr", "from_display", "reply_to", F.regexp_replace("return_path", "[<>]", "").alias("return_path"), *[facts[m].alias(m) for m in messages.METHODS], (F.size(auth) > 0).alias("has_auth"), facts["trusted"].alias("trusted_auth"))
+    told = authresults.collected(x.parsed.select("id", F.posexplode("headers").alias("position", "h")).select("id", "position", "h.*"), x.trusted_servers)
+    heads = x.parsed.select("id", "from_addr", "from_display", "reply_to", F.regexp_replace("return_path", "[<>]", "").alias("return_path")).join(told.select("id", "has_auth", "trusted_auth", *messages.METHODS), "id", "left")
+    heads = heads.na.fill("", list(messages.METHODS)).na.fill(False, ["has_auth", "trusted_auth"])
     return messages.header_findings(heads, x.company).withColumnRenamed("id", "mail")
 
 
