@@ -6,8 +6,9 @@ the rules filed under them. Explicit host and path rules go first.
 
 Tokens that lie in the same labelled pages are one item of the mining, named after the one that sorts first: every rule over them
 says the same, and a URL family that shares many tokens does not double the itemsets with each. A page holds an item if it holds one
-of its tokens, so that the pages that rules fit stay the same. Itemsets still grow with the items of different pages that
-meet in `min_support` of them.
+of its tokens, so that the pages that rules fit stay the same. An item that is a rule by itself goes into no longer one: what that would
+block is blocked already, and families of bad words do not double the itemsets either. Itemsets still grow with items that are no
+rule alone and meet in `min_support` of the pages.
 
 Cases: a null url, or one without `://`, has empty host and path and no token, and is allowed; a label row without a page, or
 one whose quality and toxic are both null, trains nothing; repeated pages are judged alike, row by row; empty tables give no rule or no
@@ -50,37 +51,40 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(F.size(labels) > 0, F.array_distinct(F.concat(tagged, F.array(site)))).otherwise(F.array().cast("array<string>"))
 
 
-def merge_equal(labelled: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """labelled(tokens, blocked) over items, and items(token, name): tokens that occur in the same rows are one item.
+def merge_equal(labelled: DataFrame, least: float, min_confidence: float) -> tuple[DataFrame, DataFrame]:
+    """labelled(tokens, blocked) over items that are no rule by themselves, and items(token, name, bad, n, alone): tokens that
+    occur in the same rows are one item, of which n rows, bad of them blocked; alone: enough of those are blocked.
 
     Tokens that fewer than `least` blocked rows hold can be in no rule and go.
     """
     keyed = labelled.select(F.xxhash64(F.array_sort("tokens")).alias("id"), "tokens", "blocked")
-    rows = written(keyed.groupBy("id").agg(F.first("tokens").alias("tokens"), F.count_if("blocked").alias("bad")), "baskets")
+    rows = written(keyed.groupBy("id").agg(F.first("tokens").alias("tokens"), F.count_if("blocked").alias("bad"), F.count(F.lit(1)).alias("n")), "baskets")
     # Two sums over the hashes of a token's rows stand for the set of rows.
     marks = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in range(2)]
-    held = written(rows.select("id", "bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("bad").alias("bad"), *marks).filter(F.col("bad") >= least), "frequent")
+    held = written(rows.select("id", "bad", "n", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"), *marks).filter(F.col("bad") >= least), "frequent")
     names = held.groupBy("s0", "s1").agg(F.min("token").alias("name"))
-    items = written(held.join(names, ["s0", "s1"]).select("token", "name"), "items")
-    kept = rows.select("id", F.explode("tokens").alias("token")).join(sized(items), "token").groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("tokens"))
+    items = written(held.join(names, ["s0", "s1"]).select("token", "name", "bad", "n", (F.col("bad") / F.col("n") >= min_confidence).alias("alone")), "items")
+    kept = rows.select("id", F.explode("tokens").alias("token")).join(sized(items.filter("not alone").select("token", "name")), "token").groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("tokens"))
     return keyed.select("id", "blocked").join(kept, "id", "left").select(F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), "blocked"), items
 
 
 def mine(labelled: DataFrame, min_support: float, min_rows: int, min_confidence: float) -> tuple[DataFrame, DataFrame]:
     """rule(key, tokens, confidence, support) over items, and items(token, name), from labelled(tokens, blocked); support: at least
-    min_support and min_rows rows."""
+    min_support and min_rows rows. No rule holds an item that is a rule by itself."""
     spark = labelled.sparkSession
     n = labelled.count()
     if not n:
         return spark.createDataFrame([], "key string, tokens array<string>, confidence double, support double"), spark.createDataFrame([], "token string, name string")
     least = min(1.0, max(min_support, min_rows / n))
-    labelled, items = merge_equal(labelled, least * n)
+    labelled, items = merge_equal(labelled, least * n, min_confidence)
+    single = items.filter("alone").groupBy("name").agg(F.first("bad").alias("bad"), F.first("n").alias("n"))
+    single = single.select(F.col("name").alias("key"), F.array("name").alias("tokens"), (F.col("bad") / F.col("n")).alias("confidence"), (F.col("bad") / F.lit(n)).alias("support"))
     baskets = labelled.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCKED)))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     counts = labelled.select(F.explode("tokens").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     filed = rules.select("*", F.explode("tokens").alias("key")).join(counts, "key").groupBy("tokens").agg(F.min(F.struct("n", "key")).alias("m"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
-    return filed.select(F.col("m.key").alias("key"), "tokens", "confidence", "support"), items
+    return single.unionByName(filed.select(F.col("m.key").alias("key"), "tokens", "confidence", "support")), items.select("token", "name")
 
 
 def explicit_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:

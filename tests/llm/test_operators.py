@@ -750,6 +750,25 @@ def test_families_of_many_shared_words_are_mined_fast_and_by_any_word(spark):
     assert verdict[402] == "allow" and verdict[None] == "block"
 
 
+def test_overlapping_families_of_bad_words_do_not_double_the_itemsets(spark):
+    rng = random.Random(5)
+    family = [f"word{chr(97 + i)}" for i in range(18)]
+    chosen = [[w for w in family if rng.random() < 0.7] for _ in range(400)] + [[] for _ in range(400)]
+    urls = [f"http://{'spam' if ws else 'fine'}.io/{'/'.join(ws)}/{i}" for i, ws in enumerate(chosen)]
+    bad = [bool(ws) and rng.random() < 0.95 for ws in chosen]
+    labels = spark.createDataFrame([(i, 0 if b else 1, 0) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    host, path = urlrules.host_path(F.col("url"))
+    labelled = pages_of(spark, urls).join(labels.withColumnRenamed("doc_id", "page_id"), "page_id").select(urlrules.tokens(F.col("url"), host, path).alias("tokens"), (F.col("quality") == 0).alias("blocked"))
+    rules, _ = urlrules.mine(labelled, 0.002, 10, 0.8)
+    rules = {tuple(r.tokens): (r.confidence, r.support) for r in rules.collect()}
+    n = [sum(w in ws for ws in chosen) for w in family]
+    hit = [sum(b and w in ws for ws, b in zip(chosen, bad)) for w in family]
+    assert all(rules[(f"path={w}",)] == (h / m, h / 800) for w, h, m in zip(family, hit, n))
+    assert all(len(r) == 1 for r in rules)
+    got = {r.page_id: r.verdict for r in urlrules.judge(pages_of(spark, urls), labels).collect()}
+    assert got == {i: "block" if ws else "allow" for i, ws in enumerate(chosen)}
+
+
 # --- 10 shards -------------------------------------------------------------------------------------------------------------------
 
 
