@@ -11,6 +11,7 @@ from posthound.functions import urls
 from posthound.operators import deception
 from posthound.operators.messages import FREEMAIL, domain_of
 from posthound.plans.registry import Registry
+from posthound.session import written
 from posthound.sources import adapters as src
 
 R = Registry()
@@ -34,6 +35,20 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("rule").agg(F.max(F.struct("file", *rest)).alias("r")).select("rule", *[f"r.{c}" for c in rest])
 
 
+def rule_problems(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, problem: what `read_rules` leaves out, so that no rule is lost unseen: lines that are no rule as JSON, rules
+    without a name or a pattern, and those that a later file replaces."""
+    schema = f"{RULE_COLUMNS}, _corrupt_record string"
+    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    rest = [c.split(" ")[0] for c in RULE_COLUMNS.split(", ")]
+    rows = written(rows.select("*", F.col("_metadata.file_name").alias("file")), "rule-lines")
+    bad = F.when(F.col("_corrupt_record").isNotNull(), "unreadable").when(F.col("rule").isNull(), "no name").when(~F.coalesce(F.size("patterns") > 0, F.lit(False)), "no pattern")
+    told = rows.select("file", "rule", F.coalesce("_corrupt_record", F.to_json(F.struct(*rest))).alias("line"), bad.alias("problem"))
+    last = told.filter("problem is null").groupBy("rule").agg(F.max("file").alias("last"))
+    replaced = told.filter("problem is null").join(last, "rule").filter("file < last").select("file", "line", F.concat(F.lit("replaced by "), "last").alias("problem"))
+    return told.filter("problem is not null").select("file", "line", "problem").unionByName(replaced)
+
+
 def bounded_rules(rules: DataFrame, most: int = MOST_RULES) -> list[Row]:
     """The rules by name; more than `most` are an error."""
     held = rules.orderBy("rule").limit(most + 1).collect()
