@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ DEPTH, CHARS, KEY_CHARS, MEMBERS, ITEMS, WHOLE = 6, 2000, 200, 100, 200, 64_000
 CUT = "…"
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once a row."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _quoted(text: Column) -> Column:
     """text as a JSON string: that of a list of one, without its brackets."""
     listed = F.to_json(F.array(text))
@@ -59,12 +66,14 @@ def bounded(text: Column, depth: int = DEPTH, chars: int = CHARS, key_chars: int
     most 50 keys of the root. Null stays null; text that is no JSON (or repeats a key in one object) becomes a JSON string of it.
     The expression grows with the depth, not with what is nested; nothing leaves the JVM.
     """
-    v = F.try_parse_json(text)
-    out = _bounded(v, depth, chars, key_chars, members, items)
-    keys = F.transform(F.slice(F.coalesce(_as_object(v), F.array().cast("array<struct<key:string,value:variant>>")), 1, 50), lambda e: _short_key(e["key"], 100))
-    short = F.when(F.length(out) > whole, F.to_json(F.struct(F.lit(True).alias("_truncated"), keys.alias("keys")))).otherwise(out)
     plain = _quoted(F.when(F.length(text) > chars, F.concat(F.substring(text, 1, chars), F.lit(CUT))).otherwise(text))
-    return F.when(text.isNull(), F.lit(None)).when(v.isNull(), plain).otherwise(short)
+
+    def short(x: Column) -> Column:
+        keys = F.transform(F.slice(F.coalesce(_as_object(x["v"]), F.array().cast("array<struct<key:string,value:variant>>")), 1, 50), lambda e: _short_key(e["key"], 100))
+        return F.when(x["v"].isNull(), plain).when(F.length(x["out"]) > whole, F.to_json(F.struct(F.lit(True).alias("_truncated"), keys.alias("keys")))).otherwise(x["out"])
+
+    parsed = _once(F.try_parse_json(text), lambda v: F.struct(v.alias("v"), _bounded(v, depth, chars, key_chars, members, items).alias("out")))
+    return F.when(text.isNotNull(), _once(parsed, short))
 
 
 _LEAVES = "array<struct<path:string,kind:string,value:string>>"
