@@ -45,11 +45,12 @@ def parsed(headers: DataFrame) -> DataFrame:
     rows = rows.withColumn("instance", F.when(chain, F.regexp_extract("t", step, 1).try_cast("int"))).withColumn("t", F.when(chain, F.regexp_replace("t", step, "")).otherwise(F.col("t")))
     t, first = F.col("t"), F.split("t", ";")[0]
     server = F.lower(F.regexp_extract(first, r"^\s*(\S+)", 1))
-    signatures = F.filter(F.split(t, ";"), lambda s: _said(s, "dkim").isNotNull())
-    results = F.transform(signatures, lambda s: _said(s, "dkim"))
-    dkim = F.when(F.array_contains(results, "pass"), "pass").when(F.array_contains(results, "fail"), "fail").otherwise(F.get(results, F.lit(0)))
     domain = lambda s: F.coalesce(_said(s, r"header\.d"), F.substring_index(_said(s, r"header\.i"), "@", -1))
-    domains = F.array_distinct(F.filter(F.transform(signatures, domain), lambda d: d.isNotNull() & (d != "")))
+    mentions = F.filter(F.split(t, ";"), lambda s: F.lower(s).contains("dkim"))
+    rows = rows.withColumn("signed", F.filter(F.transform(mentions, lambda s: F.struct(_said(s, "dkim").alias("result"), domain(s).alias("domain"))), lambda x: x["result"].isNotNull()))
+    results = F.col("signed.result")
+    dkim = F.when(F.array_contains(results, "pass"), "pass").when(F.array_contains(results, "fail"), "fail").otherwise(F.get(results, F.lit(0)))
+    domains = F.array_distinct(F.filter(F.col("signed.domain"), lambda d: d.isNotNull() & (d != "")))
     action = F.coalesce(_said(t, "action"), _said(t, r"policy\.applied-disposition"))
     policy = F.when(action.isin("none", "quarantine", "reject"), action).when(action.isin("oreject", "pct.reject"), "reject").when(action == "pct.quarantine", "quarantine")
     published = F.lower(F.regexp_extract("raw", r"(?i)(?:^|[\s(;])p\s*=\s*(none|quarantine|reject)\b", 1))
@@ -94,6 +95,30 @@ def merged(rows: DataFrame) -> DataFrame:
     return grouped.agg(F.min("position").alias("position"), F.max("instance").alias("instance"), F.first("authserv").alias("authserv"), *facts, domains).drop("_key", "_run")
 
 
+def collected_each(headers: DataFrame, policies: dict[str, tuple[str, ...]]) -> DataFrame:
+    """One row per message with any authentication header and per policy: id, policy_name and what `collected` gives for the servers it names.
+
+    Headers are read, shuffled and merged once; the policies differ in one aggregation only.
+    """
+    rows = merged(parsed(headers))
+    here, own = F.col("position"), [c for c in ("of", "authserv", *FACTS, "domains")]
+    chain = F.struct(F.lit(1).alias("a"), (-F.coalesce("instance", F.lit(0))).alias("b"), here.alias("c"))
+    topmost = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), here.alias("c"))
+    anyone = F.when(F.col("of") == "result", topmost).when(F.col("of") == "chain", chain)
+    best = []
+    for i, trusted in enumerate(policies.values()):
+        named = (F.col("of") != "spf") & is_trusted(F.col("authserv"), trusted)
+        best.append(F.min_by(F.struct(*own, named.alias("named")), F.when(named, topmost) if trusted else anyone).alias(f"x{i}"))
+    rest = F.min_by("spf", F.when(F.col("of") == "spf", here)).alias("received")
+    one = rows.groupBy("id").agg(*best, F.bool_or(F.col("of") != "spf").alias("has_auth"), rest)
+    each = F.array(*[F.struct(F.lit(name).alias("policy_name"), F.lit(bool(trusted)).alias("strict"), F.col(f"x{i}").alias("x")) for i, (name, trusted) in enumerate(policies.items())])
+    one = one.select("id", "has_auth", "received", F.inline(each))
+    spf = F.coalesce("x.spf", F.when(~F.col("strict"), F.col("received")))
+    of = F.coalesce("x.of", F.when(~F.col("strict") & F.col("received").isNotNull(), "spf"))
+    told = [F.coalesce(spf if c == "spf" else F.col(f"x.{c}"), F.lit("")).alias(c) for c in FACTS]
+    return one.select("id", "policy_name", F.coalesce(of, F.lit("")).alias("of"), F.coalesce("x.authserv", F.lit("")).alias("authserv"), "has_auth", F.coalesce("x.named", F.lit(False)).alias("trusted_auth"), *told, F.coalesce("x.domains", F.array().cast("array<string>")).alias("domains"))
+
+
 def collected(headers: DataFrame, trusted: tuple[str, ...] = ()) -> DataFrame:
     """One row per message with any authentication header: of, authserv, has_auth, trusted_auth and the facts that count ('' if absent).
 
@@ -101,20 +126,7 @@ def collected(headers: DataFrame, trusted: tuple[str, ...] = ()) -> DataFrame:
     result or chain that one of them wrote counts, else nothing does. With none named, the topmost result counts; without one
     the chain of the greatest instance; spf falls back on the topmost Received-SPF. trusted_auth is true for named servers only.
     """
-    rows = merged(parsed(headers)).withColumn("named", (F.col("of") != "spf") & is_trusted(F.col("authserv"), trusted))
-    here, own = F.col("position"), [c for c in ("of", "authserv", *FACTS, "domains")]
-    if trusted:
-        place = F.when(F.col("named"), F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), here.alias("c")))
-    else:
-        chain = F.struct(F.lit(1).alias("a"), (-F.coalesce("instance", F.lit(0))).alias("b"), here.alias("c"))
-        place = F.when(F.col("of") == "result", F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), here.alias("c"))).when(F.col("of") == "chain", chain)
-    best = F.min_by(F.struct(*own, "named"), place).alias("x")
-    rest = F.min_by("spf", F.when(F.col("of") == "spf", here)).alias("received")
-    one = rows.groupBy("id").agg(best, F.bool_or(F.col("of") != "spf").alias("has_auth"), rest)
-    spf = F.col("x.spf") if trusted else F.coalesce("x.spf", "received")
-    of = F.col("x.of") if trusted else F.coalesce("x.of", F.when(F.col("received").isNotNull(), "spf"))
-    told = [F.coalesce(spf if c == "spf" else F.col(f"x.{c}"), F.lit("")).alias(c) for c in FACTS]
-    return one.select("id", F.coalesce(of, F.lit("")).alias("of"), F.coalesce("x.authserv", F.lit("")).alias("authserv"), "has_auth", F.coalesce("x.named", F.lit(False)).alias("trusted_auth"), *told, F.coalesce("x.domains", F.array().cast("array<string>")).alias("domains"))
+    return collected_each(headers, {"": trusted}).drop("policy_name")
 
 
 _NAMES, _SIGNED = ("Authentication-Results", "authentication-results", "Authentication-Results", "ARC-Authentication-Results", "Received-SPF"), ("pass", "fail", "none", "")
@@ -150,5 +162,5 @@ def auth_collected(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.concat_ws("; ", F.when(chain, F.concat(F.lit("i="), "i")), F.when(F.col("authserv") != "", F.col("authserv")), said("spf", "spf", F.lit(" smtp.mailfrom=x")), *signed, dmarc, said("compauth", "compauth"))
     value = F.when(received, F.concat(F.initcap("spf"), F.lit(" (mx: spf=pass) client-ip=1"))).otherwise(value)
     headers = rows.select("id", "position", "name", value.alias("value"))
-    out = [collected(headers, t).select("id", F.lit(mode).alias("mode"), "of", "authserv", "has_auth", "trusted_auth", *METHODS, "policy", F.size("domains").alias("n_domains")) for mode, t in (("named", ("*.corp.example",)), ("any", ()))]
-    return out[0].unionByName(out[1])
+    out = collected_each(headers, {"named": ("*.corp.example",), "any": ()})
+    return out.select("id", F.col("policy_name").alias("mode"), "of", "authserv", "has_auth", "trusted_auth", *METHODS, "policy", F.size("domains").alias("n_domains"))

@@ -59,3 +59,20 @@ def test_a_message_counts_only_what_a_named_server_says(spark):
     found, errors = analysis.run_analysers(inputs, {"headers": analysis.ANALYSERS["headers"]})
     assert errors.count() == 0
     assert {(r.analysis_id, r.rule) for r in found.collect()} == {(1, "headers.own_domain_spoof"), (2, "headers.no_auth_results")}
+
+
+def test_policies_in_one_pass_equal_each_by_itself(spark):
+    headers = [(AR, "mx.corp.example; spf=fail; dkim=pass header.d=a.example"), ("Received-SPF", "Pass (x)"), (AR, "mx2.other.example; dmarc=pass action=none"), (ARC, "i=1; mx.corp.example; dkim=fail header.i=@b.example")]
+    rows = [(i, p, *headers[(i + p * (i + 1)) % 4]) for i in range(12) for p in range(i % 4 + 1)]
+    df = spark.createDataFrame(rows, "id int, position int, name string, value string")
+    policies = {"none": (), "corp": ("*.corp.example",), "other": ("mx2.other.example",), "nobody": ("x.example",)}
+    each = {(r.policy_name, r.id): tuple(r[2:]) for r in authresults.collected_each(df, policies).collect()}
+    assert len(each) == 12 * len(policies)
+    for name, trusted in policies.items():
+        assert {r.id: tuple(r[1:]) for r in authresults.collected(df, trusted).collect()} == {i: v for (n, i), v in each.items() if n == name}
+    assert not any(v[3] for (n, _), v in each.items() if n in ("none", "nobody")) and any(v[3] for (n, _), v in each.items() if n == "corp")
+
+
+def test_words_that_only_mention_a_signature_are_none(spark):
+    r = told(spark, {1: [(AR, "mx.a; DKIM/1=Pass header.d=a.example; xdkim=fail; reason=dkim; dkim= ")], 2: [(AR, "mx.a; adkim=pass header.d=z.example")]})
+    assert (r[1].dkim, r[1].domains, r[2].dkim, r[2].domains) == ("pass", ["a.example"], "", [])
