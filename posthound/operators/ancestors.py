@@ -21,9 +21,10 @@ def roots(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", most
     their root take no further part; once a round moves nobody to a root, and 2**k has passed the number of open nodes, those
     left are on cycles or below them.
     """
-    own = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"))
-    linked = own.join(own.select(F.col("id").alias("parent")), "parent", "left_semi")
-    solved = written(own.join(linked.select("id"), "id", "left_anti").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth")), "roots")
+    own = written(nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent")), "nodes")
+    # No side is broadcast: files of millions of ids are small enough to be taken for few rows.
+    linked = own.hint("merge").join(own.select(F.col("id").alias("parent")), "parent", "left_semi")
+    solved = written(own.hint("merge").join(linked.select("id"), "id", "left_anti").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth")), "roots")
     open_ = written(linked.select("id", F.col("parent").alias("to"), F.lit(1).cast("long").alias("steps"), F.col("parent").alias("least")), "pointers")
     reach = 1
     for _ in range(most):
@@ -31,11 +32,11 @@ def roots(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", most
         if not left:
             break
         ends = solved.select(F.col("id").alias("to"), "root", "depth")
-        ended = written(open_.join(ends, "to").select("id", "root", (F.col("steps") + F.col("depth")).alias("depth")), "roots")
+        ended = written(open_.hint("merge").join(ends, "to").select("id", "root", (F.col("steps") + F.col("depth")).alias("depth")), "roots")
         if reach > left and not ended.limit(1).count():
             break
         ahead = open_.select(F.col("id").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more"), F.col("least").alias("low"))
-        jumped = open_.join(ended.select("id"), "id", "left_anti").join(ahead, "to")
+        jumped = open_.hint("merge").join(ended.select("id"), "id", "left_anti").hint("merge").join(ahead, "to")
         open_ = written(jumped.select("id", F.col("far").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.least("least", "low").alias("least")), "pointers")
         solved, reach = solved.unionByName(ended), reach * 2
     else:
@@ -45,7 +46,7 @@ def roots(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent", most
     # of one, and the least id that such an end has passed is its cycle's.
     low = open_.select(F.col("id").alias("to"), F.col("least").alias("root"))
     on = open_.select(F.col("to").alias("id"), F.lit(True).alias("on")).distinct()
-    stuck = open_.join(low, "to").select("id", "root").join(on, "id", "left")
+    stuck = open_.hint("merge").join(low, "to").select("id", "root").hint("merge").join(on, "id", "left")
     return out.unionByName(stuck.select("id", "root", F.lit(None).cast("long").alias("depth"), F.coalesce("on", F.lit(False)).alias("in_cycle")))
 
 

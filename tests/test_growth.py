@@ -1,7 +1,5 @@
 """What must not grow faster than the input: candidates of rule tables, broadcasts, batches, tasks."""
 
-import re
-
 from pyspark.sql import functions as F
 
 from posthound.operators import anchors, claims
