@@ -84,21 +84,32 @@ def marked(style: Style, longest: int) -> Column:
     return F.when(F.col("kind") == "title", title).when(F.col("kind") == "code", F.concat(label, F.lit(style.code[0]), code, F.lit(style.code[1]))).otherwise(F.concat(label, escape(plain)))
 
 
-def fitted(lines: DataFrame, style: Style, limit: int, longest: int = 200) -> DataFrame:
-    """analysis_id, text, dropped: the lines of each alert in order, as many of the weightiest as the limit takes, never part of one.
+def fitted_all(lines: DataFrame, styles: dict[str, Style], limit: int, longest: int = 200) -> DataFrame:
+    """analysis_id, style, text, dropped: the lines of each alert in order, as many of the weightiest as the limit takes, never part of one.
 
     If any is left out the last line tells how many. Markup is never cut, as whole lines go. A limit in which the first line
-    could not fit whatever it says is an error.
+    could not fit whatever it says is an error. Lines are read, dealt and sorted once for all styles.
     """
     if limit < longest * 6 + 64:
         raise ValueError(f"a limit of {limit} is too small for lines of {longest}")
-    size = style.length(F.col("line")) + 1
     whole = W.partitionBy("analysis_id")
-    rows = lines.withColumn("line", marked(style, longest)).withColumns({"upto": F.sum(size).over(whole.orderBy("weight", "place", "line").rowsBetween(W.unboundedPreceding, 0)), "all": F.sum(size).over(whole)})
-    keep = (F.col("all") - 1 <= limit) | (F.col("upto") + NOTE <= limit)
-    one = rows.groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.when(keep, F.struct("place", "line")))).alias("kept"), F.count_if(~keep).cast("int").alias("dropped"))
+    upto = whole.orderBy("weight", "place", "kind", "label", "text").rowsBetween(W.unboundedPreceding, 0)
+    rows = lines.withColumns({f"line_{i}": marked(style, longest) for i, style in enumerate(styles.values())})
+    rows = rows.withColumns({f"size_{i}": style.length(F.col(f"line_{i}")) + 1 for i, style in enumerate(styles.values())})
+    rows = rows.withColumns({f"upto_{i}": F.sum(f"size_{i}").over(upto) for i in range(len(styles))}).withColumns({f"all_{i}": F.sum(f"size_{i}").over(whole) for i in range(len(styles))})
+    each = []
+    for i, name in enumerate(styles):
+        keep = (F.col(f"all_{i}") - 1 <= limit) | (F.col(f"upto_{i}") + NOTE <= limit)
+        kept = F.array_sort(F.collect_list(F.when(keep, F.struct("place", F.col(f"line_{i}").alias("line")))))
+        each.append(F.struct(F.lit(name).alias("style"), kept.alias("kept"), F.count_if(~keep).cast("int").alias("dropped")))
+    one = rows.groupBy("analysis_id").agg(F.array(*each).alias("each")).select("analysis_id", F.inline("each"))
     note = F.when(F.col("dropped") > 0, F.concat(F.lit("\n… and "), F.col("dropped").cast("string"), F.lit(" more"))).otherwise("")
-    return one.select("analysis_id", F.concat(F.array_join(F.transform("kept", lambda x: x["line"]), "\n"), note).alias("text"), "dropped")
+    return one.select("analysis_id", "style", F.concat(F.array_join(F.transform("kept", lambda x: x["line"]), "\n"), note).alias("text"), "dropped")
+
+
+def fitted(lines: DataFrame, style: Style, limit: int, longest: int = 200) -> DataFrame:
+    """analysis_id, text, dropped: fitted_all() for one style."""
+    return fitted_all(lines, {"": style}, limit, longest).drop("style")
 
 
 def _marked_sql(bold: str, end: str, code: str, code_end: str, escape: str) -> str:
@@ -130,8 +141,4 @@ def alert_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every malicious mail's alert in four styles, each fitted to 450 characters."""
     mails = src.mails(spark, sf_dir).filter("level = 'malicious'")
     lines = alert_lines(mails, src.findings(spark, sf_dir), src.artifacts(spark, sf_dir))
-    out = None
-    for name, style in STYLES.items():
-        one = fitted(lines, style, 450, 64).withColumn("style", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return fitted_all(lines, STYLES, 450, 64)
