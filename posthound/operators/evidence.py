@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from posthound.plans.registry import Registry
+from posthound.session import spread
 from posthound.sources import adapters as src
 
 R = Registry()
@@ -103,6 +105,18 @@ def leaves(rows: DataFrame, key: str, text: str, depth: int = DEPTH) -> DataFram
     return found.select(key, "leaf.*")
 
 
+def path_counts(found: DataFrame, key: str) -> DataFrame:
+    """path, kind, n, n_events, n_values, least of found(key, path, kind, value): leaves, different keys, different values, the least value.
+
+    Where found is dealt by key, only counts per value leave a task: each key is counted with one of its values of a path.
+    """
+    own = W.partitionBy(key, "path", "kind").orderBy("value")
+    once = found.groupBy(key, "path", "kind", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.row_number().over(own))
+    # A null key is no key, as in count(distinct).
+    per_value = once.groupBy("path", "kind", "value").agg(F.sum("n").alias("n"), F.count_if((F.col("k") == 1) & F.col(key).isNotNull()).alias("e"))
+    return per_value.groupBy("path", "kind").agg(F.sum("n").alias("n"), F.sum("e").alias("n_events"), F.count("value").alias("n_values"), F.min("value").alias("least"))
+
+
 _DOC_BOUNDS = {"depth": 3, "chars": 60, "members": 5, "items": 12, "whole": 260}
 
 
@@ -133,6 +147,6 @@ def evidence_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What evidence holds: per path and kind the leaves, the events and the different values."""
     rest = F.to_json(F.struct(F.struct(F.col("user_id").alias("user")).alias("at"), (F.col("user_id") % 2 == 0).alias("is late"), F.array("event_type", F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string"))).alias("tags"), F.array().cast("array<string>").alias("none")))
     joined = F.concat(F.expr("substring(rest, 1, length(rest) - 1)"), F.lit(',"props":'), "props", F.lit("}"))
-    rows = src.table(spark, sf_dir, "events").withColumn("rest", rest).select("event_id", joined.alias("evidence"))
-    found = leaves(rows, "event_id", "evidence")
-    return found.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("n_events"), F.count_distinct("value").alias("n_values"), F.min("value").alias("least"))
+    events = spread(src.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props"), 150_000, "event_id")
+    rows = events.withColumn("rest", rest).select("event_id", joined.alias("evidence"))
+    return path_counts(leaves(rows, "event_id", "evidence"), "event_id")
