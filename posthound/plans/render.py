@@ -73,10 +73,14 @@ def alert_lines(mails: DataFrame, findings: DataFrame, artifacts: DataFrame, top
     return out.unionByName(told).unionByName(files.select("analysis_id", F.inline(F.array(named, hashed)))).select(*LINE)
 
 
-def marked(style: Style, longest: int) -> Column:
-    """A line of kind title, fact or code in the style's markup; its text on one line and at most `longest` code points before escapes."""
+def one_line(longest: int) -> Column:
+    """The text of a line without breaks, at most `longest` code points."""
+    return clip(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), longest)
+
+
+def marked(style: Style, plain: Column) -> Column:
+    """A line of kind title, fact or code and its one_line() in the style's markup."""
     escape = _replaced(style.escaped)
-    plain = clip(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), longest)
     code = F.replace(plain, F.lit("`"), F.lit("'"))
     code = _replaced(_ENTITIES)(code) if style.escaped == _ENTITIES else code
     bold = lambda c: F.concat(F.lit(style.bold[0]), c, F.lit(style.bold[1]))
@@ -94,13 +98,14 @@ def fitted_all(lines: DataFrame, styles: dict[str, Style], limit: int, longest:
         raise ValueError(f"a limit of {limit} is too small for lines of {longest}")
     whole = W.partitionBy("analysis_id")
     upto = whole.orderBy("weight", "place", "kind", "label", "text").rowsBetween(W.unboundedPreceding, 0)
-    rows = lines.withColumns({f"line_{i}": marked(style, longest) for i, style in enumerate(styles.values())})
+    rows = lines.withColumn("text", one_line(longest))
+    rows = rows.withColumns({f"line_{i}": marked(style, F.col("text")) for i, style in enumerate(styles.values())})
     rows = rows.withColumns({f"size_{i}": style.length(F.col(f"line_{i}")) + 1 for i, style in enumerate(styles.values())})
     rows = rows.withColumns({f"upto_{i}": F.sum(f"size_{i}").over(upto) for i in range(len(styles))}).withColumns({f"all_{i}": F.sum(f"size_{i}").over(whole) for i in range(len(styles))})
     each = []
     for i, name in enumerate(styles):
         keep = (F.col(f"all_{i}") - 1 <= limit) | (F.col(f"upto_{i}") + NOTE <= limit)
-        kept = F.array_sort(F.collect_list(F.when(keep, F.struct("place", F.col(f"line_{i}").alias("line")))))
+        kept = F.sort_array(F.collect_list(F.when(keep, F.struct("place", F.col(f"line_{i}").alias("line")))))
         each.append(F.struct(F.lit(name).alias("style"), kept.alias("kept"), F.count_if(~keep).cast("int").alias("dropped")))
     one = rows.groupBy("analysis_id").agg(F.array(*each).alias("each")).select("analysis_id", F.inline("each"))
     note = F.when(F.col("dropped") > 0, F.concat(F.lit("\n… and "), F.col("dropped").cast("string"), F.lit(" more"))).otherwise("")
