@@ -104,8 +104,9 @@ def _literals(patterns: pd.Series) -> pd.DataFrame:
         ((_, h),) = window_hashes(np.frombuffer(raw[:n], np.uint8).astype(np.uint64), (n,))
         return held, n, int(h.view(np.int64)[0])
 
-    out = pd.DataFrame([one(p) for p in patterns], columns=["literal", "length", "hash"])
-    return out.astype({"length": "Int32", "hash": "Int64"})
+    held, n, h = zip(*[one(p) for p in patterns], strict=True) if len(patterns) else ((), (), ())
+    # By column: hashes beside nulls would become floating-point numbers.
+    return pd.DataFrame({"literal": pd.Series(held, dtype="object"), "length": pd.Series(n, dtype="Int32"), "hash": pd.Series(h, dtype="Int64")})
 
 
 def index(rules: DataFrame) -> DataFrame:
