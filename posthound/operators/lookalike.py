@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posthound.functions.urls import registrable
+from posthound.functions.urls import once, registrable
 from posthound.plans.registry import Registry
 
 R = Registry()
@@ -28,27 +28,31 @@ def osa_distance(a: Column, b: Column, limit: int = 3) -> Column:
     A dynamic programme over arrays: two rows are carried, since a swap looks back by two.
     """
     chars = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
-    x, y = chars(a), chars(b)
-    start = F.sequence(F.lit(0), F.length(b))
 
-    def row(acc: Column, i: Column) -> Column:
-        prev, prev2 = acc["one"], acc["two"]
-        cx = F.element_at(x, i)
+    def distance(v: Column) -> Column:
+        x, y, m, n = v["x"], v["y"], v["m"], v["n"]
+        start = F.sequence(F.lit(0), n)
 
-        def cell(r: Column, j: Column) -> Column:
-            cy = F.element_at(y, j)
-            cost = F.when(cx == cy, 0).otherwise(1)
-            best = F.least(F.element_at(r, -1) + 1, F.element_at(prev, j + 1) + 1, F.element_at(prev, j) + cost)
-            swap = (i > 1) & (j > 1) & (cx == F.get(y, j - 2)) & (F.get(x, i - 2) == cy)
-            return F.concat(r, F.array(F.when(swap, F.least(best, F.get(prev2, j - 2) + 1)).otherwise(best)))
+        def row(acc: Column, i: Column) -> Column:
+            prev, prev2 = acc["one"], acc["two"]
+            cx = F.element_at(x, i)
 
-        new = F.when(F.length(b) > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(b), F.lit(1))), F.array(i), cell)).otherwise(F.array(i))
-        return F.struct(new.alias("one"), prev.alias("two"))
+            def cell(r: Column, j: Column) -> Column:
+                cy = F.element_at(y, j)
+                cost = F.when(cx == cy, 0).otherwise(1)
+                best = F.least(F.element_at(r, -1) + 1, F.element_at(prev, j + 1) + 1, F.element_at(prev, j) + cost)
+                swap = (i > 1) & (j > 1) & (cx == F.get(y, j - 2)) & (F.get(x, i - 2) == cy)
+                return F.concat(r, F.array(F.when(swap, F.least(best, F.get(prev2, j - 2) + 1)).otherwise(best)))
 
-    full = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), F.struct(start.alias("one"), start.alias("two")), row, lambda acc: F.element_at(acc["one"], -1))
-    whole = F.when(F.length(a) == 0, F.length(b)).otherwise(full)
-    # One swap is two plain edits, so a plain distance beyond twice the limit settles it cheaply.
-    return F.when(F.levenshtein(a, b) > 2 * limit, F.lit(limit + 1)).otherwise(F.least(whole, F.lit(limit + 1)))
+            new = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.array(i), cell)).otherwise(F.array(i))
+            return F.struct(new.alias("one"), prev.alias("two"))
+
+        full = F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), F.struct(start.alias("one"), start.alias("two")), row, lambda acc: F.element_at(acc["one"], -1))
+        return F.least(F.when(m == 0, n).otherwise(full), F.lit(limit + 1))
+
+    # One swap is two plain edits, so a plain distance beyond twice the limit settles it cheaply. Characters are cut once, not once a cell.
+    cut = F.struct(chars(a).alias("x"), chars(b).alias("y"), F.length(a).alias("m"), F.length(b).alias("n"))
+    return F.when(F.levenshtein(a, b) > 2 * limit, F.lit(limit + 1)).otherwise(once(cut, distance))
 
 
 def lookalike_kind(host: Column, targets: tuple[str, ...]) -> Column:
@@ -68,7 +72,7 @@ def lookalike_kind(host: Column, targets: tuple[str, ...]) -> Column:
         kind = (
             F.when(name == own, "tld_swap")
             .when(skeleton(name) == skeleton(F.lit(own)), "homoglyph")
-            .when((osa_distance(name, F.lit(own), 2) <= reach) if reach else F.lit(False), "typo")
+            .when((osa_distance(name, F.lit(own), reach) <= reach) if reach else F.lit(False), "typo")
             .when(affix, "affix")
             .when(F.concat(F.lit("."), host).contains(f".{t}."), "subdomain")
         )

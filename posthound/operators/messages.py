@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from posthound.operators.files import told
 from posthound.operators.lookalike import lookalike_kind
 from posthound.plans.registry import Registry
+from posthound.session import small_batches
 from posthound.sources import adapters as src
 
 R = Registry()
@@ -40,10 +46,11 @@ def _found(cond: Column, rule: str, severity: int, score: int, category: str = "
 
 def header_findings(rows: DataFrame, company: tuple[str, ...]) -> DataFrame:
     """id, rule, severity, score, category of rows(id, from_addr, from_display, reply_to, return_path, spf, dkim, dmarc, compauth, has_auth, trusted_auth)."""
-    sender, reply, path = domain_of(F.col("from_addr")), domain_of(F.col("reply_to")), domain_of(F.col("return_path"))
     c = F.col
     display = F.lower(F.coalesce("from_display", F.lit("")))
-    shown = F.regexp_extract(display, r"([a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,})", 1)
+    # Each step by itself, so that none is worked out anew for every rule.
+    rows = rows.withColumns({"_sender": domain_of(c("from_addr")), "_reply": domain_of(c("reply_to")), "_path": domain_of(c("return_path")), "_shown": F.regexp_extract(display, r"([a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,})", 1)})
+    sender, reply, path, shown = c("_sender"), c("_reply"), c("_path"), c("_shown")
     own = sender.isin(*company)
     unsure = c("dmarc").isin("none", "", "temperror", "permerror") & c("spf").isin("fail", "softfail") & (c("dkim") != "pass")
     spoof = own & ((c("dmarc") == "fail") | unsure)
@@ -65,8 +72,8 @@ def header_findings(rows: DataFrame, company: tuple[str, ...]) -> DataFrame:
         _found((path != "") & (path != sender) & ~passed, "headers.return_path_mismatch", 1, 10),
         _found(~own & (kind(sender).isNotNull() | (~reply.isin(*company) & kind(reply).isNotNull())), "headers.lookalike_domain", 3, 70),
     ]
-    hits = F.filter(F.array(*found), lambda x: x.isNotNull())
-    return rows.select("id", F.explode(hits).alias("f")).select("id", "f.*")
+    # explode_outer of a plain array, as in files.told.
+    return rows.select("id", F.explode_outer(F.array(*found)).alias("f")).filter("f is not null").select("id", "f.*")
 
 
 #: Wording that the content rules look for; alternatives of one regular expression each.
@@ -77,6 +84,7 @@ BANK_CHANGE = r"(?:new|changed|updated) bank (?:account|details)|change of bank"
 PRETEXT = r"are you at your desk|quick favou?r|confidential matter|wire transfer"
 GIFT = r"gift cards?|itunes card|steam card"
 PASSWORD_HINT = r"(?:password|passcode|clave|senha|contraseña)\s*(?:is|es|:|=)\s*(\S{3,40})"
+WORDINGS = {"hot": URGENCY, "bank": BANK_CHANGE, "cred": CREDENTIALS, "bill": INVOICE, "pre": PRETEXT, "gift": GIFT}
 
 
 def normal(text: Column) -> Column:
@@ -87,27 +95,49 @@ def phrase(text: Column, words: str) -> Column:
     return text.rlike(rf"(^|[^a-z0-9])({words})([^a-z0-9]|$)")
 
 
-def content_findings(rows: DataFrame) -> DataFrame:
-    """id, rule, score of rows(id, subject, body, attachments, risky, has_urls)."""
-    text = normal(F.concat_ws(" ", "subject", "body"))
-    rows = rows.select("id", "attachments", "risky", "has_urls", text.alias("t"))
-    t = F.col("t")
-    hot = F.when(phrase(t, URGENCY), 1).otherwise(0)
-    hint = t.rlike(PASSWORD_HINT)
-    bank, cred, bill, pre, gift = phrase(t, BANK_CHANGE), phrase(t, CREDENTIALS), phrase(t, INVOICE), phrase(t, PRETEXT), phrase(t, GIFT)
-    lure = F.when(pre & gift, 40).when(gift, 15).otherwise(10) + 5 * hot
+#: Fits wherever one of WORDINGS or PASSWORD_HINT fits the text that normal() makes, and more: any letter case, any space, without edges.
+_SPACE = r"[\s\x0B\pZ]"
+LOOSE = "(?i)" + "|".join([*(w.replace(" ", f"{_SPACE}+") for w in WORDINGS.values()), rf"(?:password|passcode|clave|senha|contraseña){_SPACE}*(?:is|es|:|=)"])
+
+
+def wordings(rows: DataFrame) -> DataFrame:
+    """rows(subject, body, ...) with what their wording shows (hot, bank, cred, bill, pre, gift, hint) in place of their texts; most rows that show nothing are left out.
+
+    Arrow looks for all wordings in one pass over a batch; only where it finds any, texts are made plain and asked for each.
+    """
+    small_batches(rows.sparkSession)
+    rest = [c for c in rows.columns if c not in ("subject", "body")]
+    rows = rows.select(*rest, F.concat_ws(" ", "subject", "body").alias("_t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pc.match_substring_regex(batch.column("_t"), LOOSE))
+
+    some = rows.mapInArrow(run, rows.schema).withColumn("_t", normal(F.col("_t")))
+    t = F.col("_t")
+    return some.select(*rest, *[phrase(t, w).alias(n) for n, w in WORDINGS.items()], t.rlike(PASSWORD_HINT).alias("hint"))
+
+
+def wording_findings(rows: DataFrame) -> DataFrame:
+    """id, rule, score of rows(id, attachments, risky, has_urls, and what wordings() gives)."""
+    c = F.col
+    hot = c("hot").cast("int")
+    lure = F.when(c("pre") & c("gift"), 40).when(c("gift"), 15).otherwise(10) + 5 * hot
     scored = lambda cond, rule, score: F.when(cond, F.struct(F.lit(rule).alias("rule"), score.cast("int").alias("score")))
-    first = [
-        scored(hint & (F.col("risky") > 0), "content.password_protected_lure", F.lit(65)),
-        scored(hint & (F.col("risky") == 0) & (F.col("attachments") > 0), "content.password_hint", F.lit(15)),
-        scored(bank, "content.bec_bank_change", 45 + 5 * hot),
-        scored(pre | gift, "content.bec_lure", lure),
-        scored(cred, "content.credential_lure", F.least(F.lit(40), 15 + 10 * hot + F.when(F.col("has_urls"), 5).otherwise(0))),
-        scored(bill, "content.invoice_lure", F.when(F.col("risky") > 0, 30).when(F.col("attachments") > 0, 15).otherwise(10) + 5 * hot),
+    found = [
+        scored(c("hint") & (c("risky") > 0), "content.password_protected_lure", F.lit(65)),
+        scored(c("hint") & (c("risky") == 0) & (c("attachments") > 0), "content.password_hint", F.lit(15)),
+        scored(c("bank"), "content.bec_bank_change", 45 + 5 * hot),
+        scored(c("pre") | c("gift"), "content.bec_lure", lure),
+        scored(c("cred"), "content.credential_lure", F.least(F.lit(40), 15 + 10 * hot + F.when(c("has_urls"), 5).otherwise(0))),
+        scored(c("bill"), "content.invoice_lure", F.when(c("risky") > 0, 30).when(c("attachments") > 0, 15).otherwise(10) + 5 * hot),
     ]
-    hits = F.filter(F.array(*first), lambda x: x.isNotNull())
-    hits = F.when(F.size(hits) > 0, hits).when(hot > 0, F.array(F.struct(F.lit("content.urgency").alias("rule"), F.lit(5).alias("score")))).otherwise(hits)
-    return rows.select("id", F.explode(hits).alias("f")).select("id", "f.rule", "f.score")
+    return told(rows, "id", [*found, scored(c("hot") & F.coalesce(*found).isNull(), "content.urgency", F.lit(5))])
+
+
+def content_findings(rows: DataFrame) -> DataFrame:
+    """id, rule, score of rows(id, subject, body, attachments, risky, has_urls)."""
+    return wording_findings(wordings(rows.select("id", "subject", "body", "attachments", "risky", "has_urls")))
 
 
 def password_hint(text: Column) -> Column:
